@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,6 +143,21 @@ class Index:
         return tuple(best)
 
 
+def indexed(benchmark: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
+    """Indexes of the benchmark's blocks, each broadcast."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    context, block, size = benchmark.sparkSession.sparkContext, [], 0
+    for r in items.orderBy("item_id", "text").toLocalIterator():
+        n = len(r.text.encode())
+        if block and size + n > block_bytes:
+            yield context.broadcast(Index([x.item_id for x in block], [x.text for x in block]))
+            block, size = [], 0
+        block.append(r)
+        size += n
+    if block:
+        yield context.broadcast(Index([x.item_id for x in block], [x.text for x in block]))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
     """The leaks of ``benchmark`` (item_id, text) in ``docs`` (doc_id, text): for each document and item the best stretch.
 
@@ -150,11 +166,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 2 << 20) ->
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out, block, size = None, [], 0
+    out = None
 
-    def search(block: list) -> DataFrame:
-        model = spark.sparkContext.broadcast(Index([r.item_id for r in block], [r.text for r in block]))
+    def search(model) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for piece in pieces(batches):
@@ -175,12 +189,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 2 << 20) ->
 
         return docs.mapInArrow(run, ROW)
 
-    for r in items.orderBy("item_id", "text").toLocalIterator():
-        if block and size + len(r.text) > block_bytes:
-            out = search(block) if out is None else out.unionByName(search(block))
-            block, size = [], 0
-        block.append(r)
-        size += len(r.text.encode())
-    if block:
-        out = search(block) if out is None else out.unionByName(search(block))
+    for model in indexed(benchmark, block_bytes):
+        out = search(model) if out is None else out.unionByName(search(model))
     return out if out is not None else spark.createDataFrame([], ROW)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
+    """The rows of ``docs`` that leak no item, in one pass without a shuffle."""
+    at = docs.columns.index("text")
+
+    def keep(model):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece in pieces(b.set_column(at, "text", b.column(at)) for b in batches):
+                index = model.value
+                data, off, _ = normal(piece.column(at))
+                doc, item, first = index.bands(data, off)
+                score = index.aligned(data, off, doc, item, first)[0]
+                clean = np.ones(piece.num_rows, bool)
+                clean[doc[(score >= index.least[item]) & (score > 0)]] = False
+                yield piece.filter(pa.array(clean))
+
+        return run
+
+    for model in indexed(benchmark, block_bytes):
+        docs = docs.mapInArrow(keep(model), docs.schema)
+    return docs

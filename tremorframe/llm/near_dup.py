@@ -117,7 +117,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         for piece in pieces(batches):
             h, off = shingle_sets(piece["text"])
             regs = registers(h, off)
-            digest = [sums(mix(h ^ _G * np.uint64(s)).view(np.int64), off) for s in (1, 2)]
+            digest = [sums(mix(h ^ np.uint64(s)).view(np.int64), off) for s in (0x5DEECE66D, 0x2545F4914F6CDD1D)]
             regs_pa = pa.Array.from_buffers(pa.binary(2 * REGISTERS), len(regs), [None, pa.py_buffer(regs.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([piece["doc_id"], pa.array(np.diff(off)), *map(pa.array, digest), regs_pa], ["doc_id", "n_shingles", "d1", "d2", "regs"])
 
@@ -180,7 +180,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def block_pairs(large: DataFrame, classes: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of large buckets: those outside the hub's component against all, block by block."""
     counts = large.groupBy("key").agg(F.count("*").alias("m"), F.sum((F.col("c") != F.col("hub_c")).cast("long")).alias("r"))
-    rows = large.join(counts, "key").join(classes.select("id", "n", "regs"), "id")
+    rows = large.drop("m").join(counts, "key").join(classes.select("id", "n", "regs"), "id")
     nm, nr = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("r") / BLOCK).cast("int")
     span = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
     own = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
@@ -239,3 +239,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = signed.select("doc_id", "n_shingles", "d1", "d2")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.join(joined, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose document stands for its group of near-duplicates.
+
+    Rows of a null doc_id stay; of rows with equal doc_id and text one stays.
+    """
+    found = store.written(near_duplicates(docs).where("kept").select("doc_id"), "kept")
+    stay = docs.join(found.where("doc_id is not null").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    count = found.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d"), F.count("*").alias("m")).head()
+    if count.n > count.d:
+        stay = stay.withColumn("same_text", F.xxhash64("text")).dropDuplicates(["doc_id", "same_text"]).drop("same_text")
+    return stay.unionByName(docs.where("doc_id is null")) if count.m > count.n else stay

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import leaks
+from .mix import mixed_sizes
 from .near_dup import near_duplicates
 from .token_store import token_ids
 from .toxicity import toxicity
@@ -29,9 +30,13 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(table(spark, sf_dir, "documents"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op4_near_duplicates": op4_near_duplicates, "op8_token_ids": op8_token_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op4_near_duplicates": op4_near_duplicates, "op7_mix": op7_mix, "op8_token_ids": op8_token_ids}
 SQL: dict[str, str] = {}

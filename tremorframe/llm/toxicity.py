@@ -234,9 +234,11 @@ def fit(bags: list[list[str]], labels: list[int], seed: int = 7) -> Machine:
         if not len(witness):
             break
         sw, ow = with_insertions(*pick(witness), rng)
-        x = np.vstack([features(sw, ow), features(*pick(none))])
-        side = np.concatenate([np.ones(len(ow) - 1), -np.ones(len(none))])
-        theta = squared_hinge(x, side, np.where(side > 0, len(none) / len(ow) / 4, 1.0).clip(1))
+        x = np.vstack([features(sw, ow), features(*pick(none)), np.zeros((1, map_.shape[1]))])  # last: no word
+        side = np.concatenate([np.ones(len(ow) - 1), -np.ones(len(none) + 1)])
+        weight = np.where(side > 0, max(1.0, len(none) / len(ow) / 4), 1.0)
+        weight[-1] = 100
+        theta = squared_hinge(x, side, weight)
         weights = np.zeros(SYMBOLS**3, np.float32)
         weights[used] = map_[:-1] @ theta[:-1]
         machine = Machine(weights, float(theta[-1]), 1.0, 0.0)
