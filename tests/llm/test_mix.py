@@ -30,7 +30,7 @@ def test_permutation():
 
 
 def test_mix(spark):
-    data = rows() + [(1000, None, "a", 0), (None, "x y z", "b", 0), (7, "same text", "c", 0), (7, "same text", "c", 0), (8, "", "c", 0), (8, "", "c", 0)]
+    data = rows() + [(1000, None, "a", 0), (None, "x y z", "b", 0), (2007, "same text", "c", 0), (2007, "same text", "c", 0), (2008, "", "c", 0), (2008, "", "c", 0)]
     docs = spark.createDataFrame([(*d, "clash") for d in data], "doc_id long, text string, source string, n_chars long, chunk string")
     got = mx.mixed_sizes(docs).collect()
     assert sorted(map(str, got)) == sorted(map(str, mx.mixed_sizes(docs.repartition(5)).collect()))

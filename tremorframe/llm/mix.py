@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
-from .text import buffers, mix as scramble, pieces, words
+from .text import SPACE, buffers, mix as scramble, pieces, words
 
 BLOCK, CHUNK, SHARD_SLOTS = 64, 2000, 16384
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
@@ -184,7 +184,12 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
             for k, parts_ in enumerate(piece.column(len(names)).to_pylist()):
                 cut = np.append(starts[rows[k] : rows[k + 1]], off[k + 1])
                 cut[0] = off[k]
-                out.append(b"".join(bytes(data[cut[p["from"]] : cut[p["to"]]]) * p["times"] for p in parts_).decode())
+                text = b""
+                for p in parts_:
+                    part = bytes(data[cut[p["from"]] : cut[p["to"]]])
+                    gap = b"" if SPACE[part[-1]] else b"\n"  # only a text's last stretch can end in a word
+                    text += gap.join([part] * p["times"])
+                out.append(text.decode())
             new = pa.array(out, pa.string())
             cols = [new if i == at else c for i, c in enumerate(piece.columns[: len(names)])]
             yield pa.RecordBatch.from_arrays(cols, names)

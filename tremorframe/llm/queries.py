@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import leaks
+from .hmm import hmm_scores
+from .knn import top_k
+from .langid import language_id
 from .mix import mixed_sizes
 from .near_dup import near_duplicates
 from .token_store import token_ids
@@ -26,6 +29,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,5 +45,13 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op4_near_duplicates": op4_near_duplicates, "op7_mix": op7_mix, "op8_token_ids": op8_token_ids}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op3_top_k": op3_top_k, "op4_near_duplicates": op4_near_duplicates, "op7_mix": op7_mix, "op8_token_ids": op8_token_ids, "op9_language_id": op9_language_id, "op10_hmm": op10_hmm}
 SQL: dict[str, str] = {}
