@@ -56,6 +56,7 @@ def test_components_equal_brute_force(spark):
 
 def test_large_buckets_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(nd, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(nd, "BLOCK", 3)
     rows = corpus(2)
     assert {tuple(r) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows)
 

@@ -9,7 +9,8 @@ of four registers, 32 of them, miss a pair of similarity 0.75 with probability 5
 Links need only connect, so copies are never expanded into all pairs: equal sets become one
 class; each class in a bucket is first paired with the bucket's smallest id only, and the one
 it most probably resembles is verified on full sets. Then only pairs of one bucket whose
-components still differ are estimated and verified, in blocks.
+components still differ are compared: in small buckets estimated and verified, in large ones
+block by block on full sets.
 
 Edge cases: a null, empty or blank text has no shingles and no links (its own component);
 rows of equal doc_id count as one node and each gives a row; a null doc_id links to nothing
@@ -177,31 +178,59 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles binary")
 
 
-def block_pairs(large: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of large buckets: those outside the hub's component against all, block by block."""
-    counts = large.groupBy("key").agg(F.count("*").alias("m"), F.sum((F.col("c") != F.col("hub_c")).cast("long")).alias("r"))
-    rows = large.drop("m").join(counts, "key").join(classes.select("id", "n", "regs"), "id")
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``x`` with all of ``y``, by products of 0/1 matrices, ``width`` shingles a time."""
+    sides = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(v) for v in s])) for s in (x, y)]
+    both = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    out = np.zeros((len(x), len(y)), np.float32)
+    cells = []
+    for h, row in sides:
+        at = np.minimum(np.searchsorted(both, h), max(len(both) - 1, 0))
+        hit = both[at] == h if len(both) else np.zeros(len(h), bool)
+        order = np.argsort(at[hit], kind="stable")
+        cells.append((at[hit][order], row[hit][order]))
+    for k in range(0, len(both), width):
+        part = []
+        for (at, row), n in zip(cells, out.shape, strict=True):
+            lo, hi = np.searchsorted(at, [k, k + width])
+            m = np.zeros((n, width), np.float32)
+            m[row[lo:hi], at[lo:hi] - k] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out.astype(np.int64)
+
+
+def block_links(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) in large buckets between the rows marked ``ask`` and all the bucket's, block by block on full sets.
+
+    Of the links of one class to another component one is given: components need no more.
+    """
+    counts = large.groupBy("key").agg(F.count("*").alias("m"), F.count_if("ask").alias("r")).where("r > 0")
+    rows = large.join(counts, "key").join(sets, "id")
     nm, nr = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("r") / BLOCK).cast("int")
     span = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
     own = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
-    cols = ["key", "id", "c", "n", "regs"]
-    left = rows.where("c <> hub_c").select(*cols, F.lit(0).alias("side"), own(nr).alias("br"), span(nm).alias("bm"))
+    cols = ["key", "id", "c", "shingles"]
+    left = rows.where("ask").select(*cols, F.lit(0).alias("side"), own(nr).alias("br"), span(nm).alias("bm"))
     right = rows.select(*cols, F.lit(1).alias("side"), span(nr).alias("br"), own(nm).alias("bm"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = frame[frame.side == 0], frame[frame.side == 1]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"u": [], "v": []}).astype("int64")
+        sx, sy = ([np.frombuffer(b, "<u8") for b in f.shingles] for f in (x, y))
+        both = shared_counts(sx, sy)
+        union = np.array([len(s) for s in sx])[:, None] + np.array([len(s) for s in sy])[None, :] - both
+        cx, cy, iy = x.c.to_numpy(), y.c.to_numpy(), y.id.to_numpy()
+        linked = (100 * both >= 75 * union) & (cx[:, None] != cy[None, :])
         out = []
-        ry, ny = np.frombuffer(b"".join(y.regs), "<u2").reshape(len(y), REGISTERS), y.n.to_numpy(float)
-        for i, c, n, r in zip(x.id, x.c, x.n, x.regs, strict=True):
-            ok = (y.c.to_numpy() != c) & (np.minimum(ny, n) >= 0.75 * np.maximum(ny, n))
-            if ok.any():
-                rx = np.broadcast_to(np.frombuffer(r, "<u2"), (int(ok.sum()), REGISTERS))
-                near = likely_jaccard(rx, ry[ok], np.full(len(rx), float(n)), ny[ok]) >= LEAST_ESTIMATE
-                out.append(pd.DataFrame({"a": i, "b": y.id.to_numpy()[ok][near]}))
-        found = pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
-        return pd.DataFrame({"a": found.min(axis=1).astype("int64"), "b": found.max(axis=1).astype("int64")})
+        for k in np.flatnonzero(linked.any(1)):
+            at = np.flatnonzero(linked[k])
+            at = at[np.unique(cy[at], return_index=True)[1]]
+            out.append(pd.DataFrame({"u": x.id.iloc[k], "v": iy[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"u": [], "v": []}).astype("int64")
 
-    return left.unionByName(right).groupBy("key", "br", "bm").applyInPandas(compare, "a long, b long").distinct()
+    return left.unionByName(right).groupBy("key", "br", "bm").applyInPandas(compare, "u long, v long")
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -215,19 +244,38 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sets = store.written(full_sets(docs, members.select("id").distinct()), "sets", "none")
     near = store.written(verified(best, sets), "links")
     found = components(near)
-    label = members.join(found, "id", "left").select("key", "hub", "m", "id", F.coalesce("component", "id").alias("c"))
-    mixed = label.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("id") == F.col("hub"), F.col("c"))).alias("hub_c")).where("low <> high").select("key", "hub_c")
-    rest = store.written(label.join(mixed, "key").select("key", "m", "id", "c", "hub_c"), "mixed")
-    small = rest.where(F.col("m") <= SMALL_BUCKET).select("key", "id", "c")
-    other = small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    pairs = small.withColumnRenamed("id", "a").join(other, "key").where("a < b and c <> cb").select("a", "b").distinct()
-    more = estimated(pairs, classes).select("a", "b")
-    large = rest.where(F.col("m") > SMALL_BUCKET)
-    if large.head(1):
-        more = more.unionByName(block_pairs(large, classes)).distinct()
-    late = store.written(verified(more, sets), "links")
+    # Pairs of one bucket whose components differ are left. In large buckets each class outside the hub's component
+    # first meets one bucket, its largest; what is still mixed then meets all of its buckets.
+    for turn in (0, 1):
+        label = members.join(found, "id", "left").select("key", "hub", "m", "id", F.coalesce("component", "id").alias("c"))
+        if turn:
+            label = label.where(F.col("m") > SMALL_BUCKET)
+        mixed = label.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("id") == F.col("hub"), F.col("c"))).alias("hub_c")).where("low <> high").select("key", "hub_c")
+        rest = store.written(label.join(mixed, "key").select("key", "m", "id", "c", (F.col("c") != F.col("hub_c")).alias("ask")), "mixed")
+        large = rest.where(F.col("m") > SMALL_BUCKET).drop("m")
+        some_large = bool(large.head(1))
+        late = None
+        if some_large:
+            if not turn:
+                chosen = rest.where((F.col("m") > SMALL_BUCKET) & F.col("ask")).groupBy("id").agg(F.max_by("key", F.struct("m", "key")).alias("one"))
+                large = large.join(chosen, "id", "left").withColumn("ask", F.col("ask") & (F.col("key") == F.col("one"))).drop("one")
+            late = block_links(large, sets)
+        if not turn:
+            small = rest.where(F.col("m") <= SMALL_BUCKET).select("key", "id", "c")
+            other = small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
+            pairs = small.withColumnRenamed("id", "a").join(other, "key").where("a < b and c <> cb").select("a", "b").distinct()
+            few = verified(estimated(pairs, classes), sets)
+            late = late.unionByName(few) if late else few
+        if late is None:
+            break
+        late = store.written(late.distinct(), "links")
+        if late.head(1):
+            near = near.unionByName(late)
+            found = components(near)
+        if not some_large:
+            break
     store.drop(sets)
-    return components(near.unionByName(late)) if late.head(1) else found
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
