@@ -54,12 +54,14 @@ def test_em_raises_likelihood_and_mass_is_one(spark):
     docs = spark.createDataFrame([(k, "a b " * (k % 9) + "c") for k in range(200)], "doc_id long, text string")
     totals = [sum(r.score for r in hmm.hmm_scores(docs, steps=k).collect() if not r.held_out) for k in range(3)]
     assert totals[0] < totals[1] < totals[2]
-    split = hmm.chunks(docs)
-    rows, weight = hmm.classed(hmm.word_counts(split))
+    counts = hmm.word_counts(hmm.chunks(docs))
+    rows, mass = hmm.classed(counts)
     by = Counter()
     for r in rows.collect():
-        by[r["class"]] += 10**r.share
-    assert all(math.isclose(x, 1) for x in by.values()) and math.isclose(weight.sum(), 1)
+        by[r.common if r.common is not None else int(hmm.level(np.array([r.c]))[0])] += r.c + 1
+    by[hmm.CLASSES - 1] += 1
+    assert {k: v for k, v in enumerate(mass) if v} == by
+    assert [int(x) - hmm.COMMON for x in hmm.level(np.array([1, 2, 3, 4, 7, 8]))] == [0, 1, 1, 2, 2, 3]
 
 
 def test_nothing_to_learn(spark):

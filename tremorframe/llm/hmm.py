@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,11 @@ def chunks(docs: DataFrame) -> DataFrame:
             data, off = buffers(piece["text"], lower=True)
             starts, lengths, rows = words(data, off)
             _, first, inverse = unique(hashes(data, starts, lengths))
-            end = len(first)
+            # Frequent words get small numbers, which compress better.
+            order = np.argsort(-np.bincount(inverse, minlength=len(first)), kind="stable")
+            place = np.empty(len(first), np.int64)
+            place[order] = np.arange(len(first))
+            first, inverse, end = first[order], place[inverse], len(first)
             # Each text's words, then the end.
             tokens = np.insert(inverse, rows[1:], end).astype("<u4")
             n = np.diff(rows) + 1
@@ -69,36 +74,47 @@ def chunks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, SPLIT).withColumn("chunk", F.monotonically_increasing_id())
 
 
-def coded(split: DataFrame, vocabulary: DataFrame, total: int, distinct: int) -> DataFrame:
-    """Each text with its base score and its classes. ``vocabulary``: word, c, class, share (log10)."""
-    places = split.select("chunk", F.posexplode("words").alias("at", "word"))
-    found = places.join(vocabulary.select("word", "c", "class", "share"), "word", "left").where("c is not null")
-    looked_up = found.groupBy("chunk").agg(F.collect_list(F.struct("at", "c", "class", "share")).alias("known"))
+def coded(split: DataFrame, vocabulary: DataFrame, mass: np.ndarray, total: int, distinct: int) -> DataFrame:
+    """Each text with its base score and its classes. ``vocabulary``: word, c, common (class of a common word); ``mass``: of each class.
+
+    A word that no other chunk has needs no look-up: its count is the chunk's own. So only other words' counts go back to the chunks.
+    """
+    places = split.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("chunk", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("own"))
+    found = places.join(vocabulary, "word").where("c <> own or common is not null")
+    looked_up = found.groupBy("chunk").agg(F.collect_list(F.struct("at", "c", "common")).alias("known"))
     unseen = float(-np.log10(total + distinct + 1.0))
+    shared = split.sparkSession.sparkContext.broadcast(np.log10(np.maximum(mass, 1.0)))  # one number a class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                n = row["n"].flatten().to_numpy()
-                size = len(row["words"].flatten())
-                c, cls, share = np.zeros(size, np.int64), np.full(size, CLASSES - 1), np.zeros(size)
+                n, c = row["n"].flatten().to_numpy(), row["counts"].flatten().to_numpy().copy()
+                common = np.full(len(c), -1)
                 known = row["known"].flatten()
                 if len(known):
                     at = known.field("at").to_numpy()
-                    c[at], cls[at], share[at] = (known.field(f).to_numpy() for f in ("c", "class", "share"))
+                    c[at] = known.field("c").to_numpy()
+                    common[at] = pa.compute.fill_null(known.field("common"), -1).to_numpy()
+                cls = np.where(common >= 0, common, level(c))
                 tokens = np.frombuffer(row["tokens"][0].as_buffer(), "<u4")
                 off = np.concatenate([[0], np.cumsum(n)])
+                share = np.where(c > 0, np.log10(c + 1.0) - shared.value[cls], 0.0)
                 base = sums((np.log10(c + 1.0) + unseen)[tokens], off)
                 classes = cls[tokens].astype("<u2")
                 raw = [classes[a:b].tobytes() for a, b in zip(off, off[1:], strict=False)]
                 columns = [row["doc_ids"].flatten(), row["held"].flatten(), pa.array(n, pa.int64()), pa.array(sums((c > 0).astype(np.int64)[tokens], off)), pa.array(base), pa.array(sums(share[tokens], off)), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in CODED.split(", ")])
 
-    joined = split.drop("counts").join(looked_up, "chunk", "left").select("doc_ids", "held", "n", "tokens", "words", "known")
+    joined = split.join(looked_up, "chunk", "left").select("doc_ids", "held", "n", "tokens", "counts", "known")
     return joined.mapInArrow(run, CODED)
 
 
+def level(c: np.ndarray) -> np.ndarray:
+    """The class of a token that isn't common, by its count: the power of two, the last one for unseen tokens."""
+    return np.where(c > 0, COMMON + np.minimum(np.frexp(np.maximum(c, 1).astype(float))[1] - 1, LEVELS - 2), CLASSES - 1)
+
+
 def sequences(column: pa.Array, limit: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, classes, offsets) of groups of rows, longest first, of about ``limit`` tokens."""
     data, off = buffers(column)
@@ -205,21 +221,20 @@ def word_counts(split: DataFrame) -> DataFrame:
 
 
 def classed(counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``counts`` with class and log10 share, and each class's weight: its part of the add-one mass."""
+    """``counts`` with the class of common words, and each class's add-one mass."""
     spark = counts.sparkSession
     top = [r.word for r in counts.orderBy(F.desc("c"), "word").limit(COMMON).collect()]
-    common = spark.createDataFrame(pd.DataFrame({"word": pd.Series(top, dtype=str), "class": np.arange(len(top), dtype=np.int32)}), "word string, class int")
-    level = COMMON + F.least(F.floor(F.log2(F.col("c").cast("double"))), F.lit(LEVELS - 2)).cast("int")
+    common = spark.createDataFrame(pd.DataFrame({"word": pd.Series(top, dtype=str), "common": np.arange(len(top), dtype=np.int32)}), "word string, common int")
     # COMMON words at most.
-    rows = counts.join(F.broadcast(common), "word", "left").select("word", "c", F.coalesce("class", level).alias("class"))
-    mass = {r["class"]: r.mass for r in rows.groupBy("class").agg(F.sum(F.col("c") + 1).alias("mass")).collect()}
-    weight = np.zeros(CLASSES)
-    for k, m in mass.items():
-        weight[k] = m
-    weight[CLASSES - 1] += 1  # the unseen token
-    table = spark.createDataFrame([(k, float(m)) for k, m in mass.items()], "class int, mass double")
-    rows = rows.join(F.broadcast(table), "class").select("word", "c", "class", F.log10((F.col("c") + 1) / F.col("mass")).alias("share"))
-    return rows, weight / weight.sum()
+    rows = counts.join(F.broadcast(common), "word", "left")
+    # By count: as many rows as different counts, at most the square root of twice the corpus.
+    by_count = rows.where("common is null").groupBy("c").agg(F.count("*").alias("n")).toPandas()
+    mass = np.zeros(CLASSES)
+    np.add.at(mass, level(by_count.c.to_numpy(np.int64)), ((by_count.c + 1) * by_count.n).to_numpy(float))
+    for r in rows.where("common is not null").select("common", "c").collect():
+        mass[r.common] = r.c + 1
+    mass[CLASSES - 1] += 1  # the unseen token
+    return rows, mass
 
 
 def hmm_scores(docs: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -227,8 +242,9 @@ def hmm_scores(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     split = store.written(chunks(docs), "chunks")
     counts = store.written(word_counts(split), "counts")
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
-    rows, weight = classed(counts)
-    texts = store.written(coded(split, rows, size.n, size.v), "coded")
+    rows, mass = classed(counts)
+    weight = mass / mass.sum()
+    texts = store.written(coded(split, rows, mass, size.n, size.v), "coded")
     store.drop(split)
     model = Model.initial(weight)
     for _ in range(steps if size.n else 0):
