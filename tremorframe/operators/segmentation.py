@@ -37,9 +37,9 @@ def matched(pairs: DataFrame, threshold: float, method: str = "auto") -> DataFra
     weigh = (lambda j: j) if method != "maximum" else (lambda j: np.where(j > 0, 1.0, 0.0))
 
     def assign(frame: pd.DataFrame) -> pd.DataFrame:
-        gt, pd_ = np.unique(frame.gt), np.unique(frame["pd"])
+        gt, pd_ = np.unique(frame["gt"]), np.unique(frame["pd"])
         j = np.zeros((len(gt), len(pd_)))
-        j[np.searchsorted(gt, frame.gt), np.searchsorted(pd_, frame["pd"])] = np.where(frame.jaccard >= threshold, frame.jaccard, 0)
+        j[np.searchsorted(gt, frame["gt"]), np.searchsorted(pd_, frame["pd"])] = np.where(frame.jaccard >= threshold, frame.jaccard, 0)
         rows, cols = hungarian(weigh(j))
         keep = j[rows, cols] > 0
         rows, cols = rows[keep], cols[keep]
