@@ -144,7 +144,8 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = placed.join(F.broadcast(plan), same).select("doc_id", "tie", "size", "chunk", "start", "first_block", "source_no", "source_size", "target")
     span = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)))
     pieces_ = own.withColumn("k", F.explode_outer(span)).withColumn("block", F.col("first_block") + F.col("k"))
-    met = pieces_.join(times, ["source_no", "block"], "left")
+    # Slots grow with the corpus, but come from a plan of a few rows, by whose size the planner would broadcast them.
+    met = pieces_.join(times.hint("merge"), ["source_no", "block"], "left")
     low = F.greatest(F.col("k") * BLOCK - F.col("start"), F.lit(0))
     high = F.least((F.col("k") + 1) * BLOCK - F.col("start"), F.col("size"))
     part = F.struct(low.alias("from"), high.alias("to"), F.coalesce("times", F.lit(0)).alias("times"))
