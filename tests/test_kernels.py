@@ -14,7 +14,7 @@ from tremorframe.operators import learning, position, segmentation, shape
 def star(r, n):
     """A simple ring: random radii by angle."""
     a = [2 * math.pi * (i + r.uniform(0, 0.4)) / n for i in range(n)]  # no gap of half a turn, so the ring is simple
-    p = [(round(1000 + r.uniform(3, 10) * math.cos(t), 3), round(2000 + r.uniform(3, 10) * math.sin(t), 3)) for t in a]
+    p = [(round(1000 + q * math.cos(t), 3), round(2000 + q * math.sin(t), 3)) for t in a for q in [r.uniform(3, 10)]]
     return [*p, p[0]]
 
 
