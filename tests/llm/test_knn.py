@@ -36,6 +36,13 @@ def test_equals_brute_force(spark, kind):
     assert {tuple(r) for r in got} == brute(data, 20) and len(got) == len(set(map(tuple, got)))
 
 
+@pytest.mark.parametrize("n", [21, 22, 300])
+def test_one_block_of_the_defaults(spark, n):
+    data = rows("plain", n)
+    got = knn.top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect()
+    assert {tuple(r) for r in got} == brute(data, 20) and len(got) == 20 * len(range(0, n, 20))
+
+
 def test_bounds_prune_clustered_data():
     p = np.array([[100, 0], [0, 100], [-100, 0]])
     use = knn.needed(p, np.array([1.0, 1.0, 1.0]), np.array([1.0, 1.0, 1.0]), [(c, 1.0, 50) for c in range(3)], 20)

@@ -115,7 +115,7 @@ def best_of_block(q: np.ndarray, s: np.ndarray, q_ids: np.ndarray, s_ids: np.nda
         own = q_ids[a : a + 256, None] == s_ids[None, :]
         if big * m < 2**62:
             rank = score * m + place
-            rank[own] = np.iinfo(np.int64).min
+            rank[own] = np.iinfo(np.int64).min + 1  # last: the negated minimum would wrap and come first
             top = np.argpartition(-rank, min(k, m - 1) - 1 if m > k else m - 1, axis=1)[:, :k]
         else:
             top = np.stack([np.lexsort((-place, -r, o))[:k] for r, o in zip(score, own, strict=True)])
