@@ -64,6 +64,16 @@ def test_em_raises_likelihood_and_mass_is_one(spark):
     assert [int(x) - hmm.COMMON for x in hmm.level(np.array([1, 2, 3, 4, 7, 8]))] == [0, 1, 1, 2, 2, 3]
 
 
+def test_training_runs_until_it_gains_little(spark):
+    r = random.Random(5)
+    sides = [[f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]]
+    docs = spark.createDataFrame([(k, " ".join(r.choice(sides[k % 2]) for _ in range(30))) for k in range(300)], "doc_id long, text string")
+    untrained, few, done = (sum(x.score for x in hmm.hmm_scores(docs, steps=n).collect() if x.held_out) for n in (0, 3, None))
+    tokens = 31 * sum(zlib.crc32(str(k).encode()) % 7 == 2 for k in range(300))
+    # The side of a text halves the words that may come: log10(2) a word at most.
+    assert done > untrained + 0.2 * tokens and done > few
+
+
 def test_nothing_to_learn(spark):
     assert hmm.hmm_scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 7 == 2)

@@ -9,7 +9,8 @@ One pass turns texts into chunks: local vocabularies with counts, and word numbe
 summed over all chunks; each chunk's words meet them in a join on the word, so no vocabulary is
 ever broadcast. Baum-Welch runs on the encoded classes: each partition adds up its expected
 counts, and their sum (a table of fixed size, states x classes) gives the next model. The
-scaled forward recursion gives each text's exact likelihood. All steps are over all texts.
+scaled forward recursion gives each text's exact likelihood. All steps are over all texts; they end when
+two in a row raise the training likelihood's logarithm by less than TOLERANCE of it.
 
 Edge cases: a null or empty text is an end alone; a null doc_id is in training; rows of equal
 doc_id count each; with nothing to learn from, N and V are 0 and all classes are alike; an empty
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from . import store
 from .text import buffers, hashes, pieces, strings, sums, unique, words
 
-STATES, COMMON, LEVELS, STEPS = 6, 2000, 64, 3
+STATES, COMMON, LEVELS = 6, 2000, 64
+#: Training ends when steps gain less than this share of the log likelihood.
+TOLERANCE = 1e-4
 CLASSES = COMMON + LEVELS
 CHUNK_BYTES = 8 << 20
 #: Added to every expected count.
@@ -140,9 +143,9 @@ class Model:
 
     @classmethod
     def initial(cls, weight: np.ndarray) -> Model:
-        """Emissions near the classes' frequencies, each state disturbed by fixed noise."""
+        """The classes' frequencies times fixed noise, wide enough that the states differ from the first step on."""
         noise = np.random.default_rng(11)
-        emit = weight * noise.uniform(0.5, 1.5, (STATES, CLASSES))
+        emit = weight * noise.exponential(1.0, (STATES, CLASSES))
         move = noise.uniform(0.5, 1.5, (STATES, STATES)) + np.eye(STATES)
         return cls(np.full(STATES, 1 / STATES), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
@@ -172,7 +175,11 @@ class Model:
 
     def expected(self, o: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts (start, move, emit) of sequences, longest first."""
-        _, alpha, scale = self.forward(o, off, True)
+        return self.counted(o, off)[1:]
+
+    def counted(self, o: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The sequences' natural-log likelihood, and their expected counts."""
+        total, alpha, scale = self.forward(o, off, True)
         n, b = np.diff(off), np.ascontiguousarray(self.emit.T)
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
         gamma = np.empty_like(alpha)
@@ -191,27 +198,43 @@ class Model:
         start = gamma[off[:-1]].sum(0)
         for s in range(STATES):
             emit[:, s] = np.bincount(o, gamma[:, s], CLASSES)
-        return start, move, emit.T
+        return total.sum(keepdims=True), start, move, emit.T
 
 
-def baum_welch(texts: DataFrame, model: Model, weight: np.ndarray) -> Model:
-    """One step: expected counts of every training text, added up within partitions, then over them."""
+def baum_welch(texts: DataFrame, model: Model, weight: np.ndarray) -> tuple[Model, float]:
+    """One step: expected counts of every training text, added up within partitions, then over them; and ``model``'s log likelihood."""
     shared = texts.sparkSession.sparkContext.broadcast(model)  # states x classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
+        likely, start, move, emit = np.zeros(1), np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
         for batch in batches:
             for _, o, off in sequences(batch["classes"]):
-                for total, part in zip((start, move, emit), shared.value.expected(o, off), strict=True):
+                for total, part in zip((likely, start, move, emit), shared.value.counted(o, off), strict=True):
                     total += part
-        flat = np.concatenate([start, move.ravel(), emit.ravel()])
+        flat = np.concatenate([likely, start, move.ravel(), emit.ravel()])
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flat[at])], ["cell", "count"])
 
     cells = texts.where("not held_out").select("classes").mapInArrow(run, "cell int, count double").groupBy("cell").agg(F.sum("count").alias("count")).toPandas()
-    flat = np.zeros(STATES + STATES**2 + STATES * CLASSES)
+    flat = np.zeros(1 + STATES + STATES**2 + STATES * CLASSES)
     flat[cells["cell"].to_numpy(np.int64)] = cells["count"].to_numpy()
-    return Model.of_counts(flat[:STATES], flat[STATES : STATES + STATES**2].reshape(STATES, STATES), flat[STATES + STATES**2 :].reshape(STATES, CLASSES), weight)
+    likely, start, move, emit = np.split(flat, np.cumsum([1, STATES, STATES**2]))
+    return Model.of_counts(start, move.reshape(STATES, STATES), emit.reshape(STATES, CLASSES), weight), float(likely[0])
+
+
+def trained(texts: DataFrame, model: Model, weight: np.ndarray, steps: int | None = None) -> Model:
+    """``model`` after Baum-Welch steps: ``steps``, or else until two in a row gain less than TOLERANCE, the second no more than the first.
+
+    Gains that are small but grow are those of a model that has yet to leave its start.
+    """
+    before, last, k = -np.inf, np.inf, 0
+    while steps is None or k < steps:
+        model, likely = baum_welch(texts, model, weight)
+        gain = (likely - before) / max(abs(likely), 1e-300)
+        if steps is None and gain <= last < TOLERANCE:
+            break
+        before, last, k = likely, gain, k + 1
+    return model
 
 
 def word_counts(split: DataFrame) -> DataFrame:
@@ -237,7 +260,7 @@ def classed(counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return rows, mass
 
 
-def hmm_scores(docs: DataFrame, steps: int = STEPS) -> DataFrame:
+def hmm_scores(docs: DataFrame, steps: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text."""
     split = store.written(chunks(docs), "chunks")
     counts = store.written(word_counts(split), "counts")
@@ -246,9 +269,7 @@ def hmm_scores(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     weight = mass / mass.sum()
     texts = store.written(coded(split, rows, mass, size.n, size.v), "coded")
     store.drop(split)
-    model = Model.initial(weight)
-    for _ in range(steps if size.n else 0):
-        model = baum_welch(texts, model, weight)
+    model = trained(texts, Model.initial(weight), weight, steps if size.n else 0)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # states x classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
