@@ -73,3 +73,14 @@ def test_encodings_and_empty(spark):
     assert [by[k][0][0] for k in range(4)] == ["base64", "base64", "base32", "hex"] and by[4] == by[5] == []
     assert all(by[k][0][1] > 1e-3 for k in range(4)) and by[6][0][1] < 1e-6
     assert sc.secret_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_values_after_a_name(spark):
+    r = random.Random(12)
+    pick = lambda n: "".join(r.choice(sc.ALPHABETS["base62"]) for _ in range(n - 1)) + "7"
+    names = ["DB_AUTH=", "key=", "https://a.example/?user=x&sig=", "export MY_LONG_VARIABLE_NAME_2="]
+    keys = [pick(44) for _ in range(200)] + [pick(200)]  # the last one is alone in its length
+    texts = [f"word {names[k % 4]}{v} word" for k, v in enumerate(keys)]
+    got = {g.doc_id: g.spans for g in sc.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    caught = [f"random:{texts[k].index(v)}:{texts[k].index(v) + len(v)}" in got[k].split(",") for k, v in enumerate(keys)]
+    assert sum(caught) >= 0.85 * len(keys) and caught[-1]

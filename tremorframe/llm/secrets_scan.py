@@ -1,7 +1,8 @@
 """Secret scans: known forms, and a randomness test battery with false-discovery control.
 
 Known forms (kinds assign, access, hex) are regular expressions. Beside them, candidates are
-runs of at least MIN_LENGTH characters of ``[A-Za-z0-9+/_=-]`` that hold a digit. A candidate's encoding is
+runs of at least MIN_LENGTH characters of ``[A-Za-z0-9+/_-]``, with up to two ``=`` at the end, that hold a digit; so
+of ``NAME=value`` the value is tested by itself. A candidate's encoding is
 the smallest alphabet that holds it (hex, base32, base62, base64; letters alone are taken for
 words, digits alone for numbers). Three tests ask whether its symbols are uniform: chi-squared over BINS bins
 of the alphabet, runs above and below the alphabet's middle, and lag-1 serial correlation.
@@ -14,7 +15,8 @@ passes is taken; candidates that pass, and touch no known form, are kind ``rando
 
 Everything is built-in functions on columns; positions come from splitting a text at a pattern and adding
 up lengths. One pass reads texts and leaves a table of spans and candidates (no text); thresholds (one row a
-stratum) and the result come from that.
+stratum) and the result come from that. A stratum of under LEAST candidates also counts those of the nearest lengths of its encoding
+until there are LEAST, or no more.
 
 Edge cases: a null text is empty; repeated rows and rows of equal doc_id give a row each; a null doc_id is carried along;
 an empty table gives no rows; other columns are ignored.
@@ -33,8 +35,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
-MIN_LENGTH, BINS, FDR, P_STEPS = 20, 8, 0.05, 100
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}+"
+MIN_LENGTH, BINS, FDR, P_STEPS, LEAST = 20, 8, 0.05, 100, 50
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}+={{0,2}}"
 # Alphabets in the order of their symbols' values.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -121,7 +123,13 @@ def thresholds(scans: DataFrame, fdr: float = FDR) -> DataFrame:
     """(encoding, band, least): the p-value from which a stratum's candidates count as random."""
     each = scans.select(F.explode("candidates").alias("c")).select("c.*")
     bins = each.groupBy("encoding", "band", F.least(F.floor(F.col("p") * P_STEPS), F.lit(P_STEPS - 1)).alias("bin")).agg(F.count("*").alias("n"))
-    # At most P_STEPS rows a stratum.
+    # At most P_STEPS rows a stratum, and a few dozen strata: a pair for two bands of an encoding.
+    strata = bins.groupBy("encoding", "band").agg(F.sum("n").alias("all"))
+    other = strata.select("encoding", F.col("band").alias("from"), F.col("all").alias("more"))
+    pairs = strata.join(other, "encoding").withColumn("off", F.abs(F.col("band") - F.col("from")))
+    nearer = Window.partitionBy("encoding", "band").orderBy("off").rangeBetween(Window.unboundedPreceding, -1)
+    pool = pairs.withColumn("nearer", F.coalesce(F.sum("more").over(nearer), F.lit(0))).where(F.col("nearer") < LEAST).select("encoding", "band", "from")
+    bins = bins.withColumnRenamed("band", "from").join(pool, ["encoding", "from"]).groupBy("encoding", "band", "bin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("encoding", "band").orderBy(F.desc("bin"))
     tail = bins.withColumn("passing", F.sum("n").over(w)).withColumn("sure", F.max(F.when(F.col("bin") >= P_STEPS // 2, F.col("passing"))).over(Window.partitionBy("encoding", "band")))
     other = F.col("passing") - 2 * F.col("sure") * (1 - F.col("bin") / P_STEPS)
