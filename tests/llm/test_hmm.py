@@ -10,23 +10,49 @@ import numpy as np
 from tremorframe.llm import hmm
 
 
-def test_forward_equals_all_paths():
+def paths(m, e, seq):
+    """(probability, expected starts, moves and counts by word) by way of all paths of states."""
+    total, start, move, g = 0.0, np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros_like(e)
+    for path in itertools.product(range(hmm.STATES), repeat=len(seq)):
+        p = m.start[path[0]] * e[seq[0], path[0]]
+        for a, b, o in zip(path, path[1:], seq[1:]):
+            p *= m.move[a, b] * e[o, b]
+        total += p
+        start[path[0]] += p
+        for a, b in zip(path, path[1:]):
+            move[a, b] += p
+        for o, s in zip(seq, path):
+            g[o, s] += p
+    return total, start / total, move / total, g / total
+
+
+def test_recursions_equal_all_paths(monkeypatch):
     r = np.random.default_rng(1)
     norm = lambda x: x / x.sum(-1, keepdims=True)
-    m = hmm.Model(norm(r.random(hmm.STATES)), norm(r.random((hmm.STATES, hmm.STATES))), norm(r.random((hmm.STATES, hmm.CLASSES))))
-    seqs = [np.array([3, 1, 4, 1]), np.array([5, 9]), np.array([2])]
-    off = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
-    got = m.forward(np.concatenate(seqs), off)[0]
-    for s, value in zip(seqs, got):
-        want = 0
-        for path in itertools.product(range(hmm.STATES), repeat=len(s)):
-            p = m.start[path[0]] * m.emit[path[0], s[0]]
-            for a, b, o in zip(path, path[1:], s[1:]):
-                p *= m.move[a, b] * m.emit[b, o]
-            want += p
-        assert math.isclose(value, math.log(want), rel_tol=1e-9)
-    start, move, emit = m.expected(np.concatenate(seqs), off)
-    assert math.isclose(start.sum(), 3) and math.isclose(move.sum(), 4) and math.isclose(emit.sum(), 7)
+    m = hmm.Model(norm(r.random(hmm.STATES)), norm(r.random((hmm.STATES, hmm.STATES))), np.ones(hmm.STATES), 1.0)
+    e = 1 + 9 * r.random((10, hmm.STATES))
+    seqs = [[3, 1, 4, 1, 5], [5, 9], [2], [1, 1, 3]]
+    want = [paths(m, e, s) for s in seqs]
+    for every in (1, 3, 8):
+        monkeypatch.setattr(hmm, "EIGHTH", every)
+        steps = hmm.Steps(np.concatenate(seqs), np.array([len(s) for s in seqs]))
+        for limit in (1, 5, 100):
+            assert np.allclose(steps.likelihood(m, e, limit), [math.log(w[0]) for w in want])
+            total, g = hmm.Sums.zero(), np.zeros_like(e)
+            steps.count(m, e, total, g, limit)
+            for got, k in ((total.start, 1), (total.move, 2), (g, 3)):
+                assert np.allclose(got, sum(w[k] for w in want))
+            assert np.allclose(total.mass, g.sum(0)) and math.isclose(total.likely, sum(math.log(w[0]) for w in want))
+
+
+def test_long_sequences_stay_finite():
+    r = np.random.default_rng(2)
+    m = hmm.Model.of_sums(hmm.Sums(0.0, r.random(hmm.STATES), r.random((hmm.STATES, hmm.STATES)), np.ones(hmm.STATES)))
+    e = 1 + 1e12 * r.random((50, hmm.STATES)) ** 8
+    steps = hmm.Steps(r.integers(0, 50, 20_000), np.array([15_000, 5_000]))
+    g = np.zeros_like(e)
+    steps.count(m, e, hmm.Sums.zero(), g)
+    assert np.isfinite(steps.likelihood(m, e)).all() and math.isclose(g.sum(), 20_000)
 
 
 def test_scores(spark):
@@ -39,7 +65,7 @@ def test_scores(spark):
         texts.append(" ".join(t) + r.choice(["", f" rare{r.randrange(30)}"]))
     rows = [(k, t) for k, t in enumerate(texts)] + [(None, "the null"), (7, "twice"), (7, "twice")]
     got = hmm.hmm_scores(spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, c int")).collect()
-    tok = lambda t: re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [hmm.END]
+    tok = lambda t: re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["\n"]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     c = Counter(w for d, t in rows if not held(d) for w in tok(t))
     n, v = sum(c.values()), len(c)
@@ -50,28 +76,48 @@ def test_scores(spark):
     assert sum(g.score for g in out) > sum(g.base_score for g in out)
 
 
-def test_em_raises_likelihood_and_mass_is_one(spark):
-    docs = spark.createDataFrame([(k, "a b " * (k % 9) + "c") for k in range(200)], "doc_id long, text string")
-    totals = [sum(r.score for r in hmm.hmm_scores(docs, steps=k).collect() if not r.held_out) for k in range(3)]
-    assert totals[0] < totals[1] < totals[2]
-    counts = hmm.word_counts(hmm.chunks(docs))
-    rows, mass = hmm.classed(counts)
-    by = Counter()
-    for r in rows.collect():
-        by[r.common if r.common is not None else int(hmm.level(np.array([r.c]))[0])] += r.c + 1
-    by[hmm.CLASSES - 1] += 1
-    assert {k: v for k, v in enumerate(mass) if v} == by
-    assert [int(x) - hmm.COMMON for x in hmm.level(np.array([1, 2, 3, 4, 7, 8]))] == [0, 1, 1, 2, 2, 3]
+def scores_by_hand(docs, held, steps):
+    """Baum-Welch over all texts in one process, from the same start: log10 likelihoods."""
+    start = hmm.started(hmm.sample(docs, 1))
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    keys, tokens, n = hmm.numbered(hmm.pa.array(texts))
+    train = ~np.array(held)
+    own = tokens[np.repeat(train, n)]
+    e, model = start.emissions(keys), start.model
+    for _ in range(steps):
+        total, g = hmm.Sums.zero(), np.zeros((len(keys), hmm.STATES))
+        hmm.Steps(own, n[train]).count(model, e, total, g)
+        model = hmm.Model.of_sums(total)
+        e = model.emissions(g)
+    size = len(own) + len(set(own.tolist())) + 1
+    return (hmm.Steps(tokens, n).likelihood(model, e) - n * math.log(size)) / math.log(10), e / size, 1 / size, sorted(set(own.tolist()))
+
+
+def test_parts_and_buckets_equal_one_process(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "BUCKET_BYTES", 500)
+    monkeypatch.setattr(hmm, "LEAST_BYTES", 300)
+    r = random.Random(3)
+    docs = spark.createDataFrame([(k, " ".join(f"{'xy'[k % 2]}{r.randrange(20)}" for _ in range(r.randrange(12)))) for k in range(200)], "doc_id long, text string").repartition(5)
+    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(200)]
+    before = -np.inf
+    for steps in (1, 2, 3):
+        want, emit, unseen, trained = scores_by_hand(docs, held, steps)
+        got = [x.score for x in hmm.hmm_scores(docs, steps).orderBy("doc_id").collect()]
+        assert np.allclose(got, want, rtol=1e-5)
+        # The training tokens and one unseen token sum to 1 in every state.
+        assert np.allclose(emit[trained].sum(0) + unseen, 1)
+        now = sum(x for x, h in zip(got, held) if not h)
+        assert now >= before - 1e-6
+        before = now
 
 
 def test_training_runs_until_it_gains_little(spark):
     r = random.Random(5)
     sides = [[f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]]
     docs = spark.createDataFrame([(k, " ".join(r.choice(sides[k % 2]) for _ in range(30))) for k in range(300)], "doc_id long, text string")
-    untrained, few, done = (sum(x.score for x in hmm.hmm_scores(docs, steps=n).collect() if x.held_out) for n in (0, 3, None))
-    tokens = 31 * sum(zlib.crc32(str(k).encode()) % 7 == 2 for k in range(300))
+    rows = [x for x in hmm.hmm_scores(docs).collect() if x.held_out]
     # The side of a text halves the words that may come: log10(2) a word at most.
-    assert done > untrained + 0.2 * tokens and done > few
+    assert sum(x.score - x.base_score for x in rows) > 0.2 * sum(x.n_tokens for x in rows)
 
 
 def test_nothing_to_learn(spark):

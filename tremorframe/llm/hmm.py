@@ -1,46 +1,60 @@
-"""Language-model scoring with a hidden Markov model trained by Baum-Welch over the whole corpus.
-
-Tokens are lower-cased (A-Z) words and one end per text. Observations are classes of tokens:
-each of the COMMON most frequent training tokens is its own class, the others are classed by
-the power of two of their count, unseen ones together. A token's probability is its class's under the
-model times its share (count + 1) of the class; the tokens seen in training and one unseen token sum to 1.
-
-One pass turns texts into chunks: local vocabularies with counts, and word numbers. Counts are
-summed over all chunks; each chunk's words meet them in a join on the word, so no vocabulary is
-ever broadcast. Baum-Welch runs on the encoded classes: each partition adds up its expected
-counts, and their sum (a table of fixed size, states x classes) gives the next model. The
-scaled forward recursion gives each text's exact likelihood. All steps are over all texts; they end when
-two in a row raise the training likelihood's logarithm by less than TOLERANCE of it.
-
-Edge cases: a null or empty text is an end alone; a null doc_id is in training; rows of equal
-doc_id count each; with nothing to learn from, N and V are 0 and all classes are alike; an empty
-table gives no rows; other columns are ignored.
+"""Language-model scoring with a hidden Markov model over words, trained by Baum-Welch on the whole corpus.
+
+Tokens are lower-cased (A-Z) words and one end per text. Every training token has an emission
+of its own in every state: with C_s(w) its expected count in state s, C_s their sum, N training
+tokens and V distinct ones, ``P(w | s) = (N * C_s(w) / C_s + 1) / (N + V + 1)``. The V tokens and
+one unseen token sum to 1; if the states did not differ this would be the add-one base.
+
+Texts are cut into parts of about PART_BYTES. A part holds its texts as numbers into its own
+vocabulary. Each Baum-Welch step runs over all parts and adds up, within a part, its words'
+expected counts; words are dealt by hash into buckets, as many as the corpus has BUCKET_BYTES, in which the
+counts of all parts meet, are summed, and go back to the parts that asked. So the table of
+states and words grows with the corpus, and neither it nor the vocabulary is ever broadcast or in one task.
+
+Steps start from a model fitted on a sample (see ``started``) and run over all texts until one
+gains less than TOLERANCE of the log likelihood. The scaled forward recursion then gives each text's exact likelihood.
+
+Words are compared by a 64-bit hash. Long texts are worked through in segments of SEGMENT tokens, so memory
+is bounded by a text's own tokens. Edge cases: a null or empty text is an end alone; a null doc_id is in training;
+rows of equal doc_id count each; with nothing to learn from, N and V are 0; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .text import buffers, hashes, pieces, strings, sums, unique, words
-
-STATES, COMMON, LEVELS = 6, 2000, 64
-#: Training ends when steps gain less than this share of the log likelihood.
-TOLERANCE = 1e-4
-CLASSES = COMMON + LEVELS
-CHUNK_BYTES = 8 << 20
-#: Added to every expected count.
+from .text import PAD, buffers, hashes, pieces, sums, unique, words
+
+STATES = 6
+#: Training ends with the step that gains less than this share of the log likelihood.
+TOLERANCE = 2e-3
+#: The first model's sample: about so many bytes of training texts, each of SAMPLE_TEXT bytes at most, and so many rows at most.
+SAMPLE_BYTES, SAMPLE_TEXT, SAMPLE_ROWS = 2 << 20, 1 << 14, 2048
+#: A part ends beyond so many bytes of text (less if the corpus would give the cores under three parts each) or different words; texts are coded
+#: in pieces of so many bytes. A bucket serves so many bytes of the corpus.
+PART_BYTES, LEAST_BYTES, PIECE_BYTES, PART_WORDS, BUCKET_BYTES = 32 << 20, 2 << 20, 8 << 20, 400_000, 16 << 20
+SEGMENT, EIGHTH = 1_000_000, 8
+#: Added to expected counts of starts and moves.
 PRIOR = 0.1
-END = "\n"  # no word holds white space
-SPLIT = "doc_ids array<long>, held array<boolean>, n array<int>, tokens binary, words array<string>, counts array<long>"
-CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"
+#: No word holds white space.
+END = "\n"
+_END = np.full(1 + PAD, 32, np.uint8)
+_END[0] = 10
+END_KEY = hashes(_END, np.array([0]), np.array([1]))[0]
+
+ROW = {"part": pa.int64(), "seq": pa.int32(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "n": pa.list_(pa.int32()), "tokens": pa.binary(), "bucket": pa.int32(), "keys": pa.binary(), "at": pa.binary(), "c": pa.binary(), "g": pa.binary()}
+#: Rows of a part: its words by bucket (seq WORDS), its sums (seq SUMS), and pieces of texts in order (seq 0 and up).
+SPLIT = "part long, seq int, doc_ids array<long>, held array<boolean>, n array<int>, tokens binary, bucket int, keys binary, at binary, c binary, g binary"
+SUMS, WORDS = -2, -1
+ASKED = "part long, bucket int, keys binary, at binary, c binary, g binary, known long"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -48,237 +62,436 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 7 == 2, F.lit(False))
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """Texts as numbers into a vocabulary of their chunk, with the chunk's training counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, limit=CHUNK_BYTES):
-            data, off = buffers(piece["text"], lower=True)
-            starts, lengths, rows = words(data, off)
-            _, first, inverse = unique(hashes(data, starts, lengths))
-            # Frequent words get small numbers, which compress better.
-            order = np.argsort(-np.bincount(inverse, minlength=len(first)), kind="stable")
-            place = np.empty(len(first), np.int64)
-            place[order] = np.arange(len(first))
-            first, inverse, end = first[order], place[inverse], len(first)
-            # Each text's words, then the end.
-            tokens = np.insert(inverse, rows[1:], end).astype("<u4")
-            n = np.diff(rows) + 1
-            train = ~piece["held"].to_numpy(zero_copy_only=False)
-            counts = np.bincount(tokens[np.repeat(train, n)], minlength=end + 1)
-            vocabulary = pa.concat_arrays([strings(data, starts[first], lengths[first]).cast(pa.string()), pa.array([END])])
-            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            yield pa.RecordBatch.from_arrays(
-                [one(piece["doc_id"]), one(piece["held"]), one(pa.array(n, pa.int32())), pa.array([tokens.tobytes()], pa.binary()), one(vocabulary), one(pa.array(counts, pa.int64()))],
-                [x.split()[0] for x in SPLIT.split(", ")],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SPLIT).withColumn("chunk", F.monotonically_increasing_id())
-
-
-def coded(split: DataFrame, vocabulary: DataFrame, mass: np.ndarray, total: int, distinct: int) -> DataFrame:
-    """Each text with its base score and its classes. ``vocabulary``: word, c, common (class of a common word); ``mass``: of each class.
-
-    A word that no other chunk has needs no look-up: its count is the chunk's own. So only other words' counts go back to the chunks.
-    """
-    places = split.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("chunk", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("own"))
-    found = places.join(vocabulary, "word").where("c <> own or common is not null")
-    looked_up = found.groupBy("chunk").agg(F.collect_list(F.struct("at", "c", "common")).alias("known"))
-    unseen = float(-np.log10(total + distinct + 1.0))
-    shared = split.sparkSession.sparkContext.broadcast(np.log10(np.maximum(mass, 1.0)))  # one number a class
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                n, c = row["n"].flatten().to_numpy(), row["counts"].flatten().to_numpy().copy()
-                common = np.full(len(c), -1)
-                known = row["known"].flatten()
-                if len(known):
-                    at = known.field("at").to_numpy()
-                    c[at] = known.field("c").to_numpy()
-                    common[at] = pa.compute.fill_null(known.field("common"), -1).to_numpy()
-                cls = np.where(common >= 0, common, level(c))
-                tokens = np.frombuffer(row["tokens"][0].as_buffer(), "<u4")
-                off = np.concatenate([[0], np.cumsum(n)])
-                share = np.where(c > 0, np.log10(c + 1.0) - shared.value[cls], 0.0)
-                base = sums((np.log10(c + 1.0) + unseen)[tokens], off)
-                classes = cls[tokens].astype("<u2")
-                raw = [classes[a:b].tobytes() for a, b in zip(off, off[1:], strict=False)]
-                columns = [row["doc_ids"].flatten(), row["held"].flatten(), pa.array(n, pa.int64()), pa.array(sums((c > 0).astype(np.int64)[tokens], off)), pa.array(base), pa.array(sums(share[tokens], off)), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in CODED.split(", ")])
-
-    joined = split.join(looked_up, "chunk", "left").select("doc_ids", "held", "n", "tokens", "counts", "known")
-    return joined.mapInArrow(run, CODED)
-
-
-def level(c: np.ndarray) -> np.ndarray:
-    """The class of a token that isn't common, by its count: the power of two, the last one for unseen tokens."""
-    return np.where(c > 0, COMMON + np.minimum(np.frexp(np.maximum(c, 1).astype(float))[1] - 1, LEVELS - 2), CLASSES - 1)
-
-
-def sequences(column: pa.Array, limit: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, classes, offsets) of groups of rows, longest first, of about ``limit`` tokens."""
-    data, off = buffers(column)
-    n = np.diff(off) // 2
-    flat = data[: off[-1]].view("<u2")
-    order = np.argsort(-n, kind="stable")
-    at = 0
-    while at < len(order):
-        size = np.cumsum(n[order[at:]])
-        end = at + max(1, int(np.searchsorted(size, limit, "right")))
-        rows = order[at:end]
-        ends = np.cumsum(n[rows])
-        where = np.repeat(off[rows] // 2 - (ends - n[rows]), n[rows]) + np.arange(ends[-1])
-        yield rows, flat[where], np.concatenate([[0], ends])
-        at = end
+# The model ---------------------------------------------------------------------------------
 
 
+@dataclass
 class Model:
-    """Start, transition and emission probabilities."""
+    """Start and move probabilities, each state's sum of expected counts ``mass`` (C_s), and ``n`` (N)."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-        self.start, self.move, self.emit = start, move, emit
+    start: np.ndarray
+    move: np.ndarray
+    mass: np.ndarray
+    n: float
 
     @classmethod
-    def initial(cls, weight: np.ndarray) -> Model:
-        """The classes' frequencies times fixed noise, wide enough that the states differ from the first step on."""
-        noise = np.random.default_rng(11)
-        emit = weight * noise.exponential(1.0, (STATES, CLASSES))
-        move = noise.uniform(0.5, 1.5, (STATES, STATES)) + np.eye(STATES)
-        return cls(np.full(STATES, 1 / STATES), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+    def of_sums(cls, s: Sums) -> Model:
+        start, move = s.start + PRIOR, s.move + PRIOR
+        return cls(start / start.sum(), move / move.sum(1, keepdims=True), s.mass, s.mass.sum())
 
-    @classmethod
-    def of_counts(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray, weight: np.ndarray) -> Model:
-        start, move, emit = start + PRIOR, move + PRIOR, emit + PRIOR * STATES * weight
-        return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
-
-    def forward(self, o: np.ndarray, off: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """Natural-log likelihoods of the sequences (longest first); with ``keep`` also scaled forward values and scales."""
-        n = np.diff(off)
-        b = np.ascontiguousarray(self.emit.T)
-        total = np.zeros(len(n))
-        alpha = np.empty((len(o), STATES)) if keep else None
-        scale = np.empty(len(o)) if keep else None
-        live = np.searchsorted(-n, -np.arange(1, n.max() + 1), "right") if len(n) else []
-        f = None
-        for t, k in enumerate(live):
-            at = off[:k] + t
-            f = (self.start if t == 0 else f[:k] @ self.move) * b[o[at]]
-            s = f.sum(1)
-            f /= s[:, None]
-            total[:k] += np.log(s)
-            if keep:
-                alpha[at], scale[at] = f, s
-        return total, alpha, scale
-
-    def expected(self, o: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts (start, move, emit) of sequences, longest first."""
-        return self.counted(o, off)[1:]
-
-    def counted(self, o: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The sequences' natural-log likelihood, and their expected counts."""
-        total, alpha, scale = self.forward(o, off, True)
-        n, b = np.diff(off), np.ascontiguousarray(self.emit.T)
-        start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
-        gamma = np.empty_like(alpha)
-        live = np.searchsorted(-n, -np.arange(1, n.max() + 1), "right")
-        beta = np.ones((len(n), STATES))
-        for t in range(len(live) - 1, -1, -1):
-            k = live[t]
-            at = off[:k] + t
-            more = live[t + 1] if t + 1 < len(live) else 0
-            if more:
-                nxt = at[:more] + 1
-                back = b[o[nxt]] * beta[:more] / scale[nxt][:, None]
-                move += self.move * (alpha[at[:more]].T @ back)
-                beta[:more] = back @ self.move.T
-            gamma[at] = alpha[at] * beta[:k]
-        start = gamma[off[:-1]].sum(0)
-        for s in range(STATES):
-            emit[:, s] = np.bincount(o, gamma[:, s], CLASSES)
-        return total.sum(keepdims=True), start, move, emit.T
-
-
-def baum_welch(texts: DataFrame, model: Model, weight: np.ndarray) -> tuple[Model, float]:
-    """One step: expected counts of every training text, added up within partitions, then over them; and ``model``'s log likelihood."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)  # states x classes
+    def emissions(self, g: np.ndarray) -> np.ndarray:
+        """Emissions times N + V + 1 (words x states) from expected counts."""
+        return g * (self.n / np.maximum(self.mass, 1e-300)) + 1.0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        likely, start, move, emit = np.zeros(1), np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
-        for batch in batches:
-            for _, o, off in sequences(batch["classes"]):
-                for total, part in zip((likely, start, move, emit), shared.value.counted(o, off), strict=True):
-                    total += part
-        flat = np.concatenate([likely, start, move.ravel(), emit.ravel()])
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flat[at])], ["cell", "count"])
 
-    cells = texts.where("not held_out").select("classes").mapInArrow(run, "cell int, count double").groupBy("cell").agg(F.sum("count").alias("count")).toPandas()
-    flat = np.zeros(1 + STATES + STATES**2 + STATES * CLASSES)
-    flat[cells["cell"].to_numpy(np.int64)] = cells["count"].to_numpy()
-    likely, start, move, emit = np.split(flat, np.cumsum([1, STATES, STATES**2]))
-    return Model.of_counts(start, move.reshape(STATES, STATES), emit.reshape(STATES, CLASSES), weight), float(likely[0])
+@dataclass
+class Sums:
+    """What a step adds up besides the words' counts: log likelihood (times (N + V + 1) ^ tokens), starts, moves, state masses."""
 
+    likely: float
+    start: np.ndarray
+    move: np.ndarray
+    mass: np.ndarray
+
+    @classmethod
+    def zero(cls) -> Sums:
+        return cls(0.0, np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros(STATES))
 
-def trained(texts: DataFrame, model: Model, weight: np.ndarray, steps: int | None = None) -> Model:
-    """``model`` after Baum-Welch steps: ``steps``, or else until two in a row gain less than TOLERANCE, the second no more than the first.
+    def flat(self) -> np.ndarray:
+        return np.concatenate([[self.likely], self.start, self.move.ravel(), self.mass])
+
+    @classmethod
+    def of(cls, flat: np.ndarray) -> Sums:
+        likely, start, move, mass = np.split(flat, np.cumsum([1, STATES, STATES**2]))
+        return cls(float(likely[0]), start, move.reshape(STATES, STATES), mass)
+
+
+class Steps:
+    """Sequences dealt by time: first all first tokens, longest sequence first, then all second ones, and so on."""
+
+    def __init__(self, tokens: np.ndarray, n: np.ndarray) -> None:
+        self.order = np.argsort(-n, kind="stable")
+        n_, begin = n[self.order].astype(np.int64), (np.cumsum(n, dtype=np.int64) - n)[self.order]
+        live = np.searchsorted(-n_, -np.arange(1, int(n.max(initial=0)) + 1), "right")
+        self.n, self.lo = n_, np.concatenate([[0], np.cumsum(live)]).astype(np.int64)
+        self.at: list[int] = self.lo.tolist()
+        first = np.cumsum(n_) - n_
+        t = np.arange(int(n_.sum())) - np.repeat(first, n_)
+        self.rank = np.empty(len(t), np.int32)
+        place = self.lo[t] + np.repeat(np.arange(len(n_)), n_)
+        self.rank[place] = np.repeat(np.arange(len(n_), dtype=np.int32), n_)
+        self.o = np.empty(len(t), tokens.dtype)
+        self.o[place] = tokens[np.repeat(begin, n_) + t]
+
+    def segments(self, limit: int = SEGMENT) -> list[tuple[int, int]]:
+        """Ranges of time of about ``limit`` tokens."""
+        out, t, last = [], 0, len(self.lo) - 1
+        while t < last:
+            end = min(last, max(t + 1, int(np.searchsorted(self.lo, self.lo[t] + limit, "right")) - 1))
+            out.append((t, end))
+            t = end
+        return out
+
+    def forward(self, model: Model, e: np.ndarray, t0: int, t1: int, f: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(emissions, forward values, scales) of a range of time; ``f``: the values before it.
+
+        Values are scaled to sum 1 at every EIGHTH step: emissions are 1 at least and N + 1 at most, so eight of them fit a double.
+        """
+        lo, base, one = self.at, self.at[t0], np.ones(STATES)
+        b = e[self.o[base : lo[t1]]]
+        alpha, scale = np.empty_like(b), np.ones(len(b))
+        for t in range(t0, t1):
+            a, z = lo[t] - base, lo[t + 1] - base
+            x = alpha[a:z]
+            if t:
+                np.matmul(f[: z - a], model.move, out=x)
+                np.multiply(x, b[a:z], out=x)
+            else:
+                np.multiply(model.start, b[a:z], out=x)
+            if t % EIGHTH == EIGHTH - 1:
+                np.matmul(x, one, out=scale[a:z])
+                x /= scale[a:z, None]
+            f = x
+        return b, alpha, scale
+
+    def last(self, alpha: np.ndarray, t: int) -> np.ndarray:
+        return alpha[len(alpha) - (self.at[t] - self.at[t - 1]) :].copy()
+
+    def logs(self, alpha: np.ndarray, scale: np.ndarray, t0: int, t1: int) -> np.ndarray:
+        """What a range of time adds to the natural-log likelihood of each sequence, by rank."""
+        out = np.bincount(self.rank[self.at[t0] : self.at[t1]], np.log(scale), len(self.order))
+        ends = (self.n > t0) & (self.n <= t1)
+        out[ends] += np.log(alpha[self.lo[self.n[ends] - 1] - self.at[t0] + np.flatnonzero(ends)].sum(1))
+        return out
+
+    def likelihood(self, model: Model, e: np.ndarray, limit: int = SEGMENT) -> np.ndarray:
+        """Natural-log likelihood of each sequence under emissions ``e``."""
+        total, f = np.zeros(len(self.order)), None
+        for t0, t1 in self.segments(limit):
+            _, alpha, scale = self.forward(model, e, t0, t1, f)
+            total += self.logs(alpha, scale, t0, t1)
+            f = self.last(alpha, t1)
+        out = np.empty_like(total)
+        out[self.order] = total
+        return out
+
+    def count(self, model: Model, e: np.ndarray, sums_: Sums, g: np.ndarray, limit: int = SEGMENT) -> None:
+        """Adds the expected counts to ``sums_`` and, by word, to ``g`` (words x states)."""
+        spans, lo, back = self.segments(limit), self.at, np.ascontiguousarray(model.move.T)
+        before: list[np.ndarray | None] = [None]
+        for t0, t1 in spans[:-1]:
+            before.append(self.last(self.forward(model, e, t0, t1, before[-1])[1], t1))
+        later = None  # emission times backward value by scale of the next step
+        for (t0, t1), f in zip(reversed(spans), reversed(before), strict=True):
+            base = lo[t0]
+            b, alpha, scale = self.forward(model, e, t0, t1, f)
+            sums_.likely += float(self.logs(alpha, scale, t0, t1).sum())
+            b /= scale[:, None]
+            beta = np.ones_like(alpha)
+            for t in range(t1 - 1, t0 - 1, -1):
+                a, z = lo[t] - base, lo[t + 1] - base
+                if later is not None:
+                    np.matmul(later, back, out=beta[a : a + len(later)])
+                later = b[a:z]
+                np.multiply(later, beta[a:z], out=later)
+            beta *= alpha  # posteriors, up to a factor that a sequence's steps share
+            norm = beta @ np.ones(STATES)
+            b /= norm[:, None]
+            if t1 > t0 + 1:
+                step_ = np.arange(t0, t1 - 1)
+                earlier = np.repeat(self.lo[step_] - base, np.diff(self.lo)[step_ + 1]) + self.rank[lo[t0 + 1] : lo[t1]]
+                sums_.move += model.move * (alpha[earlier].T @ b[lo[t0 + 1] - base :])
+            if t0:
+                k = lo[t0 + 1] - base
+                sums_.move += model.move * (f[:k].T @ b[:k])
+            later = later * norm[: len(later), None]
+            beta /= norm[:, None]
+            if t0 == 0:
+                sums_.start += beta[: lo[1]].sum(0)
+            sums_.mass += beta.sum(0)
+            o = self.o[base : lo[t1]]
+            for s in range(STATES):
+                g[:, s] += np.bincount(o, beta[:, s], len(g))
+
+
+# The first model ---------------------------------------------------------------------------
+
+
+@dataclass
+class Start:
+    """A model of a sample, and its words' expected counts by sorted key."""
+
+    model: Model
+    keys: np.ndarray
+    g: np.ndarray
+
+    def emissions(self, keys: np.ndarray) -> np.ndarray:
+        """For any words; a word not in the sample is alike in all states."""
+        out = np.ones((len(keys), STATES))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            out[hit] = self.model.emissions(self.g[at[hit]])
+        return out
+
+
+def numbered(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, tokens as numbers among them, tokens of each text): words, then the end."""
+    data, off = buffers(column, lower=True)
+    starts, lengths, rows = words(data, off)
+    h = np.insert(hashes(data, starts, lengths), rows[1:], END_KEY)
+    keys, _, inverse = unique(h)
+    return keys, inverse, np.diff(rows) + 1
+
+
+def started(column: pa.Array, tolerance: float = 2e-4) -> Start:
+    """Baum-Welch on a sample until two steps in a row gain little, from the words' counts dealt to the states at random.
 
     Gains that are small but grow are those of a model that has yet to leave its start.
     """
-    before, last, k = -np.inf, np.inf, 0
-    while steps is None or k < steps:
-        model, likely = baum_welch(texts, model, weight)
-        gain = (likely - before) / max(abs(likely), 1e-300)
-        if steps is None and gain <= last < TOLERANCE:
+    noise = np.random.default_rng(11)
+    keys, tokens, n = numbered(column) if len(column) else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+    g = np.bincount(tokens, minlength=len(keys))[:, None] * noise.dirichlet(np.full(STATES, 1.0), len(keys))
+    move = noise.uniform(0.5, 1.5, (STATES, STATES)) + np.eye(STATES)
+    model = Model(np.full(STATES, 1 / STATES), move / move.sum(1, keepdims=True), g.sum(0), g.sum())
+    steps, before, last = Steps(tokens, n), -np.inf, np.inf
+    while len(tokens):
+        total, new = Sums.zero(), np.zeros_like(g)
+        steps.count(model, model.emissions(g), total, new)
+        model, g = Model.of_sums(total), new
+        likely = total.likely - len(tokens) * np.log(len(tokens) + len(keys) + 1)
+        gain = (likely - before) / abs(likely)
+        if gain <= last < tolerance:
             break
-        before, last, k = likely, gain, k + 1
-    return model
+        before, last = likely, gain
+    return Start(model, keys, g)
 
 
-def word_counts(split: DataFrame) -> DataFrame:
-    """(word, c) of all training tokens."""
-    each = split.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select("w.words", "w.counts").where("counts > 0")
-    return each.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c"))
+def sample(docs: DataFrame, size: int) -> pa.Array:
+    """Training texts for the first model: bounded by SAMPLE_BYTES in expectation, by SAMPLE_ROWS texts of SAMPLE_TEXT bytes always."""
+    share = int((1 << 30) * min(1.0, SAMPLE_BYTES / max(size, 1))) + 1
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("hmm")), F.lit(1 << 30))
+    rows = docs.where(~held_out() & (draw < share) & (F.octet_length("text") <= SAMPLE_TEXT))
+    found = rows.orderBy(draw, "doc_id").limit(SAMPLE_ROWS).select("text").toArrow()["text"].combine_chunks()
+    keep = int(np.searchsorted(np.cumsum(np.diff(buffers(found)[1])), 2 * SAMPLE_BYTES, "right")) + 1
+    return found[:keep]
 
 
-def classed(counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``counts`` with the class of common words, and each class's add-one mass."""
-    spark = counts.sparkSession
-    top = [r.word for r in counts.orderBy(F.desc("c"), "word").limit(COMMON).collect()]
-    common = spark.createDataFrame(pd.DataFrame({"word": pd.Series(top, dtype=str), "common": np.arange(len(top), dtype=np.int32)}), "word string, common int")
-    # COMMON words at most.
-    rows = counts.join(F.broadcast(common), "word", "left")
-    # By count: as many rows as different counts, at most the square root of twice the corpus.
-    by_count = rows.where("common is null").groupBy("c").agg(F.count("*").alias("n")).toPandas()
-    mass = np.zeros(CLASSES)
-    np.add.at(mass, level(by_count.c.to_numpy(np.int64)), ((by_count.c + 1) * by_count.n).to_numpy(float))
-    for r in rows.where("common is not null").select("common", "c").collect():
-        mass[r.common] = r.c + 1
-    mass[CLASSES - 1] += 1  # the unseen token
-    return rows, mass
+# Parts -------------------------------------------------------------------------------------
 
 
-def hmm_scores(docs: DataFrame, steps: int | None = None) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text."""
-    split = store.written(chunks(docs), "chunks")
-    counts = store.written(word_counts(split), "counts")
-    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
-    rows, mass = classed(counts)
-    weight = mass / mass.sum()
-    texts = store.written(coded(split, rows, mass, size.n, size.v), "coded")
-    store.drop(split)
-    model = trained(texts, Model.initial(weight), weight, steps if size.n else 0)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # states x classes
+def record(**values) -> pa.RecordBatch:
+    """One row of a part."""
+    return pa.RecordBatch.from_arrays([values[k] if isinstance(values.get(k), pa.Array) else pa.array([values.get(k)], t) for k, t in ROW.items()], list(ROW))
+
+
+def as_list(a: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+
+
+class Part:
+    """A part's vocabulary (in the order met), its emissions, and what a step has added up for it."""
+
+    def __init__(self, number: int, keys: np.ndarray | None = None) -> None:
+        self.number = number
+        self.keys = np.empty(0, np.uint64) if keys is None else keys
+        self.clear()
+
+    def clear(self) -> None:
+        n = len(self.keys)
+        self.c, self.g, self.sums, self.e = np.zeros(n, np.int64), np.zeros((n, STATES)), Sums.zero(), np.empty((0, STATES))
+
+    def numbers(self, keys: np.ndarray, start: Start) -> np.ndarray:
+        """The numbers of the (distinct) keys in the vocabulary, new ones at its end."""
+        order = np.argsort(self.keys)
+        known = self.keys[order]
+        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+        new = known[at] != keys if len(known) else np.ones(len(keys), bool)
+        out = np.empty(len(keys), np.int64)
+        out[~new] = order[at[~new]]
+        m = int(new.sum())
+        out[new] = len(known) + np.arange(m)
+        self.keys = np.concatenate([self.keys, keys[new]])
+        self.c, self.g = np.concatenate([self.c, np.zeros(m, np.int64)]), np.concatenate([self.g, np.zeros((m, STATES))])
+        self.e = np.concatenate([self.e, start.emissions(keys[new])])
+        return out
+
+    def learn(self, model: Model, tokens: np.ndarray, n: np.ndarray, held: np.ndarray) -> None:
+        trains = np.repeat(~held, n)
+        if trains.any():
+            own = tokens[trains]
+            self.c += np.bincount(own, minlength=len(self.c))
+            Steps(own, n[~held]).count(model, self.e, self.sums, self.g)
+
+    def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The sums, and the words by bucket, in order of their keys."""
+        yield record(part=self.number, seq=SUMS, g=self.sums.flat().tobytes())
+        own = (self.keys % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((self.keys, own))
+        for at in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+            if len(at):
+                yield record(part=self.number, seq=WORDS, bucket=int(own[at[0]]), keys=self.keys[at].tobytes(), at=at.astype("<u4").tobytes(), c=self.c[at].tobytes(), g=self.g[at].astype("<f4").tobytes())
+
+
+def split(docs: DataFrame, start: Start, buckets: int, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The texts as parts, with a first step of Baum-Welch under ``start``."""
+    shared = docs.sparkSession.sparkContext.broadcast(start)  # words of a sample of bounded bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first, part, seq, size = TaskContext.get().partitionId() << 32, None, 0, 0
+        for piece in pieces(batches, limit=min(PIECE_BYTES, part_bytes)):
+            if part is None:
+                part, seq, size = Part(first), 0, 0
+                first += 1
+            keys, inverse, n = numbered(piece["text"])
+            # Frequent words get small numbers, which compress better.
+            order = np.argsort(-np.bincount(inverse), kind="stable")
+            number = np.empty(len(keys), np.int64)
+            number[order] = part.numbers(keys[order], shared.value)
+            tokens, held = number[inverse], piece["held"].to_numpy(zero_copy_only=False)
+            part.learn(shared.value.model, tokens, n, held)
+            yield record(part=part.number, seq=seq, doc_ids=as_list(piece["doc_id"]), held=as_list(piece["held"]), n=as_list(pa.array(n, pa.int32())), tokens=tokens.astype("<u4").tobytes())
+            seq, size = seq + 1, size + int(buffers(piece["text"])[1][-1])
+            if size >= part_bytes or len(part.keys) >= PART_WORDS:
+                yield from part.rows(buckets)
+                part = None
+        if part is not None:
+            yield from part.rows(buckets)
+
+    return docs.select("doc_id", held_out().alias("held"), "text").mapInArrow(run, SPLIT)
+
+
+def met(asked: DataFrame) -> DataFrame:
+    """``asked`` with each word's counts summed over all parts; ``known``: the bucket's distinct training words, on one row of it."""
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        keys = [np.frombuffer(b, np.uint64) for b in table["keys"].to_pylist()]
+        ends = np.cumsum([len(k) for k in keys])
+        _, _, inverse = unique(np.concatenate(keys))
+        distinct = int(inverse.max()) + 1
+        c = np.bincount(inverse, np.frombuffer(b"".join(table["c"].to_pylist()), np.int64), distinct).astype(np.int64)
+        own = np.frombuffer(b"".join(table["g"].to_pylist()), "<f4").reshape(-1, STATES)
+        g = np.stack([np.bincount(inverse, own[:, s], distinct) for s in range(STATES)], 1).astype("<f4")
+        known = np.zeros(len(keys), np.int64)
+        known[0] = (c > 0).sum()
+        spans = list(zip([0, *ends], ends, strict=False))
+        for name, sums_ in (("c", c), ("g", g)):
+            table = table.set_column(table.schema.get_field_index(name), name, pa.array([sums_[inverse[a:b]].tobytes() for a, b in spans], pa.binary()))
+        return table.append_column("known", pa.array(known))
+
+    return asked.select("part", "bucket", "keys", "at", "c", "g").groupBy("bucket").applyInArrow(add, ASKED)
+
+
+def by_part(split_: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
+    """Each part's words, then its pieces, in one task; as many tasks as parts."""
+    texts = split_.where("seq >= 0").select("part", "seq", "doc_ids", "held", "n", "tokens", *(F.lit(None).cast(t).alias(c) for c, t in (("bucket", "int"), ("keys", "binary"), ("at", "binary"), ("c", "binary"), ("g", "binary"))))
+    said = answers.select("part", F.lit(WORDS).alias("seq"), *(F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("doc_ids", "held", "n", "tokens")), "bucket", "keys", "at", "c", "g")
+    return said.unionByName(texts).repartition(parts, "part").sortWithinPartitions("part", "seq", "bucket")
+
+
+def walked(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[Part, pa.RecordBatch | None, np.ndarray | None]]:
+    """(part, piece, the words' counts over all parts) of each piece, and (part, None, None) after a part's last one."""
+    part, answers, counts = None, [], None
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            number, seq = row["part"][0].as_py(), row["seq"][0].as_py()
+            if part is not None and part.number != number:
+                yield part, None, None
+                part = None
+            if seq == WORDS:
+                answers.append([np.frombuffer(row[c][0].as_py(), t) for c, t in (("keys", np.uint64), ("at", "<u4"), ("c", np.int64), ("g", "<f4"))])
+                continue
+            if part is None:
+                keys, at, c, g = (np.concatenate(x) for x in zip(*answers, strict=True))
+                answers, place = [], np.empty(len(at), np.int64)
+                place[at] = np.arange(len(at))
+                part, counts = Part(number, keys[place]), c[place]
+                part.e = model.emissions(g.reshape(-1, STATES)[place].astype(float))
+            yield part, row, counts
+    if part is not None:
+        yield part, None, None
+
+
+def step(rows: DataFrame, model: Model, buckets: int) -> DataFrame:
+    """A step of Baum-Welch over all training texts: each part's sums and words."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # states x states
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, row, _ in walked(batches, shared.value):
+            if row is None:
+                yield from part.rows(buckets)
+            else:
+                part.learn(shared.value, np.frombuffer(row["tokens"][0].as_buffer(), "<u4").astype(np.int64), row["n"].flatten().to_numpy(), row["held"].flatten().to_numpy(zero_copy_only=False))
+
+    return rows.mapInArrow(run, SPLIT)
+
+
+def scored(rows: DataFrame, model: Model, total: int, distinct: int) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # states x states
+    unit = float(np.log10(total + distinct + 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, row, c in walked(batches, shared.value):
+            if row is not None:
+                tokens, n = np.frombuffer(row["tokens"][0].as_buffer(), "<u4").astype(np.int64), row["n"].flatten().to_numpy()
+                off = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+                base = sums((np.log10(c + 1.0) - unit)[tokens], off)
+                score = Steps(tokens, n).likelihood(shared.value, part.e) / np.log(10) - n * unit
+                columns = [row["doc_ids"].flatten(), row["held"].flatten(), pa.array(n, pa.int64()), pa.array(sums((c > 0).astype(np.int64)[tokens], off)), pa.array(base), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORED.split(", ")])
+
+    return rows.mapInArrow(run, SCORED)
+
+
+def added(rows: DataFrame) -> Sums:
+    """The sums of all parts."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            for at, o, off in sequences(batch["classes"]):
-                score[at] = shared.value.forward(o, off)[0] / np.log(10)
-            score += batch["inner"].to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(score)], [*batch.schema.names[:5], "score"])
-
-    scored = texts.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(size.n).cast("long").alias("train_tokens"), "base_score", "score")
+            for g in batch["g"].to_pylist():
+                total = total + np.frombuffer(g)
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["cell", "x"])
+
+    found = rows.where(F.col("seq") == SUMS).select("g").mapInArrow(cells, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas()
+    flat = np.zeros(1 + 2 * STATES + STATES**2)
+    flat[found["cell"].to_numpy(np.int64)] = found["x"].to_numpy()
+    return Sums.of(flat)
+
+
+def hmm_scores(docs: DataFrame, steps: int | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text.
+
+    ``steps``: the number of Baum-Welch steps over all texts, 1 at least, in place of the tolerance.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).head().bytes
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    part_bytes = min(PART_BYTES, max(LEAST_BYTES, size // (3 * docs.sparkSession.sparkContext.defaultParallelism)))
+    texts = now = store.written(split(rows, started(sample(rows, size)), buckets, part_bytes), "parts")
+    parts = max(1, texts.where(F.col("seq") == SUMS).count())
+    before, k = None, 1
+    while True:
+        model = Model.of_sums(added(now))
+        answers = store.written(met(now.where(F.col("seq") == WORDS)), "words")
+        if k == 1:
+            distinct = answers.agg(F.coalesce(F.sum("known"), F.lit(0))).head()[0]
+            total = round(model.n)  # whole: each token's posterior sums to 1
+        else:
+            store.drop(now)
+        if not total or k == steps:
+            break
+        now = store.written(step(by_part(texts, answers, parts), model, buckets), "step")
+        likely = added(now).likely - total * np.log(total + distinct + 1.0)
+        if before is not None and steps is None and likely - before < TOLERANCE * abs(likely):
+            store.drop(now)
+            break
+        store.drop(answers)
+        before, k = likely, k + 1
+    out = scored(by_part(texts, answers, parts), model, total, distinct)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
