@@ -2,12 +2,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tremorframe.llm import store, token_store as ts
 
 TEXTS = [
     None, "", " ", "\n", "a", "Hello, world!\nIt's  double  spaced\n\nand\ttabbed \n", "trailing ", " leading", "x" * 3000,
-    "café naïve nbsp  em", "日本語　text", "<|endoftext|> stays text", "one two three one two three", "1 2 33 444's", "\r\n a \x0b b \x1c c",
+    "café naïve nbsp  em", "日本語　text", "<|endoftext|> is an added token", "a <|endoftext|> b", " <|endoftext|>", "x\n<|endoftext|>y  <|endoftext|>", "<|endoftext", "one two three one two three", "1 2 33 444's", "\r\n a \x0b b \x1c c",
 ]
 
 
@@ -15,7 +16,6 @@ def plain(path, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -33,7 +33,8 @@ def test_round_trip(spark):
     ts.write_tokens(docs, path, ts.byte_bpe_path(), docs_per_part=5, block_docs=4)
     got = [tuple(r) for r in ts.read_tokens(spark, path).collect()]
     want, start = [], 0
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    tie = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
     for (d, _, _), ids in zip(rows, plain(ts.byte_bpe_path(), [r[1] for r in rows])):
         ids = np.array([*ids, 2], "<u4")
         want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
@@ -43,5 +44,10 @@ def test_round_trip(spark):
     assert sorted(x.tolist() for x in ts.read_document(spark, path, one)) == sorted([*i, 2] for r, i in zip(rows, plain(ts.byte_bpe_path(), [r[1] for r in rows])) if r[0] == one)
 
 
+def test_ids_must_fit_the_width():
+    with pytest.raises(ValueError):
+        ts.with_end(np.array([70_000], np.uint32), np.array([0, 1]), 2, 2)
+
+
 def test_empty(spark):
     assert ts.token_ids(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -15,7 +15,8 @@ To read one document, filter ``data`` by first_id/last_id (row group statistics
 prune the rest) and decompress the one frame that the index names.
 
 Edge cases: a null or empty text is a document with the end id alone; null
-``doc_id`` sorts first; rows of equal ``doc_id`` are kept, ordered by text;
+``doc_id`` sorts first; rows of equal ``doc_id`` are kept, ordered by a hash of the text (so they
+may spread over parts) and the text; ids that do not fit the width are an error;
 an empty table gives an empty store; other columns are ignored.
 """
 
@@ -38,7 +39,7 @@ from .text import PAD, SPACE, buffers, hashes, pieces, strings, unique
 
 DATA = "part int, block int, first_id long, last_id long, before long, doc_ids array<long>, n_tokens array<int>, ends array<long>, dict_hash string, payload binary"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
-KNOWN_UNITS = 1_500_000
+KNOWN_UNITS, SAMPLE_TEXT = 1_500_000, 1 << 16
 
 
 def byte_bpe_path() -> str:
@@ -52,7 +53,8 @@ class Encoder:
 
     The byte-level pre-tokenizer never joins a character with white space that follows it, so a
     text may be cut at a single space or newline between two others that are not white space.
-    Texts with other Unicode white space go to the tokenizer as a whole. At most KNOWN_UNITS
+    Texts with other Unicode white space, or with the string of an added token (such as an end mark,
+    which gets that token's id), go to the tokenizer as a whole. At most KNOWN_UNITS
     units are remembered, by two 64-bit hashes.
     """
 
@@ -61,7 +63,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.newline = self.plain(["\n"])[0]
         self.forget()
 
@@ -88,7 +90,7 @@ class Encoder:
             | ((b[lead] == 0xE2) & (second == 0x81) & (third == 0x9F))
             | ((b[lead] == 0xE3) & (second == 0x80) & (third == 0x80))
         )
-        odd = np.concatenate([lead[wide], np.flatnonzero((b >= 0x1C) & (b <= 0x1F))])
+        odd = np.concatenate([lead[wide], np.flatnonzero((b >= 0x1C) & (b <= 0x1F)), self.places(b)])
         whole = np.zeros(len(off) - 1, bool)
         whole[np.searchsorted(off, odd, "right") - 1] = True
         cut = np.flatnonzero(((b == 32) | (b == 10))[1:-1] & ~blank[:-2] & ~blank[2:]) + 1 if n > 2 else np.empty(0, np.int64)
@@ -102,11 +104,22 @@ class Encoder:
         mark[n:] = False
         return np.flatnonzero(mark), whole
 
+    def places(self, b: np.ndarray) -> np.ndarray:
+        """Where strings of added tokens start."""
+        raw, found = b.tobytes(), []
+        for content in (t.encode() for t in self.added):
+            at = raw.find(content)
+            while at >= 0:
+                found.append(at)
+                at = raw.find(content, at + 1)
+        return np.array(found, np.int64)
+
     def learn(self, keys: np.ndarray, checks: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         texts = strings(data, starts, lengths).to_pylist()
         gaps = np.concatenate([[0], np.cumsum(SPACE[data[:-PAD]])])
         inner = gaps[starts + lengths] - gaps[starts + (data[starts] == 32)]
-        joined = np.flatnonzero((inner == 0) & (lengths > (data[starts] == 32)))
+        alone = np.array([not any(t in text for t in self.added) for text in texts], bool)
+        joined = np.flatnonzero(alone & (inner == 0) & (lengths > (data[starts] == 32)))
         found: list[np.ndarray | None] = [None] * len(texts)
         if len(joined):
             lines = ["\n".join(texts[i] for i in joined[k : k + 400]) for k in range(0, len(joined), 400)]
@@ -163,7 +176,9 @@ def encoder(path: str) -> Encoder:
 
 
 def with_end(ids: np.ndarray, off: np.ndarray, end_id: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids with the end id after each row, as the serialised type."""
+    """Ids with the end id after each row, as the serialised type; an id that does not fit it is an error."""
+    if max(int(ids.max(initial=0)), end_id) >= 1 << (8 * width):
+        raise ValueError(f"an id does not fit {width} bytes")
     out_off = off + np.arange(len(off))
     out = np.empty(out_off[-1], f"<u{width}")
     keep = np.ones(len(out), bool)
@@ -173,9 +188,11 @@ def with_end(ids: np.ndarray, off: np.ndarray, end_id: int, width: int) -> tuple
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int, sample: int, size: int) -> bytes:
-    """A zstandard dictionary from the id arrays of about ``sample`` documents, chosen by a hash of doc_id."""
+    """A zstandard dictionary from the id arrays of about ``sample`` documents (twice as many at most), chosen by a hash of their rows; texts over SAMPLE_TEXT bytes don't train it."""
     n = docs.count()
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sample / max(n, 1))) or 1))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("dictionary")), F.lit(1 << 20))
+    picked = docs.where((draw < F.lit(int((1 << 20) * min(1.0, sample / max(n, 1))) or 1)) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT))
+    picked = picked.orderBy(draw, "doc_id").limit(2 * sample)
 
     def serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -194,7 +211,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
     """Writes ``docs`` (doc_id, text) as a store at ``path``.
 
     ``sample`` bounds the documents (in expectation) that train the dictionary and ``dict_bytes`` its size.
-    ``width`` 2 holds ids under 65,536. Texts are shuffled once, by range of doc_id.
+    ``width`` 2 holds ids under 65,536. Texts are shuffled once, by range of doc_id and the text's hash.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -217,7 +234,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
                 yield pa.RecordBatch.from_arrays([pa.array([v], pa.list_(pa.int32()) if k == "n_tokens" else pa.list_(pa.int64()) if k in ("doc_ids", "ends") else pa.int32() if k in ("part", "block") else None if isinstance(v, (str, bytes)) else pa.int64()) for k, v in row.items()], list(row))
                 block, before = block + 1, before + int(off[b] - off[a])
 
-    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")
+    ordered = docs.withColumn("tie", tie).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     ordered.mapInArrow(blocks, DATA).write.option("compression", "none").parquet(f"{path}/data")
 
 
