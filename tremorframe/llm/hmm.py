@@ -8,8 +8,9 @@ one unseen token sum to 1; if the states did not differ this would be the add-on
 Texts are cut into parts of about PART_BYTES. A part holds its texts as numbers into its own
 vocabulary. Each Baum-Welch step runs over all parts and adds up, within a part, its words'
 expected counts; words are dealt by hash into buckets, as many as the corpus has BUCKET_BYTES, in which the
-counts of all parts meet, are summed, and go back to the parts that asked. So the table of
-states and words grows with the corpus, and neither it nor the vocabulary is ever broadcast or in one task.
+counts of all parts meet and are summed. Sums go back to the parts that share a word; a word of one part alone stays there.
+So the table of states and words grows with the corpus, and neither it nor the vocabulary is ever broadcast or in one task.
+Between steps a word's counts by state are kept as its count and 16-bit shares.
 
 Steps start from a model fitted on a sample (see ``started``) and run over all texts until one
 gains less than TOLERANCE of the log likelihood. The scaled forward recursion then gives each text's exact likelihood.
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ TOLERANCE = 2e-3
 SAMPLE_BYTES, SAMPLE_TEXT, SAMPLE_ROWS = 2 << 20, 1 << 14, 2048
 #: A part ends beyond so many bytes of text (less if the corpus would give the cores under three parts each) or different words; texts are coded
 #: in pieces of so many bytes. A bucket serves so many bytes of the corpus.
-PART_BYTES, LEAST_BYTES, PIECE_BYTES, PART_WORDS, BUCKET_BYTES = 32 << 20, 2 << 20, 8 << 20, 400_000, 16 << 20
+PART_BYTES, LEAST_BYTES, PIECE_BYTES, PART_WORDS, BUCKET_BYTES = 32 << 20, 2 << 20, 8 << 20, 500_000, 32 << 20
 SEGMENT, EIGHTH = 1_000_000, 8
 #: Added to expected counts of starts and moves.
 PRIOR = 0.1
@@ -49,11 +51,11 @@ _END = np.full(1 + PAD, 32, np.uint8)
 _END[0] = 10
 END_KEY = hashes(_END, np.array([0]), np.array([1]))[0]
 
-ROW = {"part": pa.int64(), "seq": pa.int32(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "n": pa.list_(pa.int32()), "tokens": pa.binary(), "bucket": pa.int32(), "keys": pa.binary(), "at": pa.binary(), "c": pa.binary(), "g": pa.binary()}
-#: Rows of a part: its words by bucket (seq WORDS), its sums (seq SUMS), and pieces of texts in order (seq 0 and up).
-SPLIT = "part long, seq int, doc_ids array<long>, held array<boolean>, n array<int>, tokens binary, bucket int, keys binary, at binary, c binary, g binary"
-SUMS, WORDS = -2, -1
-ASKED = "part long, bucket int, keys binary, at binary, c binary, g binary, known long"
+ROW = {"part": pa.int64(), "seq": pa.int32(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "n": pa.list_(pa.int32()), "bucket": pa.int32(), "data": pa.binary()}
+#: Rows of a part: its sums (seq SUMS), its words' own counts (OWN), its words by bucket (WORDS), and pieces of texts in order (seq 0 and up).
+SPLIT = "part long, seq int, doc_ids array<long>, held array<boolean>, n array<int>, bucket int, data binary"
+SUMS, OWN, WORDS = -3, -2, -1
+ANSWER = "part long, bucket int, data binary, known long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -289,17 +291,40 @@ def as_list(a: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
 
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of equal length (the last may have one row a state) as compressed bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+
+
+def unpacked(raw: bytes, *types: str) -> list[np.ndarray]:
+    """The columns; the type "g" is shares by state."""
+    data, out, at = zstandard.ZstdDecompressor().decompress(raw), [], 0
+    width = [2 * STATES if t == "g" else np.dtype(t).itemsize for t in types]
+    n = len(data) // sum(width)
+    for t, w in zip(types, width, strict=True):
+        out.append(np.frombuffer(data, "<u2" if t == "g" else t, n * w // (2 if t == "g" else np.dtype(t).itemsize), at))
+        at += n * w
+    return out
+
+
+def shares(c: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Expected counts as 16-bit shares of the count, states x words."""
+    return np.round(g.T * (65535 / np.maximum(c, 1))).astype("<u2")
+
+
+def counts_of(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Expected counts (words x states) from counts and shares."""
+    q = q.reshape(STATES, -1).astype(float)
+    return (q * (c / np.maximum(q.sum(0), 1))).T
+
+
 class Part:
     """A part's vocabulary (in the order met), its emissions, and what a step has added up for it."""
 
-    def __init__(self, number: int, keys: np.ndarray | None = None) -> None:
+    def __init__(self, number: int, size: int = 0) -> None:
         self.number = number
-        self.keys = np.empty(0, np.uint64) if keys is None else keys
-        self.clear()
-
-    def clear(self) -> None:
-        n = len(self.keys)
-        self.c, self.g, self.sums, self.e = np.zeros(n, np.int64), np.zeros((n, STATES)), Sums.zero(), np.empty((0, STATES))
+        self.keys, self.shared = np.empty(0, np.uint64), None
+        self.c, self.g, self.sums, self.e = np.zeros(size, np.int64), np.zeros((size, STATES)), Sums.zero(), np.empty((0, STATES))
 
     def numbers(self, keys: np.ndarray, start: Start) -> np.ndarray:
         """The numbers of the (distinct) keys in the vocabulary, new ones at its end."""
@@ -324,13 +349,16 @@ class Part:
             Steps(own, n[~held]).count(model, self.e, self.sums, self.g)
 
     def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
-        """The sums, and the words by bucket, in order of their keys."""
-        yield record(part=self.number, seq=SUMS, g=self.sums.flat().tobytes())
-        own = (self.keys % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((self.keys, own))
-        for at in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
-            if len(at):
-                yield record(part=self.number, seq=WORDS, bucket=int(own[at[0]]), keys=self.keys[at].tobytes(), at=at.astype("<u4").tobytes(), c=self.c[at].tobytes(), g=self.g[at].astype("<f4").tobytes())
+        """The sums, the words' own counts, and, by bucket, the words that other parts may have."""
+        yield record(part=self.number, seq=SUMS, data=self.sums.flat().tobytes())
+        q = shares(self.c, self.g)
+        yield record(part=self.number, seq=OWN, data=packed(self.c.astype("<u4"), q))
+        at, keys = self.shared if self.shared else (np.arange(len(self.keys)), self.keys)
+        own = (keys % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((keys, own))
+        for k in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+            if len(k):
+                yield record(part=self.number, seq=WORDS, bucket=int(own[k[0]]), data=packed(keys[k], at[k].astype("<u4"), self.c[at[k]].astype("<u4"), q[:, at[k]]))
 
 
 def split(docs: DataFrame, start: Start, buckets: int, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -352,7 +380,7 @@ def split(docs: DataFrame, start: Start, buckets: int, part_bytes: int = PART_BY
             number[order] = part.numbers(keys[order], shared.value)
             tokens, held = number[inverse], piece["held"].to_numpy(zero_copy_only=False)
             part.learn(shared.value.model, tokens, n, held)
-            yield record(part=part.number, seq=seq, doc_ids=as_list(piece["doc_id"]), held=as_list(piece["held"]), n=as_list(pa.array(n, pa.int32())), tokens=tokens.astype("<u4").tobytes())
+            yield record(part=part.number, seq=seq, doc_ids=as_list(piece["doc_id"]), held=as_list(piece["held"]), n=as_list(pa.array(n, pa.int32())), data=packed(tokens.astype("<u4")))
             seq, size = seq + 1, size + int(buffers(piece["text"])[1][-1])
             if size >= part_bytes or len(part.keys) >= PART_WORDS:
                 yield from part.rows(buckets)
@@ -364,56 +392,63 @@ def split(docs: DataFrame, start: Start, buckets: int, part_bytes: int = PART_BY
 
 
 def met(asked: DataFrame) -> DataFrame:
-    """``asked`` with each word's counts summed over all parts; ``known``: the bucket's distinct training words, on one row of it."""
+    """For each part and bucket the words that other parts have too, with the sums of all; ``known``: the bucket's distinct training words, on one row of it."""
 
     def add(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        keys = [np.frombuffer(b, np.uint64) for b in table["keys"].to_pylist()]
-        ends = np.cumsum([len(k) for k in keys])
-        _, _, inverse = unique(np.concatenate(keys))
+        rows = [unpacked(b, "<u8", "<u4", "<u4", "g") for b in table["data"].to_pylist()]
+        ends = np.cumsum([len(r[0]) for r in rows])
+        _, _, inverse = unique(np.concatenate([r[0] for r in rows]))
         distinct = int(inverse.max()) + 1
-        c = np.bincount(inverse, np.frombuffer(b"".join(table["c"].to_pylist()), np.int64), distinct).astype(np.int64)
-        own = np.frombuffer(b"".join(table["g"].to_pylist()), "<f4").reshape(-1, STATES)
-        g = np.stack([np.bincount(inverse, own[:, s], distinct) for s in range(STATES)], 1).astype("<f4")
-        known = np.zeros(len(keys), np.int64)
+        many = np.bincount(inverse, minlength=distinct) > 1
+        own = np.concatenate([r[2] for r in rows]).astype(np.int64)
+        c = np.round(np.bincount(inverse, own, distinct)).astype(np.int64)
+        each = np.concatenate([counts_of(r[2], r[3]) for r in rows])
+        q = shares(c, np.stack([np.bincount(inverse, each[:, s], distinct) for s in range(STATES)], 1))
+        data = []
+        for (keys, at, _, _), a, b in zip(rows, [0, *ends], ends, strict=False):
+            k = np.flatnonzero(many[inverse[a:b]])
+            word = inverse[a:b][k]
+            data.append(packed(keys[k], at[k], c[word], q[:, word]))
+        known = np.zeros(len(rows), np.int64)
         known[0] = (c > 0).sum()
-        spans = list(zip([0, *ends], ends, strict=False))
-        for name, sums_ in (("c", c), ("g", g)):
-            table = table.set_column(table.schema.get_field_index(name), name, pa.array([sums_[inverse[a:b]].tobytes() for a, b in spans], pa.binary()))
-        return table.append_column("known", pa.array(known))
+        return pa.table({"part": table["part"], "bucket": table["bucket"], "data": pa.array(data, pa.binary()), "known": known})
 
-    return asked.select("part", "bucket", "keys", "at", "c", "g").groupBy("bucket").applyInArrow(add, ASKED)
+    return asked.where(F.col("seq") == WORDS).select("part", "bucket", "data").groupBy("bucket").applyInArrow(add, ANSWER)
 
 
-def by_part(split_: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
-    """Each part's words, then its pieces, in one task; as many tasks as parts."""
-    texts = split_.where("seq >= 0").select("part", "seq", "doc_ids", "held", "n", "tokens", *(F.lit(None).cast(t).alias(c) for c, t in (("bucket", "int"), ("keys", "binary"), ("at", "binary"), ("c", "binary"), ("g", "binary"))))
-    said = answers.select("part", F.lit(WORDS).alias("seq"), *(F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("doc_ids", "held", "n", "tokens")), "bucket", "keys", "at", "c", "g")
-    return said.unionByName(texts).repartition(parts, "part").sortWithinPartitions("part", "seq", "bucket")
+def by_part(split_: DataFrame, now: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
+    """Each part's words, their sums, then its pieces, in one task; as many tasks as parts."""
+    texts, own = split_.where("seq >= 0"), now.where(F.col("seq") == OWN)
+    nothing = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("doc_ids", "held", "n")]
+    said = answers.select("part", F.lit(WORDS).alias("seq"), *nothing, "bucket", "data")
+    return texts.unionByName(own).unionByName(said).repartition(parts, "part").sortWithinPartitions("part", "seq", "bucket")
 
 
-def walked(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[Part, pa.RecordBatch | None, np.ndarray | None]]:
-    """(part, piece, the words' counts over all parts) of each piece, and (part, None, None) after a part's last one."""
-    part, answers, counts = None, [], None
+def walked(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[Part, np.ndarray | None, pa.RecordBatch | None, np.ndarray | None]]:
+    """(part, tokens, piece, the words' counts over all parts) of each piece, and (part, None, None, None) after a part's last one."""
+    part, c, g, answers = None, None, None, []
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1)
-            number, seq = row["part"][0].as_py(), row["seq"][0].as_py()
+            number, seq, data = row["part"][0].as_py(), row["seq"][0].as_py(), row["data"][0].as_py()
             if part is not None and part.number != number:
-                yield part, None, None
+                yield part, None, None, None
                 part = None
+            if seq == OWN:
+                c, q = unpacked(data, "<u4", "g")
+                c, g, answers = c.astype(np.int64), counts_of(c, q), []
+                continue
             if seq == WORDS:
-                answers.append([np.frombuffer(row[c][0].as_py(), t) for c, t in (("keys", np.uint64), ("at", "<u4"), ("c", np.int64), ("g", "<f4"))])
+                answers.append(unpacked(data, "<u8", "<u4", "<i8", "g"))
+                c[answers[-1][1]], g[answers[-1][1]] = answers[-1][2], counts_of(*answers[-1][2:])
                 continue
             if part is None:
-                keys, at, c, g = (np.concatenate(x) for x in zip(*answers, strict=True))
-                answers, place = [], np.empty(len(at), np.int64)
-                place[at] = np.arange(len(at))
-                part, counts = Part(number, keys[place]), c[place]
-                part.e = model.emissions(g.reshape(-1, STATES)[place].astype(float))
-            yield part, row, counts
+                part = Part(number, len(c))
+                part.shared = tuple(np.concatenate([a[x] for a in answers]) if answers else np.empty(0, "<u8") for x in (1, 0))
+                part.e = model.emissions(g)
+            yield part, unpacked(data, "<u4")[0].astype(np.int64), row, c
     if part is not None:
-        yield part, None, None
+        yield part, None, None, None
 
 
 def step(rows: DataFrame, model: Model, buckets: int) -> DataFrame:
@@ -421,11 +456,11 @@ def step(rows: DataFrame, model: Model, buckets: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)  # states x states
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, row, _ in walked(batches, shared.value):
+        for part, tokens, row, _ in walked(batches, shared.value):
             if row is None:
                 yield from part.rows(buckets)
             else:
-                part.learn(shared.value, np.frombuffer(row["tokens"][0].as_buffer(), "<u4").astype(np.int64), row["n"].flatten().to_numpy(), row["held"].flatten().to_numpy(zero_copy_only=False))
+                part.learn(shared.value, tokens, row["n"].flatten().to_numpy(), row["held"].flatten().to_numpy(zero_copy_only=False))
 
     return rows.mapInArrow(run, SPLIT)
 
@@ -435,9 +470,9 @@ def scored(rows: DataFrame, model: Model, total: int, distinct: int) -> DataFram
     unit = float(np.log10(total + distinct + 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, row, c in walked(batches, shared.value):
+        for part, tokens, row, c in walked(batches, shared.value):
             if row is not None:
-                tokens, n = np.frombuffer(row["tokens"][0].as_buffer(), "<u4").astype(np.int64), row["n"].flatten().to_numpy()
+                n = row["n"].flatten().to_numpy()
                 off = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
                 base = sums((np.log10(c + 1.0) - unit)[tokens], off)
                 score = Steps(tokens, n).likelihood(shared.value, part.e) / np.log(10) - n * unit
@@ -453,12 +488,12 @@ def added(rows: DataFrame) -> Sums:
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0.0
         for batch in batches:
-            for g in batch["g"].to_pylist():
+            for g in batch["data"].to_pylist():
                 total = total + np.frombuffer(g)
         if not np.isscalar(total):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["cell", "x"])
 
-    found = rows.where(F.col("seq") == SUMS).select("g").mapInArrow(cells, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas()
+    found = rows.where(F.col("seq") == SUMS).select("data").mapInArrow(cells, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas()
     flat = np.zeros(1 + 2 * STATES + STATES**2)
     flat[found["cell"].to_numpy(np.int64)] = found["x"].to_numpy()
     return Sums.of(flat)
@@ -473,25 +508,24 @@ def hmm_scores(docs: DataFrame, steps: int | None = None) -> DataFrame:
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).head().bytes
     buckets = max(1, -(-size // BUCKET_BYTES))
     part_bytes = min(PART_BYTES, max(LEAST_BYTES, size // (3 * docs.sparkSession.sparkContext.defaultParallelism)))
-    texts = now = store.written(split(rows, started(sample(rows, size)), buckets, part_bytes), "parts")
+    texts = now = store.written(split(rows, started(sample(rows, size)), buckets, part_bytes), "parts", "none")
     parts = max(1, texts.where(F.col("seq") == SUMS).count())
     before, k = None, 1
     while True:
         model = Model.of_sums(added(now))
-        answers = store.written(met(now.where(F.col("seq") == WORDS)), "words")
+        answers = store.written(met(now), "words", "none")
         if k == 1:
             distinct = answers.agg(F.coalesce(F.sum("known"), F.lit(0))).head()[0]
             total = round(model.n)  # whole: each token's posterior sums to 1
-        else:
-            store.drop(now)
         if not total or k == steps:
             break
-        now = store.written(step(by_part(texts, answers, parts), model, buckets), "step")
-        likely = added(now).likely - total * np.log(total + distinct + 1.0)
+        new = store.written(step(by_part(texts, now, answers, parts), model, buckets), "step", "none")
+        likely = added(new).likely - total * np.log(total + distinct + 1.0)
         if before is not None and steps is None and likely - before < TOLERANCE * abs(likely):
-            store.drop(now)
+            store.drop(new)
             break
-        store.drop(answers)
-        before, k = likely, k + 1
-    out = scored(by_part(texts, answers, parts), model, total, distinct)
+        for old in [answers] + [now] * (k > 1):
+            store.drop(old)
+        now, before, k = new, likely, k + 1
+    out = scored(by_part(texts, now, answers, parts), model, total, distinct)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
