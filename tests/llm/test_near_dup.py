@@ -24,6 +24,10 @@ def brute(rows):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 parent[top(i)] = top(j)
     low = {}
+    for i, (d, _) in enumerate(rows):
+        for j in range(i):
+            if rows[j][0] == d:
+                parent[top(i)] = top(j)
     for i, (d, _) in enumerate(rows):
         low[top(i)] = min(low.get(top(i), d), d)
     return {(d, len(sets[i]), low[top(i)], d == low[top(i)]) for i, (d, _) in enumerate(rows)}
@@ -69,6 +73,31 @@ def test_nulls_repeats_and_empty_table(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_one_id_with_several_texts(spark):
+    a, b, c = "one two three four five six seven", "all other words stand in this text", "a third one that nobody shares at all"
+    rows = [(2, a), (4, a), (4, b), (9, b), (4, None), (7, c), (7, c), (8, c.upper())]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, tie string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(docs).collect())
+    assert got == [(2, 3, 2, True), (4, 0, 2, False), (4, 3, 2, False), (4, 3, 2, False), (7, 4, 7, True), (7, 4, 7, True), (8, 4, 7, False), (9, 3, 2, False)]
+    stay = sorted((r.doc_id, r.text or "") for r in nd.one_of_each(docs).collect())
+    assert stay == [(2, a), (4, ""), (4, b), (7, c)]
+    assert nd.one_of_each(docs).columns == docs.columns
+
+
+def test_blocks_keep_all_that_the_estimate_keeps():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**64, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 400 - 10 * k], r.integers(0, 2**64, 10 * k, dtype=np.uint64)])) for k in range(30)]
+    regs = np.stack([nd.registers(s, np.array([0, len(s)]))[0] for s in sets])
+    n = np.array([len(s) for s in sets], float)
+    like = nd.may_be_like(regs, regs, n, n)
+    for i in range(30):
+        for j in range(30):
+            estimate = nd.likely_jaccard(regs[i][None], regs[j][None], n[i : i + 1], n[j : j + 1])[0]
+            if abs(estimate - nd.LEAST_ESTIMATE) > 0.01:
+                assert like[i, j] == (estimate >= nd.LEAST_ESTIMATE)
+
+
 def test_registers_follow_jaccard_and_merge():
     r = np.random.default_rng(0)
     x = r.integers(0, 2**64, 3000, dtype=np.uint64)

@@ -7,13 +7,14 @@ a probability close to the Jaccard similarity); sketches of two sets merge by ``
 of four registers, 32 of them, miss a pair of similarity 0.75 with probability 5e-6.
 
 Links need only connect, so copies are never expanded into all pairs: equal sets become one
-class; each class in a bucket is first paired with the bucket's smallest id only, and the one
+class; each class in a bucket is first paired with the bucket's smallest class only, and the one
 it most probably resembles is verified on full sets. Then only pairs of one bucket whose
-components still differ are compared: in small buckets estimated and verified, in large ones
-block by block on full sets.
+components still differ are compared, by likelihood and then on full sets: those of small buckets (up to
+SMALL_BUCKET classes) as pairs, those of larger ones block by block, where sketches meet first and full sets
+of only those classes follow that may be like another one of the block.
 
-Edge cases: a null, empty or blank text has no shingles and no links (its own component);
-rows of equal doc_id count as one node and each gives a row; a null doc_id links to nothing
+Edge cases: a null, empty or blank text has no shingles and no links of its own (its own component);
+rows of equal doc_id are one node, whatever their texts: they and all that any of their texts is linked to are one component; each gives a row; a null doc_id links to nothing
 of its own, gets a null component and is kept; an empty table gives no rows; other columns
 are ignored by ``near_duplicates``.
 """
@@ -100,19 +101,43 @@ def registers(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.where(np.isinf(first), 0, np.clip(k, 0, TOP)).astype("<u2").reshape(rows, -1)
 
 
-def likely_jaccard(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, steps: int = 201) -> np.ndarray:
-    """Maximum-likelihood Jaccard similarity of pairs of sketches with known set sizes."""
+def _likelihood(more: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Joint log likelihood of ``more`` registers being larger in the first sketch and ``less`` in the second, at similarity ``j``."""
     u, v = na / (na + nb), nb / (na + nb)
-    grid = np.linspace(0, 1, steps)[None, :] * np.minimum(u / v, v / u)[:, None]
     p = lambda x: -np.log1p(-np.clip(x, 1e-12, 1) * (BASE - 1) / BASE) / np.log(BASE)
-    more, less = (a > b).sum(1)[:, None], (a < b).sum(1)[:, None]
-    up, down = p(u[:, None] - v[:, None] * grid), p(v[:, None] - u[:, None] * grid)
-    fit = more * np.log(up) + less * np.log(down) + (a.shape[1] - more - less) * np.log(np.clip(1 - up - down, 1e-12, 1))
+    up, down = p(u - v * j), p(v - u * j)
+    return more * np.log(up) + less * np.log(down) + (REGISTERS - more - less) * np.log(np.clip(1 - up - down, 1e-12, 1))
+
+
+def likely_jaccard(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, steps: int = 201) -> np.ndarray:
+    """Maximum-likelihood Jaccard similarity of pairs of sketches with known set sizes."""
+    grid = np.linspace(0, 1, steps)[None, :] * np.minimum(na / nb, nb / na)[:, None]
+    fit = _likelihood((a > b).sum(1)[:, None], (a < b).sum(1)[:, None], na[:, None], nb[:, None], grid)
     return np.take_along_axis(grid, fit.argmax(1)[:, None], 1)[:, 0]
 
 
+def may_be_like(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """For each of the first sketches and each of the second whether sizes and likelihood allow the threshold.
+
+    The likelihood has one maximum, so the most likely similarity is LEAST_ESTIMATE or more where it still rises there.
+    """
+    out = np.zeros((len(a), len(b)), bool)
+    for k in range(0, len(a), 64):
+        x, n = a[k : k + 64, None, :], na[k : k + 64, None]
+        near = 100 * np.minimum(n, nb) >= 75 * np.maximum(n, nb)
+        more, less = (x > b[None]).sum(-1), (x < b[None]).sum(-1)
+        rise = _likelihood(more, less, n, nb[None], LEAST_ESTIMATE + 1e-4) - _likelihood(more, less, n, nb[None], LEAST_ESTIMATE - 1e-4)
+        out[k : k + 64] = near & (rise >= 0)
+    return out
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, tie, text): rows of equal doc_id and tie are alike."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, regs): set size, 128-bit set digest and registers of each text."""
+    """(doc_id, tie, n_shingles, d1, d2, regs): hash of the text, set size, 128-bit set digest and registers of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -120,9 +145,9 @@ def sketches(docs: DataFrame) -> DataFrame:
             regs = registers(h, off)
             digest = [sums(mix(h ^ np.uint64(s)).view(np.int64), off) for s in (0x5DEECE66D, 0x2545F4914F6CDD1D)]
             regs_pa = pa.Array.from_buffers(pa.binary(2 * REGISTERS), len(regs), [None, pa.py_buffer(regs.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([piece["doc_id"], pa.array(np.diff(off)), *map(pa.array, digest), regs_pa], ["doc_id", "n_shingles", "d1", "d2", "regs"])
+            yield pa.RecordBatch.from_arrays([piece["doc_id"], piece["tie"], pa.array(np.diff(off)), *map(pa.array, digest), regs_pa], ["doc_id", "tie", "n_shingles", "d1", "d2", "regs"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, regs binary")
+    return identified(docs).mapInArrow(run, "doc_id long, tie long, n_shingles long, d1 long, d2 long, regs binary")
 
 
 def fixed(column: pa.Array, kind: str) -> np.ndarray:
@@ -165,8 +190,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "u long, v long")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents in ``ids``: the sorted hashes as bytes."""
+def full_sets(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """(id, shingles) of the classes ``ids`` (id, rep), from the text of their ``rep``: the sorted hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -174,8 +199,10 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             raw = h.astype("<u8").tobytes()
             yield pa.RecordBatch.from_arrays([piece["id"], pa.array([raw[8 * a : 8 * b] for a, b in zip(off, off[1:], strict=False)], pa.binary())], ["id", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles binary")
+    rows = identified(docs)
+    if repeated:
+        rows = rows.groupBy("doc_id", "tie").agg(F.first("text").alias("text"))
+    return rows.join(ids.select("id", "rep.doc_id", "rep.tie"), ["doc_id", "tie"]).select("id", "text").mapInArrow(run, "id long, shingles binary")
 
 
 def shared_counts(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -200,19 +227,29 @@ def shared_counts(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -
     return out.astype(np.int64)
 
 
-def block_links(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) in large buckets between the rows marked ``ask`` and all the bucket's, block by block on full sets.
+def block_links(large: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) in large buckets between the rows marked ``ask`` and all the bucket's, block by block.
 
+    Sketches meet first; the full sets of those that may be like another one follow.
     Of the links of one class to another component one is given: components need no more.
     """
     counts = large.groupBy("key").agg(F.count("*").alias("m"), F.count_if("ask").alias("r")).where("r > 0")
-    rows = large.join(counts, "key").join(sets, "id")
+    rows = large.join(counts, "key").join(classes.select("id", "n", "regs"), "id")
     nm, nr = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("r") / BLOCK).cast("int")
     span = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
     own = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
-    cols = ["key", "id", "c", "shingles"]
+    cols = ["key", "id", "c", "n", "regs"]
     left = rows.where("ask").select(*cols, F.lit(0).alias("side"), own(nr).alias("br"), span(nm).alias("bm"))
     right = rows.select(*cols, F.lit(1).alias("side"), span(nr).alias("br"), own(nm).alias("bm"))
+    schema = "key long, br int, bm int, side int, id long, c long"
+
+    def sift(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = frame[frame.side == 0], frame[frame.side == 1]
+        if not len(x) or not len(y):
+            return frame.iloc[:0][["key", "br", "bm", "side", "id", "c"]]
+        rx, ry = (np.frombuffer(b"".join(f.regs), "<u2").reshape(len(f), -1) for f in (x, y))
+        like = may_be_like(rx, ry, x.n.to_numpy(float), y.n.to_numpy(float)) & (x.c.to_numpy()[:, None] != y.c.to_numpy()[None, :])
+        return pd.concat([x[like.any(1)], y[like.any(0)]])[["key", "br", "bm", "side", "id", "c"]]
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = frame[frame.side == 0], frame[frame.side == 1]
@@ -230,18 +267,19 @@ def block_links(large: DataFrame, sets: DataFrame) -> DataFrame:
             out.append(pd.DataFrame({"u": x.id.iloc[k], "v": iy[at]}))
         return pd.concat(out) if out else pd.DataFrame({"u": [], "v": []}).astype("int64")
 
-    return left.unionByName(right).groupBy("key", "br", "bm").applyInPandas(compare, "u long, v long")
+    sifted = left.unionByName(right).groupBy("key", "br", "bm").applyInPandas(sift, schema)
+    return sifted.join(sets, "id").groupBy("key", "br", "bm").applyInPandas(compare, "u long, v long")
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, component) of the classes that are linked to another one."""
+def links(docs: DataFrame, classes: DataFrame, repeated: bool) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) of different classes that connect all that are linked, and (id, component) of those classes."""
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {2 * REGISTERS // BANDS} + 1, {2 * REGISTERS // BANDS})))")
     banded = classes.select("id", F.explode(band).alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1")
     members = store.written(banded.join(buckets, "key"), "members")
     first = estimated(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), classes)
     best = first.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
-    sets = store.written(full_sets(docs, members.select("id").distinct()), "sets", "none")
+    sets = store.written(full_sets(docs, members.select("id").distinct().join(classes.select("id", "rep"), "id"), repeated), "sets", "none")
     near = store.written(verified(best, sets), "links")
     found = components(near)
     # Pairs of one bucket whose components differ are left. In large buckets each class outside the hub's component
@@ -259,7 +297,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
             if not turn:
                 chosen = rest.where((F.col("m") > SMALL_BUCKET) & F.col("ask")).groupBy("id").agg(F.max_by("key", F.struct("m", "key")).alias("one"))
                 large = large.join(chosen, "id", "left").withColumn("ask", F.col("ask") & (F.col("key") == F.col("one"))).drop("one")
-            late = block_links(large, sets)
+            late = block_links(large, classes, sets)
         if not turn:
             small = rest.where(F.col("m") <= SMALL_BUCKET).select("key", "id", "c")
             other = small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
@@ -274,29 +312,71 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
             found = components(near)
         if not some_large:
             break
-    store.drop(sets)
-    return found
+    for table in (sets, members):
+        store.drop(table)
+    return near, found
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame, DataFrame]:
+    """What the two operators below share.
+
+    (doc_id, tie, n_shingles, id) of every row, where ``id`` is the class of its set, if any; classes (id, n, regs, rep: smallest doc_id and
+    its tie); of doc_ids that stand on several rows (doc_id, low, high: its classes), None without such; links; and the classes' components.
+    """
+    id_ = F.when(F.col("n_shingles") > 0, F.xxhash64("d1", "d2", "n_shingles")).alias("id")
+    signed = store.written(sketches(docs).select("doc_id", "tie", "n_shingles", id_, "regs"), "sketches")
+    sets = signed.where("id is not null and doc_id is not null").groupBy("id").agg(F.first("n_shingles").alias("n"), F.min(F.struct("doc_id", "tie")).alias("rep"), F.min("regs").alias("regs"))
+    classes = store.written(sets, "classes")
+    rows = signed.drop("regs")
+    again = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = store.written(again, "repeated")
+    repeated = bool(again.head(1))
+    near, found = links(docs, classes, repeated)
+    return rows, classes, again if repeated else None, near, found
+
+
+def lowest(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, rep) of every class: the smallest doc_id, and its tie, of its component."""
+    label = found.join(classes.select("id", "rep"), "id")
+    low = label.groupBy("component").agg(F.min("rep").alias("best"))
+    best = found.join(low, "component").select("id", "best")
+    return classes.select("id", "rep").join(best, "id", "left").select("id", F.coalesce("best", "rep").alias("rep"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
-    signed = store.written(sketches(docs), "sketches")
-    grouped = signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), F.min("regs").alias("regs"))
-    classes = store.written(grouped, "classes")
-    joined = classes.join(links(docs, classes), "id", "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
-    rows = signed.select("doc_id", "n_shingles", "d1", "d2")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.join(joined, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    rows, classes, again, near, found = grouped(docs)
+    if again is not None:
+        twins = rows.where("id is not null").join(again.where("low <> high"), "doc_id").select(F.col("low").alias("u"), F.col("id").alias("v")).where("u <> v").distinct()
+        found = components(near.unionByName(twins))
+    label = lowest(classes, found).select("id", F.col("rep.doc_id").alias("component"))
+    out = rows.join(label, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    if again is not None:
+        # A row without shingles goes with the other rows of its doc_id.
+        own = again.where("low is not null").join(label, F.col("low") == F.col("id")).select("doc_id", "component")
+        empty = rows.where("id is null").join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+        out = out.where("n_shingles > 0").unionByName(empty)
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component"))
+    out = store.written(out.select("doc_id", "n_shingles", component.alias("component_id")), "components")
+    for table in (rows, classes, near, found):
+        store.drop(table)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group of near-duplicates.
+    """The rows of ``docs`` that stand for their group of near-duplicate texts: of each group the row of the smallest doc_id.
 
-    Rows of a null doc_id stay; of rows with equal doc_id and text one stays.
+    Here rows of equal doc_id and different texts are different documents; of rows with equal doc_id and text one stays.
+    Rows without shingles and rows of a null doc_id stay.
     """
-    found = store.written(near_duplicates(docs).where("kept").select("doc_id"), "kept")
-    stay = docs.join(found.where("doc_id is not null").distinct(), "doc_id", "left_semi").select(*docs.columns)
-    count = found.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d"), F.count("*").alias("m")).head()
-    if count.n > count.d:
-        stay = stay.withColumn("same_text", F.xxhash64("text")).dropDuplicates(["doc_id", "same_text"]).drop("same_text")
-    return stay.unionByName(docs.where("doc_id is null")) if count.m > count.n else stay
+    rows, classes, again, near, found = grouped(docs)
+    empty = rows.where("id is null and doc_id is not null").select("doc_id", "tie")
+    stay = store.written(lowest(classes, found).select("rep.doc_id", "rep.tie").unionByName(empty).distinct(), "kept")
+    for table in (rows, classes, near, found):
+        store.drop(table)
+    tie = F.xxhash64(F.col("text").cast("string"))
+    kept = stay.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
+    out = docs.join(kept, (docs["doc_id"].cast("long") == F.col("_id")) & (tie == F.col("_tie")), "left_semi").select(*docs.columns)
+    if again is not None:
+        out = out.withColumn("_tie", tie).dropDuplicates(["doc_id", "_tie"]).drop("_tie")
+    return out.unionByName(docs.where("doc_id is null"))
