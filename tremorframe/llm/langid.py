@@ -9,10 +9,11 @@ language of the lowest cross-entropy per character; a word is scored once for ea
 text that it occurs in.
 
 Rejection is calibrated on training rows that the models have not seen: ``score`` is a logistic
-function of the margin to the second language, and ``rejected`` tells a score under 0.5 or a
+function of the margin to the second language times the square root of the text's characters, and ``rejected`` tells a score under 0.5 or a
 cross-entropy above nearly all (QUANTILE) of the language's calibration rows.
 
-``sample`` bounds, in expectation, the texts of each language that train the models; half as many calibrate.
+``sample`` bounds, in expectation, the texts of each language that train the models; half as many calibrate. The LANGUAGES most
+frequent languages are learned. Texts are drawn where they lie: nothing but n-gram counts is shuffled.
 
 Edge cases: a null or empty text, or one without a letter, is ``und`` with score 0, as is every text if
 nothing can be learned; a single language has an infinite margin, taken as MOST; a null doc_id is not
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .text import buffers, hashes, mix, pieces, strings, sums, unique, words
 from .toxicity import held_out, logistic
 
-ORDER, QUANTILE, MOST = 4, 0.999, 8.0
+ORDER, QUANTILE, MOST, LANGUAGES = 4, 0.999, 8.0, 1000
 _G = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
 
@@ -174,7 +175,7 @@ class Languages:
         return -total / np.maximum(n, 1)[:, None], n
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(language number or -1, score, cross-entropy, margin)."""
+        """(language number or -1, score, cross-entropy, margin times the square root of the characters)."""
         h, n = self.entropies(column)
         if not self.names:
             return np.full(len(n), -1), np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n))
@@ -182,19 +183,20 @@ class Languages:
         best = order[:, 0]
         low = h[np.arange(len(h)), best]
         margin = np.minimum(h[np.arange(len(h)), order[:, 1]] - low if len(self.names) > 1 else MOST, MOST) * np.ones(len(h))
-        score = 1 / (1 + np.exp(-(self.slope * margin * np.sqrt(np.minimum(n, 400)) + self.shift)))
-        return np.where(n > 0, best, -1), np.where(n > 0, score, 0.0), low, margin * np.sqrt(np.minimum(n, 400))
+        evidence = margin * np.sqrt(n)
+        score = 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.shift, -500, 500)))
+        return np.where(n > 0, best, -1), np.where(n > 0, score, 0.0), low, evidence
 
 
 def sampled(docs: DataFrame, sample: int) -> DataFrame:
     """(lang, text, calibrates) of about 1.5 * ``sample`` rows of each language that are not held out, by a hash of doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("doc_id is not null and lang is not null").where(~held_out())
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    # One row a language; those too many for a broadcast are joined by a shuffle.
-    share = rows.groupBy("lang").agg((F.lit(1.5 * sample) / F.count("*")).alias("share"))
-    picked = rows.withColumn("draw", draw).join(share, "lang").where("draw < share")
-    third = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(3)) == 0
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
+    # LANGUAGES rows at most.
+    share = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", (F.lit(1.5 * sample) / F.col("n")).alias("share"))
+    picked = rows.withColumn("draw", draw).join(F.broadcast(share), "lang").where("draw < share")
+    third = F.pmod(F.xxhash64("doc_id", "text", F.lit("calibration")), F.lit(3)) == 0
     return picked.select("lang", "text", third.alias("calibrates"))
 
 
