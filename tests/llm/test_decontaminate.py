@@ -46,6 +46,21 @@ def test_leaks_equal_brute_force(spark):
         assert g.score <= g.doc_end - g.doc_start + 3 * dc.Q and 0 <= g.doc_start < g.doc_end <= len(text)
 
 
+def test_repetitive_texts_stay_in_memory():
+    """An item of 1,500 equal letters and a text of 20,000: 30 million shared q-grams."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    index = dc.Index([1], ["z" * 1500])
+    data, off, _ = dc.normal(pa.array(["z" * 20_000]))
+    tracemalloc.start()
+    (doc,), (item,), (score,), *_ = index.best(data, off)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (doc, item, score) == (0, 0, 1500) and peak < 600 << 20
+
+
 def test_blocks_and_empty(spark):
     item = "a passage of the benchmark that is long enough to be found again"
     docs = spark.createDataFrame([(1, "before it " + item.upper() + " after it"), (2, "something else")], "doc_id long, text string")

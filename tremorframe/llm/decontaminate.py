@@ -10,7 +10,8 @@ diagonals lies in one band whole. Bands that meet the bound are verified by a lo
 confined to the band.
 
 The benchmark is indexed in blocks of at most ``block_bytes`` of text; every block is broadcast
-(its size is thereby bounded) and meets all documents.
+(its size is thereby bounded) and meets all documents. The q-grams that a document shares with a block are expanded
+HITS at a time and reduced to distinct (band, item position), so repetitive texts do not fill memory.
 
 Edge cases: null or empty texts and items of under Q + 1 bytes match nothing; repeated items
 and rows give a row each; a null item_id or doc_id is carried along; an empty table on either side
@@ -32,6 +33,8 @@ from .text import PAD, SPACE, buffers, mix, pieces
 Q, LEAST, WIDTH = 8, 40, 32
 ROW = "doc_id long, item_id long, doc_start long, doc_end long, item_start long, item_end long, score long"
 FILTER_BITS = 22
+#: Shared q-grams that are expanded at a time, and bands that are aligned at a time.
+HITS, ALIGNED = 1_000_000, 20_000
 
 
 def normal(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,6 +52,17 @@ def normal(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], np.cumsum(keep)])[off], place
 
 
+KEYED = np.dtype([("key", np.int64), ("i", np.int64)])
+
+
+def distinct(rows: np.ndarray) -> np.ndarray:
+    order = np.lexsort((rows["i"], rows["key"]))
+    rows = rows[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["i"][1:] != rows["i"][:-1])
+    return rows[new]
+
+
 def grams(data: np.ndarray) -> np.ndarray:
     """The q-gram at each byte, as an integer."""
     return np.ndarray(len(data) - PAD + 1, "<u8", data.data, strides=(1,))
@@ -63,9 +77,7 @@ class Index:
         g = grams(self.data)
         at = np.concatenate([np.arange(a, max(a, b - Q + 1)) for a, b in zip(self.off, self.off[1:], strict=False)]) if ids else np.empty(0, np.int64)
         order = np.argsort(g[at], kind="stable")
-        self.gram, at = g[at][order], at[order]
-        self.item = np.searchsorted(self.off, at, "right") - 1
-        self.pos = at - self.off[self.item]
+        self.gram, self.at = g[at][order], at[order].astype(np.uint32)
         self.size = np.diff(self.off)
         self.least = np.minimum(LEAST, self.size)
         self.bits = np.zeros(1 << FILTER_BITS, bool)
@@ -75,8 +87,8 @@ class Index:
     def slot(g: np.ndarray) -> np.ndarray:
         return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
-    def hits(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(doc, item, position in doc, position in item) of all shared q-grams."""
+    def hits(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(doc, item, position in doc, position in item) of all shared q-grams, about HITS at a time."""
         g = grams(data)[: off[-1]]
         at = np.flatnonzero(self.bits[self.slot(g)])
         doc = np.searchsorted(off, at, "right") - 1
@@ -84,30 +96,50 @@ class Index:
         at, doc = at[inside], doc[inside]
         low = np.searchsorted(self.gram, g[at], "left")
         n = np.searchsorted(self.gram, g[at], "right") - low
-        ends = np.cumsum(n)
-        where = np.repeat(low - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        return np.repeat(doc, n), self.item[where], np.repeat(at - off[doc], n), self.pos[where]
+        some = n > 0
+        at, doc, low, n = at[some], doc[some], low[some], n[some]
+        total, k = np.concatenate([[0], np.cumsum(n)]), 0
+        while k < len(at):
+            end = max(k + 1, int(np.searchsorted(total, total[k] + HITS, "right")) - 1)
+            m = n[k:end]
+            where = self.at[np.repeat(low[k:end] - (total[k:end] - total[k]), m) + np.arange(total[end] - total[k])].astype(np.int64)
+            item = np.searchsorted(self.off, where, "right") - 1
+            yield np.repeat(doc[k:end], m), item, np.repeat(at[k:end] - off[doc[k:end]], m), where - self.off[item]
+            k = end
 
     def bands(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(doc, item, first diagonal) of the bands that meet the lemma's bound."""
-        doc, item, j, i = self.hits(data, off)
-        half = WIDTH // 2
-        upper = (j - i) // half  # a diagonal lies in the bands that start at upper * half and the half before
-        found = []
-        for band in (upper, upper - 1):
-            key = ((doc * len(self.ids) + item) << 32) + (band + (1 << 31))
+        half, found, waiting = WIDTH // 2, np.empty(0, KEYED), []
+        for doc, item, j, i in self.hits(data, off):
+            upper = (j - i) // half  # a diagonal lies in the bands that start at upper * half and the half before
+            for band in (upper, upper - 1):
+                part = np.empty(len(doc), KEYED)
+                part["key"], part["i"] = ((doc * len(self.ids) + item) << 32) + (band + (1 << 31)), i
+                waiting.append(part)
             # One count per item position and band.
-            order = np.lexsort((i, key))
-            k, p = key[order], i[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
-            found.append(k[new])
-        k, n = np.unique(np.concatenate(found), return_counts=True)
+            if sum(map(len, waiting)) > max(2 * len(found), 2 * HITS):
+                found, waiting = distinct(np.concatenate([found, *waiting])), []
+        found = distinct(np.concatenate([found, *waiting]))
+        k, n = np.unique(found["key"], return_counts=True)
         pair, band = k >> 32, (k & 0xFFFFFFFF) - (1 << 31)
         doc, item = pair // max(len(self.ids), 1), pair % max(len(self.ids), 1)
         enough = (n >= self.least[item] - Q + 1) & (self.size[item] > Q)
         return doc[enough], item[enough], band[enough] * half
 
+    def best(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(doc, item, score, doc start, doc end, item start, item end) of the leaks: each document's and item's best stretch."""
+        doc, item, first = self.bands(data, off)
+        out = np.empty((7, 0), np.int64)
+        for k in range(0, len(doc), ALIGNED):
+            d, i = doc[k : k + ALIGNED], item[k : k + ALIGNED]
+            part = np.stack([d, i, *self.aligned(data, off, d, i, first[k : k + ALIGNED])])
+            out = np.concatenate([out, part[:, (part[2] >= self.least[i]) & (part[2] > 0)]], 1)
+            out = out[:, np.lexsort((out[3], -out[2], out[1], out[0]))]
+            new = np.ones(out.shape[1], bool)
+            new[1:] = (out[:2, 1:] != out[:2, :-1]).any(0)
+            out = out[:, new]
+        return tuple(out)
+
     def aligned(self, data: np.ndarray, off: np.ndarray, doc: np.ndarray, item: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """(score, doc start, doc end, item start, item end) of each band's best local alignment: match 1, edit -Q."""
         k, span = len(doc), np.arange(WIDTH)
@@ -158,7 +190,7 @@ def indexed(benchmark: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
         yield context.broadcast(Index([x.item_id for x in block], [x.text for x in block]))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     """The leaks of ``benchmark`` (item_id, text) in ``docs`` (doc_id, text): for each document and item the best stretch.
 
     Ends are exclusive; places in the document count code points of its text, places in the item bytes
@@ -174,18 +206,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 2 << 20) ->
             for piece in pieces(batches):
                 index = model.value
                 data, off, place = normal(piece["text"])
-                doc, item, first = index.bands(data, off)
-                score, a, b, c, d = index.aligned(data, off, doc, item, first)
-                hit = np.flatnonzero((score >= index.least[item]) & (score > 0))
-                order = hit[np.lexsort((a[hit], -score[hit], item[hit], doc[hit]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (doc[order][1:] != doc[order][:-1]) | (item[order][1:] != item[order][:-1])
-                best = order[new]
+                doc, item, score, a, b, c, d = index.best(data, off)
                 raw, raw_off = buffers(piece["text"])
                 points = np.concatenate([[0], np.cumsum((raw[:-PAD] & 0xC0) != 0x80)])
-                at = lambda p: points[place[off[doc[best]] + p]] - points[raw_off[doc[best]]]
-                ids = piece["doc_id"].take(pa.array(doc[best]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[k] for k in item[best]], pa.int64()), *(pa.array(x, pa.int64()) for x in (at(a[best]), at(b[best] - 1) + 1, c[best], d[best], score[best]))], [x.split()[0] for x in ROW.split(", ")])
+                at = lambda p: points[place[off[doc] + p]] - points[raw_off[doc]]
+                ids = piece["doc_id"].take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[k] for k in item], pa.int64()), *(pa.array(x, pa.int64()) for x in (at(a), at(b - 1) + 1, c, d, score))], [x.split()[0] for x in ROW.split(", ")])
 
         return docs.mapInArrow(run, ROW)
 
@@ -194,7 +220,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 2 << 20) ->
     return out if out is not None else spark.createDataFrame([], ROW)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of ``docs`` that leak no item, in one pass without a shuffle."""
     at = docs.columns.index("text")
 
@@ -203,10 +229,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 2 <<
             for piece in pieces(b.set_column(at, "text", b.column(at)) for b in batches):
                 index = model.value
                 data, off, _ = normal(piece.column(at))
-                doc, item, first = index.bands(data, off)
-                score = index.aligned(data, off, doc, item, first)[0]
                 clean = np.ones(piece.num_rows, bool)
-                clean[doc[(score >= index.least[item]) & (score > 0)]] = False
+                clean[index.best(data, off)[0]] = False
                 yield piece.filter(pa.array(clean))
 
         return run
