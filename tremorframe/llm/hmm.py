@@ -42,7 +42,7 @@ SAMPLE_BYTES, SAMPLE_TEXT, SAMPLE_ROWS = 2 << 20, 1 << 14, 2048
 #: A part ends beyond so many bytes of text (less if the corpus would give the cores under three parts each) or different words; texts are coded
 #: in pieces of so many bytes. A bucket serves so many bytes of the corpus.
 PART_BYTES, LEAST_BYTES, PIECE_BYTES, PART_WORDS, BUCKET_BYTES = 32 << 20, 2 << 20, 8 << 20, 500_000, 32 << 20
-SEGMENT, EIGHTH = 1_000_000, 8
+SEGMENT, EIGHTH = 250_000, 8
 #: Added to expected counts of starts and moves.
 PRIOR = 0.1
 #: No word holds white space.
@@ -293,7 +293,7 @@ def as_list(a: pa.Array) -> pa.Array:
 
 def packed(*columns: np.ndarray) -> bytes:
     """Columns of equal length (the last may have one row a state) as compressed bytes."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+    return zstandard.ZstdCompressor(level=4).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
 
 
 def unpacked(raw: bytes, *types: str) -> list[np.ndarray]:
