@@ -89,6 +89,43 @@ def test_hungarian_equals_brute_force():
         assert w[rows, cols].sum() == pytest.approx(best)
 
 
+def sorted_ap(jaccards, n_gt, n_pd, truncation=1.0):
+    tp = len(jaccards)
+    fn = n_gt - tp
+    if tp == 0 and fn:
+        return 0.0
+    if n_pd == 0 and fn == 0:
+        return 1.0
+    curve = []
+    for k, j in enumerate(sorted(jaccards)):
+        value = (tp - k) / (n_pd + fn + k)
+        curve.append((min(j, truncation), value))
+        if j > truncation:
+            break
+    area, x0, y0 = 0.0, 0.0, curve[0][1]
+    for x, y in curve:
+        area, x0, y0 = area + (x - x0) * (y + y0) / 2, x, y
+    return area + (1 - x0) * y0 / 2
+
+
+def test_sorted_average_precision(spark):
+    r = random.Random(6)
+    rows = [(i, r.choice([0, 1, 2, 3]), g_) for i in range(6) for _ in range(120) for g_ in [r.choice([0, 1, 2, 3, 4])]]
+    rows = [(i, a, a if r.random() < i / 6 else b) for i, a, b in rows] + [(10, 1, 0)] * 3 + [(11, 0, 0)] * 2 + [(12, 0, 1)] * 2
+    px = spark.createDataFrame(rows, "image_id int, gt_label int, pd_label int")
+    pairs = {}
+    for p in segmentation.matched(segmentation.intersections(px), 0.001, "hungarian").collect():
+        pairs.setdefault(p.image_id, []).append(p.jaccard)
+    n = {i: (len({a for j, a, _ in rows if j == i} - {0}), len({b for j, _, b in rows if j == i} - {0})) for i in {x[0] for x in rows}}
+    got = {x.image_id: x.sorted_ap for x in segmentation.sorted_average_precision(px, by_image=True).collect()}
+    want = {i: sorted_ap(pairs.get(i, []), *n[i]) if n[i] != (0, 2) and not (n[i][0] == 0 and n[i][1]) else 0.0 for i in n}
+    assert got == pytest.approx(want)
+    every = [j for x in pairs.values() for j in x]
+    for t in (1.0, 0.5, 0.2):
+        got = segmentation.sorted_average_precision(px, truncation=t, buckets=7).head().sorted_ap
+        assert got == pytest.approx(sorted_ap(every, sum(a for a, _ in n.values()), sum(b for _, b in n.values()), t))
+
+
 def test_published_confusion_matrices(spark):
     """Macro-F1 and accuracy of a published matrix (rows: true class)."""
     matrix = [[18, 1, 4, 1], [2, 43, 25, 0], [14, 16, 213, 1], [0, 0, 5, 2]]

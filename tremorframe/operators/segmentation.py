@@ -145,13 +145,44 @@ def aggregated_jaccard(pixels: DataFrame) -> DataFrame:
     return rows.select("image_id", ratio(F.col("c"), union).alias("aji"))
 
 
-def sorted_average_precision(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row: area under the precision curve over predictions ranked by their best Jaccard (trapezoids)."""
-    best = intersections(pixels).groupBy("image_id", "pd").agg(F.max("jaccard").alias("j"))
-    n_gt = instances(pixels).agg(F.sum("n_gt").alias("n_gt"))
-    w = Window.orderBy(F.desc("j"), "image_id", "pd")  # one row a prediction
-    ranked = best.select("*", F.row_number().over(w).alias("k"), F.sum((F.col("j") > threshold).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"))
-    ranked = ranked.crossJoin(F.broadcast(n_gt)).select("k", (F.col("tp") / F.col("k")).alias("p"), (F.col("tp") / F.col("n_gt")).alias("r"))
-    w = Window.orderBy("k")
-    area = (F.col("r") - F.lag("r", 1, 0.0).over(w)) * (F.col("p") + F.coalesce(F.lag("p").over(w), F.lit(1.0))) / 2
-    return ranked.select(area.alias("a")).agg(F.coalesce(F.sum("a"), F.lit(1.0)).alias("sorted_ap"))
+def _sorted_area(steps: DataFrame, key: list[str], totals: DataFrame, truncation: float = 1.0) -> DataFrame:
+    """Area under (tp - k) / (n_pd + fn + k) over the matches' sorted Jaccards, k of them lost, from the first value at 0 to 0 at 1.
+
+    ``steps``: (key, jaccard, n: matches of that Jaccard, before: matches under it, last: the Jaccard before it or null); ``totals``: (key, n_gt, n_pd, tp).
+    Beyond ``truncation`` the first curve value counts at the truncation, the rest is left out.
+    """
+    rows = steps.join(totals, key) if key else steps.crossJoin(F.broadcast(totals))  # without a key one row
+    fn = F.col("n_gt") - F.col("tp")
+    value = lambda k: (F.col("tp") - k) / (F.col("n_pd") + fn + k)
+    first = F.col("before")
+    x, y0, y1 = F.least("jaccard", F.lit(truncation)), F.when(first > 0, value(first - 1)).otherwise(value(first)), value(first)
+    inside = F.coalesce(F.col("last"), F.lit(0.0)) <= truncation
+    area = F.when(inside, (x - F.coalesce(F.col("last"), F.lit(0.0))) * (y0 + y1) / 2)
+    # After the last step the curve falls to 0 at 1: from the value of its last match, or of the first beyond the truncation.
+    end = F.when(F.col("jaccard") > truncation, value(first)).otherwise(value(first + F.col("n") - 1))
+    tail = F.max_by(F.struct(x.alias("x"), end.alias("y")), F.when(inside, F.col("jaccard")))
+    out = rows.groupBy(*key).agg(F.sum(area).alias("a"), tail.alias("t")).select(*key, (F.col("a") + (1 - F.col("t.x")) * F.col("t.y") / 2).alias("sorted_ap"))
+    known = totals.join(out, key, "left") if key else totals.crossJoin(F.broadcast(out))
+    nothing = F.when((F.col("tp") == 0) & (F.col("n_gt") > 0), 0.0).when(F.col("n_pd") == 0, 1.0)
+    return known.select(*key, F.coalesce(nothing, F.col("sorted_ap"), F.lit(0.0)).alias("sorted_ap"))
+
+
+def sorted_average_precision(pixels: DataFrame, threshold: float = 0.001, truncation: float = 1.0, by_image: bool = False, buckets: int = 4096) -> DataFrame:
+    """(image_id, sorted_ap) of every image, or one row over all: see ``_sorted_area``. Matches are those of largest total Jaccard at ``threshold``.
+
+    Over all images the Jaccards are put in order by buckets of their range, then within each, so no task sorts them all.
+    """
+    hits = matched(intersections(pixels), threshold, "hungarian")
+    count = hits.groupBy("image_id").agg(F.count("*").alias("tp"))
+    each = instances(pixels).join(count, "image_id", "left").select("image_id", "n_gt", "n_pd", F.coalesce("tp", F.lit(0)).alias("tp"))
+    if by_image:
+        w = Window.partitionBy("image_id").orderBy("jaccard")
+        steps = hits.groupBy("image_id", "jaccard").agg(F.count("*").alias("n")).select("*", (F.sum("n").over(w) - F.col("n")).alias("before"), F.lag("jaccard").over(w).alias("last"))
+        return _sorted_area(steps, ["image_id"], each)
+    steps = hits.groupBy("jaccard").agg(F.count("*").alias("n")).withColumn("b", F.floor(F.col("jaccard") * buckets))
+    w = Window.orderBy("b")  # one row a bucket
+    ends = steps.groupBy("b").agg(F.sum("n").alias("m"), F.max("jaccard").alias("top")).select("b", (F.sum("m").over(w) - F.col("m")).alias("under"), F.lag("top").over(w).alias("below"))
+    w = Window.partitionBy("b").orderBy("jaccard")
+    rows = steps.select("*", (F.sum("n").over(w) - F.col("n")).alias("own"), F.lag("jaccard").over(w).alias("near")).join(F.broadcast(ends), "b")  # ``buckets`` + 1 rows at most
+    rows = rows.select("jaccard", "n", (F.col("own") + F.col("under")).alias("before"), F.coalesce("near", "below").alias("last"))
+    return _sorted_area(rows, [], each.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_gt", "n_pd", "tp"))), truncation)
