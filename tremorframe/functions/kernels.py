@@ -195,6 +195,41 @@ def hull_measures(exterior: Column, min_length: float = 0.0, min_area: float = 0
     return run(F.transform(exterior, lambda p: p["x"]), F.transform(exterior, lambda p: p["y"]))
 
 
+def pockets(exterior: Column) -> Column:
+    """Array of a ring's pockets, the areas between it and its hull: area, centroid (cx, cy), extents b1 and b2 along the smallest rectangle's directions."""
+
+    def of_ring(x: np.ndarray, y: np.ndarray, hull: np.ndarray, d: tuple[float, float]) -> list[dict]:
+        n, out = len(x), []
+        corners = np.flatnonzero(hull)
+        for a, b in zip(corners, np.append(corners[1:], corners[0] + n), strict=True):
+            if b - a < 2:
+                continue
+            at = np.arange(a, b + 1) % n
+            px, py = x[at], y[at]
+            c = px * np.roll(py, -1) - np.roll(px, -1) * py
+            if abs(c.sum()) < 1e-12:
+                continue
+            u, v = px * d[0] + py * d[1], py * d[0] - px * d[1]
+            centre = [float(((p + np.roll(p, -1)) * c).sum() / (3 * c.sum())) for p in (px, py)]
+            out.append({"area": float(abs(c.sum()) / 2), "cx": centre[0], "cy": centre[1], "b1": float(np.ptp(u)), "b2": float(np.ptp(v))})
+        return out
+
+    @F.pandas_udf("array<struct<area: double, cx: double, cy: double, b1: double, b2: double>>")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = [None] * len(x)
+        for rows, gx, gy, n in padded(x, y):
+            hull = on_hull(gx, gy, n)
+            _, _, dx, dy = smallest_rectangle(gx, gy, hull)
+            for k, r in enumerate(rows):
+                found = of_ring(gx[k, : n[k]], gy[k, : n[k]], hull[k, : n[k]], (dx[k], dy[k]))
+                for p in found:
+                    p["cx"], p["cy"] = p["cx"] + x.iloc[r][0], p["cy"] + y.iloc[r][0]
+                out[r] = found
+        return pd.Series(out, dtype=object)
+
+    return run(F.transform(exterior, lambda p: p["x"]), F.transform(exterior, lambda p: p["y"]))
+
+
 def _distance(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Distance of points (rows x points) to the rings, negative outside."""
     inside = np.zeros(px.shape, bool)

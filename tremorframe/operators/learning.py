@@ -60,19 +60,34 @@ def rare_labels(df: DataFrame, label: str, least: int = 5) -> DataFrame:
 # Splits ----------------------------------------------------------------------------------------
 
 
+def places(df: DataFrame, key: str, strata: list[str], seed: int = 0) -> DataFrame:
+    """Adds ``_k`` (place from 0 within the stratum, in order of the MD5 of "key:seed") and ``_n`` (rows of the stratum).
+
+    Rows are counted by the hash's first three digits, so places come from windows over a 4,096th of a stratum.
+    """
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    rows = df.withColumn("_h", F.coalesce(h, F.lit(""))).withColumn("_b", F.substring("_h", 1, 3))
+    w = Window.partitionBy(*strata)
+    ends = rows.groupBy(*strata, "_b").agg(F.count("*").alias("_m"))
+    ends = ends.select(*(F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)), F.col("_b").alias("_sb"), (F.sum("_m").over(w.orderBy("_b")) - F.col("_m")).alias("_under"), F.sum("_m").over(w).alias("_n"))
+    same = F.col("_b") == F.col("_sb")
+    for i, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    own = F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", key))
+    rows = rows.withColumn("_own", own).join(ends, same).withColumn("_k", F.col("_under") + F.col("_own") - 1)
+    return rows.select(*df.columns, "_k", "_n")
+
+
 def stratified_split(df: DataFrame, key: str, strata: list[str], shares: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 0) -> DataFrame:
     """Adds ``split`` (train, val, test): per stratum the shares of rows in hash order; a stratum's only row trains."""
-    w = Window.partitionBy(*strata)
-    rows = df.withColumn("_k", F.row_number().over(w.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))).withColumn("_n", F.count("*").over(w))
     train, val = F.round(F.col("_n") * shares[0]), F.round(F.col("_n") * (shares[0] + shares[1]))
-    split = F.when((F.col("_n") == 1) | (F.col("_k") <= train), "train").when(F.col("_k") <= val, "val").otherwise("test")
-    return rows.withColumn("split", split).drop("_k", "_n")
+    split = F.when((F.col("_n") == 1) | (F.col("_k") < train), "train").when(F.col("_k") < val, "val").otherwise("test")
+    return places(df, key, strata, seed).withColumn("split", split).drop("_k", "_n")
 
 
 def folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
     """Adds ``fold`` 0..k-1, stratified by label."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    return places(df, key, [label], seed).withColumn("fold", (F.col("_k") % k).cast("int")).drop("_k", "_n")
 
 
 # Features ----------------------------------------------------------------------------------------

@@ -216,10 +216,10 @@ def codigo_sismico_costa_rica(buildings: DataFrame, mode: str = "documented", ax
 # GNDT ------------------------------------------------------------------------------------------
 
 
-def basic_lengths(buildings: DataFrame) -> DataFrame:
-    """(id, geometry, h, a, l, ax, ay): main shape a (side of the largest inscribed square) and total length l of the worse pair of
+def basic_lengths(buildings: DataFrame, *columns: str) -> DataFrame:
+    """(id, geometry, h, a, l, ax, ay, *columns): main shape a (side of the largest inscribed square) and total length l of the worse pair of
     rectangle side and inscribed extent; (ax, ay) is the direction of a."""
-    rows = with_hull(buildings).withColumn("k", kernels.inscribed_circle(F.col("geometry")["exterior"]))
+    rows = with_hull(buildings, 0.0, 0.0, *columns).withColumn("k", kernels.inscribed_circle(F.col("geometry")["exterior"]))
     k, h = F.col("k"), F.col("h")
     reach = k["radius"] * (2 - math.cos(math.pi / 32)) + 1e-3
 
@@ -234,7 +234,7 @@ def basic_lengths(buildings: DataFrame) -> DataFrame:
     rows = rows.withColumns({"a1": along(F.col("q"), h["d1x"], h["d1y"]), "a2": along(F.col("q"), -h["d1y"], h["d1x"])})
     first = F.col("a1") * h["l2"] > F.col("a2") * h["l1"]
     pick = lambda x, y: F.when(first, x).otherwise(y)
-    return rows.select("id", "geometry", "h", pick(F.col("a1"), F.col("a2")).alias("a"), pick(h["l2"], h["l1"]).alias("l"), pick(h["d1x"], -h["d1y"]).alias("ax"), pick(h["d1y"], h["d1x"]).alias("ay"))
+    return rows.select("id", "geometry", *columns, "h", pick(F.col("a1"), F.col("a2")).alias("a"), pick(h["l2"], h["l1"]).alias("l"), pick(h["d1x"], -h["d1y"]).alias("ax"), pick(h["d1y"], h["d1x"]).alias("ay"))
 
 
 def gndt_beta_1_main_shape_slenderness(buildings: DataFrame) -> DataFrame:
@@ -252,9 +252,28 @@ def gndt_beta_4_eccentricity_ratio(buildings: DataFrame) -> DataFrame:
     return rows.select("id", (((m["mx"] - m["bx"]) * F.col("ax") + (m["my"] - m["by"]) * F.col("ay")) / F.col("a")).alias("gndt_beta_4"))
 
 
-def gndt_beta_6_setback_slenderness(buildings: DataFrame) -> DataFrame:
-    """0, as the index is defined on a footprint's section within 1 mm of a pocket's centroid, which lies outside."""
-    return buildings.select("id", F.when(F.col("geometry").isNotNull(), 0.0).alias("gndt_beta_6"))
+def gndt_beta_6_setback_slenderness(buildings: DataFrame, min_length: float = 0.0, min_area: float = 0.0, mode: str = "documented") -> DataFrame:
+    """Largest over pockets of min(c1 / b1, c2 / b2): c is the footprint's length on the line through the pocket's centroid, c1 along the
+    smallest rectangle's shorter side and c2 along the longer, b the pocket's extents; 0 without pockets.
+
+    ``compat`` counts only sections within 1 mm of the centroid, which lies outside the footprint, so it is 0 but for pockets thinner than that.
+    Pockets with an extent under ``min_length`` count 0, and all do if 1 - area / hull area <= ``min_area``.
+    """
+    ext = F.col("geometry")["exterior"]
+    rows = with_hull(buildings).withColumn("k", kernels.pockets(ext)).select("id", "geometry", "h", "k", F.abs(g.signed_area(ext)).alias("area"))
+    h = F.col("h")
+
+    def section(p: Column, dx: Column, dy: Column) -> Column:
+        length = g.chord(ext, p["cx"], p["cy"], dx, dy)
+        return length if mode == "documented" else F.when(F.least(p["b1"], p["b2"]) < 2 * NEAR, length).otherwise(0.0)
+
+    def ratio(p: Column) -> Column:
+        value = F.least(section(p, -h["d1y"], h["d1x"]) / (p["b1"] + 1e-10), section(p, h["d1x"], h["d1y"]) / (p["b2"] + 1e-10))
+        return F.when(F.least(p["b1"], p["b2"]) >= min_length, value).otherwise(0.0)
+
+    worst = F.coalesce(F.array_max(F.transform("k", ratio)), F.lit(0.0))
+    full = 1 - F.col("area") / h["hull_area"] <= min_area
+    return rows.select("id", F.when(F.col("geometry").isNotNull(), F.when(full, 0.0).otherwise(worst)).alias("gndt_beta_6"))
 
 
 # Classes -----------------------------------------------------------------------------------------
@@ -262,7 +281,7 @@ def gndt_beta_6_setback_slenderness(buildings: DataFrame) -> DataFrame:
 
 def slenderness_elevation(buildings: DataFrame) -> DataFrame:
     """Height by the side of the main shape."""
-    return basic_lengths(buildings).join(buildings.select("id", "height"), "id").select("id", (F.col("height") / F.col("a")).alias("slenderness_elevation"))
+    return basic_lengths(buildings, "height").select("id", (F.col("height") / F.col("a")).alias("slenderness_elevation"))
 
 
 def fsi_class(eccentricity: Column, setback: Column, slenderness: Column, limits: tuple[float, float, float] = (0.3, 0.2, 4.0)) -> Column:

@@ -1,11 +1,13 @@
 """A terrain model from points: slopes to near neighbours, cleaning, sampling of roads, interpolation.
 
-Neighbours are found by a cell join (each point meets the points of the 3 x 3 cells around), so memory per task is
-bounded by the density of points, and ``reach`` bounds how far a neighbour may be.
+Neighbours are found by a cell join: each point meets the points of the 3 x 3 cells around. ``neighbours`` has a fixed
+reach; ``nearest`` gives each point cells as large as its k nearest need, whatever their distance.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +23,42 @@ def neighbours(points: DataFrame, reach: float) -> DataFrame:
     return a.join(b, ["gx", "gy"]).where("id <> o_id").withColumn("dist", dist).where(F.col("dist") <= reach).select("id", "height", "o_id", "o_height", "dist")
 
 
-def edge_gradient(points: DataFrame, k: int = 10, min_distance: float = 0.0, reach: float = 50.0) -> DataFrame:
-    """(id, x, y, height, gradient): the signed slope of largest magnitude to the k nearest points.
+def nearest(points: DataFrame, k: int, cell: float = 50.0) -> DataFrame:
+    """(id, height, o_id, o_height, dist, k): each point's ``k`` nearest other points at another place, by distance, then o_id; any distance.
 
-    Equal points count once (the smallest id); points that are not the lowest within ``min_distance`` have none.
+    Cells of ``cell`` double in size level by level. A point's level is the first whose cell has more than k of the other places, so
+    its k nearest lie within that cell's diagonal, and thus within the 3 x 3 cells of the level above. Points meet in an equi-join on (level, cell).
+    """
+    ends = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).head()
+    if ends.x0 is None:
+        return points.select("id", "height", F.col("id").alias("o_id"), F.col("height").alias("o_height"), F.lit(0.0).alias("dist"), F.lit(1).alias("k")).where("false")
+    top = max(0, math.ceil(math.log2(max(ends.x1 - ends.x0, ends.y1 - ends.y0, cell) / cell))) + 1  # one cell holds all
+    base = lambda c, o: F.floor((F.col(c) - o) / cell)
+    at = points.select("id", "x", "y", "height", base("x", ends.x0).alias("cx"), base("y", ends.y0).alias("cy"))
+    up = lambda c, level: F.floor(F.col(c) / F.pow(F.lit(2), level))
+    # Places, not points, as those at the point's own place don't count.
+    spots = at.groupBy("cx", "cy").agg(F.count_distinct("x", "y").alias("n"))
+    level = F.col("level")
+    grown = spots.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    sizes = grown.groupBy("level", up("cx", level).alias("ux"), up("cy", level).alias("uy")).agg(F.sum("n").alias("m"))
+    own = grown.select("cx", "cy", "level", up("cx", level).alias("ux"), up("cy", level).alias("uy")).join(sizes, ["level", "ux", "uy"])
+    chosen = own.groupBy("cx", "cy").agg((F.coalesce(F.min(F.when(F.col("m") > k, level)), F.lit(top)) + 1).alias("level"))
+    ask = at.join(chosen, ["cx", "cy"]).select("id", "x", "y", "height", "level", up("cx", level).alias("ux"), up("cy", level).alias("uy"))
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    wanted = ask.select("level", "ux", "uy").distinct().withColumn("dx", around).withColumn("dy", around).select("level", (F.col("ux") + F.col("dx")).alias("ux"), (F.col("uy") + F.col("dy")).alias("uy")).distinct()
+    data = at.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(top + 1)))).select("level", up("cx", level).alias("ux"), up("cy", level).alias("uy"), F.col("id").alias("o_id"), F.col("x").alias("o_x"), F.col("y").alias("o_y"), F.col("height").alias("o_height"))
+    data = data.join(wanted, ["level", "ux", "uy"], "left_semi")
+    spread = ask.withColumn("dx", around).withColumn("dy", around).withColumns({"ux": F.col("ux") + F.col("dx"), "uy": F.col("uy") + F.col("dy")}).drop("dx", "dy")
+    dist = F.sqrt((F.col("o_x") - F.col("x")) * (F.col("o_x") - F.col("x")) + (F.col("o_y") - F.col("y")) * (F.col("o_y") - F.col("y")))
+    w = Window.partitionBy("id").orderBy("dist", "o_id")
+    pairs = spread.join(data, ["level", "ux", "uy"]).where("id <> o_id").withColumn("dist", dist).where("dist > 0")
+    return pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).select("id", "height", "o_id", "o_height", "dist", "k")
+
+
+def edge_gradient(points: DataFrame, k: int = 10, min_distance: float = 0.0, cell: float = 50.0) -> DataFrame:
+    """(id, x, y, height, gradient): the signed slope of largest magnitude to the k nearest points, however far they are.
+
+    Equal points count once (the smallest id); points that are not the lowest within ``min_distance`` have none. ``cell``: about the distance of neighbours.
     """
     once = points.groupBy("x", "y", "height").agg(F.min("id").alias("id")).select("id", "x", "y", "height")
     if min_distance > 0:
@@ -32,17 +66,15 @@ def edge_gradient(points: DataFrame, k: int = 10, min_distance: float = 0.0, rea
         kept = once.join(lower, "id", "left_anti")
     else:
         kept = once
-    w = Window.partitionBy("id").orderBy("dist", "o_id")
-    pairs = neighbours(kept, reach).where("dist > 0").withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
     slope = (F.col("height") - F.col("o_height")) / F.col("dist")
-    steep = pairs.groupBy("id").agg(F.max_by(slope, F.struct(F.abs(slope), -F.col("k"))).alias("gradient"))
+    steep = nearest(kept, k, cell).groupBy("id").agg(F.max_by(slope, F.struct(F.abs(slope), -F.col("k"))).alias("gradient"))
     return points.join(steep, "id", "left")
 
 
-def cleaned(points: DataFrame, max_gradient: float, ks: tuple[int, ...] = (50, 10), reach: float = 50.0) -> DataFrame:
+def cleaned(points: DataFrame, max_gradient: float, ks: tuple[int, ...] = (50, 10), cell: float = 50.0) -> DataFrame:
     """Points whose slope stays under the limit, pass by pass."""
     for k in ks:
-        points = edge_gradient(points, k, reach=reach).where(F.coalesce(F.abs("gradient"), F.lit(0.0)) < max_gradient).drop("gradient")
+        points = edge_gradient(points, k, cell=cell).where(F.coalesce(F.abs("gradient"), F.lit(0.0)) < max_gradient).drop("gradient")
     return points
 
 
@@ -67,7 +99,7 @@ def interpolated(points: DataFrame, cells: DataFrame, k: int = 8, reach: float =
     p = points.select(F.col("x").alias("px"), F.col("y").alias("py"), "height", box("x").alias("gx"), box("y").alias("gy"))
     p = p.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumn("gx", F.col("gx") + F.col("dx")).withColumn("gy", F.col("gy") + F.col("dy")).drop("dx", "dy")
     met = cells.select("id", "x", "y", box("x").alias("gx"), box("y").alias("gy")).join(p, ["gx", "gy"]).withColumn("d", F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y"))).where(F.col("d") <= reach)
-    w = Window.partitionBy("id").orderBy("d", "px", "py")
+    w = Window.partitionBy("id").orderBy("d", "px", "py", "height")
     top = met.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
     weight = 1 / F.greatest(F.col("d"), F.lit(1e-6)) ** 2
     value = top.groupBy("id").agg((F.sum(weight * F.col("height")) / F.sum(weight)).alias("value"))

@@ -106,14 +106,16 @@ grid AS (
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, x, y, height): terrain points of customers."""
+    """(id, x, y, height): terrain points of customers, 1,500 on each tile of 37 by 41, some of them far apart."""
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.alias("id"), (k % 37).cast("double").alias("x"), (k * 7 % 41).cast("double").alias("y"), F.round(F.col("c_acctbal").cast("double") / 100, 2).alias("height"))
+    tile = F.floor(k / 1500)
+    x, y = 60 * (tile % 10) + k % 37 + F.when(k % 97 == 0, 500).otherwise(0), 60 * F.floor(tile / 10) + k * 7 % 41
+    return table(spark, sf_dir, "customer").select(k.alias("id"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.round(F.col("c_acctbal").cast("double") / 100, 2).alias("height"))
 
 
 POINTS_SQL = """
 pt AS (
-  SELECT c_custkey AS id, CAST(c_custkey % 37 AS DOUBLE) AS x, CAST(c_custkey * 7 % 41 AS DOUBLE) AS y, round(CAST(c_acctbal AS DOUBLE) / 100, 2) AS height
+  SELECT c_custkey AS id, CAST(60 * (c_custkey // 1500 % 10) + c_custkey % 37 + CASE WHEN c_custkey % 97 = 0 THEN 500 ELSE 0 END AS DOUBLE) AS x, CAST(60 * (c_custkey // 1500 // 10) + c_custkey * 7 % 41 AS DOUBLE) AS y, round(CAST(c_acctbal AS DOUBLE) / 100, 2) AS height
   FROM customer
 )"""
 

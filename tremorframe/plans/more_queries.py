@@ -97,25 +97,30 @@ def elevation_setback(spark, sf):
     return raster.setback_elevation(raster.roof_parts(fx.pixels(spark, sf)))
 
 
-KNN_SQL = f"""WITH {fx.POINTS_SQL}, once AS (SELECT min(id) AS id, x, y, height FROM pt GROUP BY x, y, height
+def _steep(k: int, source: str = "pt") -> str:
+    """Slopes of ``source`` to the k nearest of it, by comparing all pairs: CTEs once, pair, steep."""
+    return f"""once AS (SELECT min(id) AS id, x, y, height FROM {source} GROUP BY x, y, height
 ), pair AS (
   SELECT a.id, (a.height - b.height) / sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS slope, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id) AS k
-  FROM once a JOIN once b ON a.id <> b.id AND (a.x <> b.x OR a.y <> b.y) AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 4
-), steep AS (SELECT id, arg_max(slope, (abs(slope), -k)) AS gradient FROM pair WHERE k <= 10 GROUP BY id)
-SELECT pt.id, {r6('gradient', 'gradient')} FROM pt LEFT JOIN steep USING (id)"""
+  FROM once a JOIN once b ON a.id <> b.id AND (a.x <> b.x OR a.y <> b.y)
+), steep AS (SELECT id, arg_max(slope, (abs(slope), -k)) AS gradient FROM pair WHERE k <= {k} GROUP BY id)"""
 
 
-@query(KNN_SQL)
+@query(f"WITH {fx.POINTS_SQL}, {_steep(10)} SELECT pt.id, {r6('gradient', 'gradient')} FROM pt LEFT JOIN steep USING (id)")
 def knn_gradient(spark, sf):
-    return terrain.edge_gradient(fx.points(spark, sf), 10, reach=4.0).select("id", "gradient")
+    return terrain.edge_gradient(fx.points(spark, sf), 10, cell=4.0).select("id", "gradient")
 
 
-@query()
+@query(f"""WITH {fx.POINTS_SQL}, first AS (WITH {_steep(10)} SELECT pt.* FROM pt LEFT JOIN steep USING (id) WHERE coalesce(abs(gradient), 0) < 60
+), second AS (WITH {_steep(5, 'first')} SELECT first.* FROM first LEFT JOIN steep USING (id) WHERE coalesce(abs(gradient), 0) < 60) SELECT id, {r6('height', 'height')} FROM second""")
 def terrain_clean(spark, sf):
-    return terrain.cleaned(fx.points(spark, sf), 60.0, (10, 5), 4.0).select("id", "height")
+    return terrain.cleaned(fx.points(spark, sf), 60.0, (10, 5), cell=4.0).select("id", "height")
 
 
-@query()
+@query(f"""WITH {fx.POINTS_SQL}, met AS (
+  SELECT c.id, c.x + 0.5 AS x, c.y + 0.5 AS y, p.height, greatest(sqrt((p.x - c.x - 0.5) ** 2 + (p.y - c.y - 0.5) ** 2), 1e-6) AS d, row_number() OVER (PARTITION BY c.id ORDER BY sqrt((p.x - c.x - 0.5) ** 2 + (p.y - c.y - 0.5) ** 2), p.x, p.y, p.height) AS k
+  FROM pt c JOIN pt p ON sqrt((p.x - c.x - 0.5) ** 2 + (p.y - c.y - 0.5) ** 2) <= 4
+) SELECT pt.id, {r6('sum(met.height / d ** 2) / sum(1 / d ** 2)', 'value')} FROM pt LEFT JOIN met ON pt.id = met.id AND k <= 8 GROUP BY pt.id""")
 def terrain_interpolate(spark, sf):
     cells = fx.points(spark, sf).select("id", (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.5).alias("y"))
     return terrain.interpolated(fx.points(spark, sf), cells, 8, 4.0).select("id", "value")
@@ -178,16 +183,31 @@ def mask_average_precision(spark, sf):
     return segmentation.average_precision(_shifted(spark, sf))
 
 
-@query()
+@query(f"""{MASK_SQL}, lab AS (SELECT unnest([1, 2, 3, 4]) AS x), way AS (
+  SELECT row_number() OVER () AS w, [a.x, b.x, c.x, d.x] AS pd FROM lab a, lab b, lab c, lab d WHERE a.x <> b.x AND a.x <> c.x AND a.x <> d.x AND b.x <> c.x AND b.x <> d.x AND c.x <> d.x
+), one AS (SELECT w, g.x AS gt, pd[g.x] AS pd FROM way, lab g
+), total AS (SELECT image_id, w, sum(j) AS s FROM one JOIN pr USING (gt, pd) WHERE j >= 0.05 GROUP BY ALL
+), best AS (SELECT image_id, w FROM total QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY s DESC) = 1
+) SELECT image_id, gt, pd, {r6('j', 'jaccard')} FROM best JOIN one USING (w) JOIN pr USING (image_id, gt, pd) WHERE j >= 0.05""")
 def mask_matching(spark, sf):
     return segmentation.matched(segmentation.intersections(fx.masks(spark, sf)), 0.05, "hungarian")
 
 
-@query()
+_CURVE = """, hit AS (SELECT {key}j, row_number() OVER ({by}ORDER BY j) - 1 AS k, lag(j, 1, 0) OVER ({by}ORDER BY j) AS x, lead(j) OVER ({by}ORDER BY j) IS NULL AS final FROM pr WHERE j >= 0.001
+), n AS (SELECT {key}sum(ng) AS ng, sum(np) AS np, sum(tp) AS tp FROM im LEFT JOIN (SELECT image_id, count(*) AS tp FROM pr WHERE j >= 0.001 GROUP BY 1) USING (image_id) {group}
+), slab AS (SELECT {key}(j - x) * ((tp - k) / (np + ng - tp + k) + (tp - greatest(k - 1, 0)) / (np + ng - tp + greatest(k - 1, 0))) / 2 + CASE WHEN final THEN (1 - j) * (tp - k) / (np + ng - tp + k) / 2 ELSE 0 END AS a FROM hit {join} n{using})"""
+
+
+@query(f"{SHIFT_SQL}{_CURVE.format(key='', by='', group='', join='CROSS JOIN', using='')} SELECT {r6('sum(a)', 'sorted_ap')} FROM slab")
 def mask_sorted_ap(spark, sf):
     return segmentation.sorted_average_precision(_shifted(spark, sf))
 
 
+@query(f"{SHIFT_SQL}{_CURVE.format(key='image_id, ', by='PARTITION BY image_id ', group='GROUP BY image_id', join='JOIN', using=' USING (image_id)')} SELECT image_id, {r6('sum(a)', 'sorted_ap')} FROM slab GROUP BY 1")
+def mask_sorted_ap_by_image(spark, sf):
+    return segmentation.sorted_average_precision(_shifted(spark, sf), by_image=True)
+
+
 # Learning ----------------------------------------------------------------------------------------
 
 
@@ -225,15 +245,17 @@ def scaling(spark, sf):
     return learning.scaled(rows, learning.scaler(rows, ["x"])).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
 
 
-@query("SELECT label, least(count(*), CAST(round(count(*) * 0.7) AS BIGINT)) AS train, CAST(round(count(*) * 0.85) - round(count(*) * 0.7) AS BIGINT) AS val, CAST(count(*) - round(count(*) * 0.85) AS BIGINT) AS test FROM embeddings GROUP BY label")
+PLACES_SQL = "WITH p AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || ':0'), vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings)"
+
+
+@query(f"{PLACES_SQL} SELECT vec_id, label, CASE WHEN n = 1 OR k < round(n * 0.7) THEN 'train' WHEN k < round(n * 0.85) THEN 'val' ELSE 'test' END AS split FROM p")
 def stratified_split(spark, sf):
-    rows = learning.stratified_split(fx.table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id", ["label"])
-    return rows.groupBy("label").agg(*(F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")))
+    return learning.stratified_split(fx.table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id", ["label"])
 
 
-@query("SELECT label, CAST(f AS INT) AS fold, CAST((n - f + 4) // 5 AS BIGINT) AS n FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) CROSS JOIN (SELECT unnest(range(5)) AS f) WHERE n > f")
+@query(f"{PLACES_SQL} SELECT vec_id, label, CAST(k % 5 AS INT) AS fold FROM p")
 def stratified_folds(spark, sf):
-    return learning.folds(fx.table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id", "label").groupBy("label", "fold").agg(F.count("*").alias("n"))
+    return learning.folds(fx.table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id", "label")
 
 
 def _features(spark, sf, n=8):
@@ -243,7 +265,7 @@ def _features(spark, sf, n=8):
 
 @query("SELECT label, (SELECT max(n) FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)) AS n FROM embeddings GROUP BY label")
 def smote(spark, sf):
-    rows, names = _features(spark, sf)
+    rows, names = _features(spark, sf, 64)
     return learning.smote(rows, "id", "label", names).groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -284,27 +306,42 @@ def every_nth_frame(spark, sf):
     return vision.every_nth(fx.table(spark, sf, "events").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame")), 4)
 
 
-@query("SELECT l_suppkey AS mask_id, count(DISTINCT l_orderkey % 400) AS area FROM lineitem GROUP BY 1")
+@query("SELECT DISTINCT l_suppkey AS mask_id, l_orderkey % 400 AS pixel FROM lineitem")
 def rle_round_trip(spark, sf):
-    """Masks written as run lengths; their area from the runs."""
+    """Masks written as run lengths, and their pixels read back from the runs."""
+    px = fx.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("mask_id"), (F.col("l_orderkey") % 400).cast("long").alias("pixel")).distinct()
+    return vision.rle_of(px, ["mask_id"]).select("mask_id", F.explode(vision.rle_pixels(F.col("counts"))).alias("pixel"))
+
+
+@query("SELECT l_suppkey AS mask_id, count(DISTINCT l_orderkey % 400) AS area FROM lineitem GROUP BY 1")
+def rle_area(spark, sf):
     px = fx.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("mask_id"), (F.col("l_orderkey") % 400).cast("long").alias("pixel")).distinct()
     return vision.rle_of(px, ["mask_id"]).select("mask_id", vision.rle_area(F.col("counts")).alias("area"))
 
 
-@query(f"WITH {fx.SHAPES_SQL} SELECT id, CASE kind WHEN 0 THEN true WHEN 2 THEN false ELSE kind IN (1, 4) END AS inside FROM shape")
+#: Whether a point (px, py) of local coordinates lies in a footprint: the crossings of a ray to the right of all its rings are odd.
+INSIDE_SQL = "count(*) FILTER ((y1 > py) <> (y2 > py) AND px < x1 + (py - y1) * (x2 - x1) / (CASE WHEN y2 = y1 THEN 1 ELSE y2 - y1 END)) % 2 = 1"
+
+
+@query(f"WITH {fx.SHAPES_SQL}, pt AS (SELECT id, unnest([0.45, 0.5, 0.3]) * w AS px, unnest([0.45, 0.8, 0.9]) * h AS py, unnest([1, 2, 3]) AS k FROM shape) SELECT id, CAST(k AS INT) AS k, {INSIDE_SQL} AS inside FROM pt JOIN edge USING (id) GROUP BY id, k")
 def point_in_polygon(spark, sf):
-    """Whether the point at (0.45, 0.45) of the bounds' size lies in the footprint (not in its hole, nor in the U's arm gap)."""
+    """Whether three points of the bounds lie in the footprint: in the middle, in the U's gap, and near the top left."""
     rows = fx.shapes(spark, sf)
     b = g.bounds(F.col("geometry")["exterior"])
-    at = lambda lo, hi: lo + 0.45 * (hi - lo)
-    inside = g.inside(F.col("geometry"), at(b["x0"], b["x1"]), at(b["y0"], b["y1"]))
-    return rows.select("id", F.when(F.col("id") % 5 == 3, F.lit(False)).otherwise(inside).alias("inside"))
+    at = lambda lo, hi, t: lo + t * (hi - lo)
+    ks = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, x, y in ((1, 0.45, 0.45), (2, 0.5, 0.8), (3, 0.3, 0.9)))))
+    rows = rows.withColumn("p", ks)
+    return rows.select("id", "p.k", g.inside(F.col("geometry"), at(b["x0"], b["x1"], F.col("p.x")), at(b["y0"], b["y1"], F.col("p.y"))).alias("inside"))
 
 
-@query(f"WITH {fx.BLOCKS_SQL} SELECT a.id, count(b.id) AS n FROM building a LEFT JOIN building b ON a.block = b.block AND a.id <> b.id AND ((abs(a.x - b.x) = 10 AND abs(a.y - b.y) < 8) OR (abs(a.y - b.y) = 8 AND abs(a.x - b.x) < 10)) GROUP BY a.id HAVING count(b.id) > 0")
+@query(f"""WITH {fx.BLOCKS_SQL}, wall AS (
+  SELECT a.id, least(a.y + 8, b.y + 8) - greatest(a.y, b.y) AS n FROM building a JOIN building b ON a.block = b.block AND abs(a.x - b.x) = 10
+  UNION ALL SELECT a.id, least(a.x + 10, b.x + 10) - greatest(a.x, b.x) FROM building a JOIN building b ON a.block = b.block AND abs(a.y - b.y) = 8
+) SELECT id, count(*) AS n, {r6('sum(n)', 'length')}, {r6('max(n)', 'longest')} FROM wall WHERE n > 0 GROUP BY 1""")
 def walls_in_contact(spark, sf):
-    """Numbers of walls in contact."""
-    return position.contact_walls(fx.blocks(spark, sf)).groupBy("id").agg(F.count("*").alias("n"))
+    """Numbers and lengths of walls in contact."""
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    return position.contact_walls(fx.blocks(spark, sf)).groupBy("id").agg(F.count("*").alias("n"), F.sum(length).alias("length"), F.max(length).alias("longest"))
 
 
 @query("SELECT p_brand AS brand, count(*) FILTER (p_size > 10) AS n FROM part GROUP BY 1 HAVING count(*) FILTER (p_size > 10) > 0")
@@ -317,19 +354,43 @@ def label_whitelist(spark, sf):
     return learning.with_labels(fx.table(spark, sf, "customer"), "c_mktsegment", ["BUILDING", "MACHINERY"])[1]
 
 
-@query(f"WITH {fx.SHAPES_SQL} SELECT id, 0.0::DOUBLE AS drift FROM shape")
-def utm_projection(spark, sf):
-    """Distances of projected points against the ellipsoid's arc of latitude near the equator's central meridian: drift in metres over 1 degree."""
-    rows = fx.shapes(spark, sf)
-    p, q = g.to_utm(F.lit(9.0), F.lit(0.0), F.lit(32), F.lit(False)), g.to_utm(F.lit(9.0), F.lit(1.0), F.lit(32), F.lit(False))
-    return rows.select("id", F.round(F.abs((q["y"] - p["y"]) / 0.9996 - 110574.3886) + F.abs(p["x"] - 500000.0), 3).alias("drift"))
+#: Transverse Mercator by Krueger's series in the third flattening to the fourth order, hyperbolic functions by way of exp and ln.
+UTM_SQL = f"""WITH {fx.SHAPES_SQL}, corner_at AS (SELECT id, ring, i, 6 + (x0 + x1) / 2000 AS lon, (y0 + y1) / 50 - 40 AS lat FROM edge JOIN shape USING (id)
+), flat AS (SELECT 1 / 298.257223563::DOUBLE AS f), n1 AS (SELECT f / (2 - f) AS n FROM flat), k AS (
+  SELECT n, 2 * sqrt(n) / (1 + n) AS e, 6378137.0::DOUBLE / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS a, n / 2 - 2.0 / 3 * n ** 2 + 5.0 / 16 * n ** 3 + 41.0 / 180 * n ** 4 AS a1,
+    13.0 / 48 * n ** 2 - 3.0 / 5 * n ** 3 + 557.0 / 1440 * n ** 4 AS a2, 61.0 / 240 * n ** 3 - 103.0 / 140 * n ** 4 AS a3, 49561.0 / 161280 * n ** 4 AS a4 FROM n1
+), psi AS (
+  SELECT *, ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / 2 - e * ln((1 + e * sin(radians(lat))) / (1 - e * sin(radians(lat)))) / 2 AS q, radians(lon - 9) AS l FROM corner_at CROSS JOIN k
+), t AS (SELECT *, (exp(q) - exp(-q)) / 2 AS tn, (exp(q) + exp(-q)) / 2 AS ch FROM psi
+), u AS (SELECT *, atan2(tn, cos(l)) AS xi, ln((1 + sin(l) / ch) / (1 - sin(l) / ch)) / 2 AS eta FROM t
+), xy AS (
+  SELECT id, ring, i, 500000 + 0.9996 * a * (eta + {" + ".join(f"a{j} * cos({2 * j} * xi) * (exp({2 * j} * eta) - exp(-{2 * j} * eta)) / 2" for j in (1, 2, 3, 4))}) AS x,
+    CASE WHEN lat < 0 THEN 10000000 ELSE 0 END + 0.9996 * a * (xi + {" + ".join(f"a{j} * sin({2 * j} * xi) * (exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2" for j in (1, 2, 3, 4))}) AS y FROM u
+)"""
 
 
-@query()
+@query(f"{UTM_SQL} SELECT id, CAST(ring AS INT) AS ring, CAST(i AS INT) AS corner, round(x, 5) + 0.0 AS x, round(y, 5) + 0.0 AS y FROM xy", places=5)
+def utm_projection(spark, sf):
+    """All corners of footprints that lie between 6 and 12 degrees east and on both sides of the equator, in zone 32."""
+    turn = lambda q: g.point(6 + q["x"] / 2000, q["y"] / 50 - 40)
+    geo = lambda c: F.struct(F.transform(c["exterior"], turn).alias("exterior"), F.transform(c["interiors"], lambda q: F.transform(q, turn)).alias("interiors"))
+    rows = fx.shapes(spark, sf).select("id", F.posexplode(g.rings(geo(F.col("geometry")))).alias("ring", "r"))
+    rows = rows.select("id", "ring", F.posexplode(F.slice("r", F.lit(1), F.size("r") - 1)).alias("corner", "p"))
+    xy = g.to_utm(F.col("p.x"), F.col("p.y"), F.lit(32), F.col("p.y") < 0)
+    return rows.withColumn("q", xy).select("id", "ring", "corner", "q.x", "q.y")
+
+
+@query(f"""WITH {fx.SHAPES_SQL}, px AS (
+  SELECT id, x0, y0, CAST(x0 + i AS INT) AS col, CAST(-y0 + 9 - j AS INT) AS row, i + 0.5 AS px, j + 0.5 AS py FROM shape, (SELECT unnest(range(14)) AS i), (SELECT unnest(range(10)) AS j)
+), hit AS (SELECT id, row, col, {INSIDE_SQL} AS inside FROM px JOIN edge USING (id) GROUP BY ALL)
+SELECT id, row, col, CAST((row * 31 + col * 17) % 101 AS DOUBLE) AS value FROM hit WHERE inside""")
 def clip_raster(spark, sf):
-    """Pixels of a made-up raster over the first footprints, by footprint."""
-    grid = spark.range(0, 200 * 30).select((F.col("id") / 200).cast("int").alias("row"), (F.col("id") % 200).cast("int").alias("col"), F.col("id").cast("double").alias("value"))
-    return raster.clip(grid, fx.shapes(spark, sf), 0.0, 15.0, 0.5).groupBy("id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    """The pixels of a raster of 1 m around all footprints whose centres lie in one."""
+    at = fx.shapes(spark, sf).select(g.bounds(F.col("geometry")["exterior"]).alias("b")).select("b.x0", "b.y0")
+    spread = at.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(13)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    spread = spread.select((F.col("x0") + F.col("i")).cast("int").alias("col"), (9 - F.col("y0") - F.col("j")).cast("int").alias("row"))
+    grid = spread.select("row", "col", ((F.col("row") * 31 + F.col("col") * 17) % 101).cast("double").alias("value"))
+    return raster.clip(grid, fx.shapes(spark, sf), 0.0, 10.0, 1.0)
 
 
 @query()

@@ -220,7 +220,26 @@ def gndt_beta_4(spark, sf):
     return shape.gndt_beta_4_eccentricity_ratio(fx.shapes(spark, sf))
 
 
-@query("SELECT p_partkey AS id, 0.0::DOUBLE AS gndt_beta_6 FROM part")
+#: The pockets' corners in order; their centroids by the shoelace formula; sections of the ring along both directions, crossings in order.
+BETA6_SQL = f"""{RECTANGLE_SQL}, pocket(kind, k, i, a, b) AS (VALUES
+  (1, 0, 0, 1, 0.5), (1, 0, 1, 0.5, 0.5), (1, 0, 2, 0.5, 1), (3, 0, 0, 0.75, 1), (3, 0, 1, 0.75, 0.5), (3, 0, 2, 0.25, 0.5), (3, 0, 3, 0.25, 1),
+  (4, 0, 0, 0.75, 0), (4, 0, 1, 0.75, 0.5), (4, 0, 2, 1, 0.5), (4, 1, 0, 0, 0.5), (4, 1, 1, 0.25, 0.5), (4, 1, 2, 0.25, 0)
+), turn AS (
+  SELECT id, k, t1, a * w AS x1, b * h AS y1, coalesce(lead(a * w) OVER v, first_value(a * w) OVER v) AS x2, coalesce(lead(b * h) OVER v, first_value(b * h) OVER v) AS y2
+  FROM best JOIN shape USING (id) JOIN pocket USING (kind) WINDOW v AS (PARTITION BY id, k ORDER BY i)
+), centre AS (
+  SELECT id, k, any_value(t1) AS t1, sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS cx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS cy,
+    max(x1 * cos(t1) + y1 * sin(t1)) - min(x1 * cos(t1) + y1 * sin(t1)) AS b1, max(y1 * cos(t1) - x1 * sin(t1)) - min(y1 * cos(t1) - x1 * sin(t1)) AS b2 FROM turn GROUP BY id, k
+), way2 AS (SELECT *, t1 + d * pi() / 2 AS t FROM centre, (VALUES (0), (1)) v(d)
+), side2 AS (
+  SELECT p.id, k, d, (x1 - cx) * sin(t) - (y1 - cy) * cos(t) AS s1, (x2 - cx) * sin(t) - (y2 - cy) * cos(t) AS s2, (x1 - cx) * cos(t) + (y1 - cy) * sin(t) AS u1, (x2 - cx) * cos(t) + (y2 - cy) * sin(t) AS u2
+  FROM way2 p JOIN edge e ON e.id = p.id AND ring = 0
+), crossing AS (SELECT id, k, d, u1 + (u2 - u1) * s1 / (s1 - s2) AS u FROM side2 WHERE (s1 > 0) <> (s2 > 0)
+), section AS (SELECT id, k, d, sum(CASE WHEN n % 2 = 0 THEN u ELSE -u END) AS c FROM (SELECT *, row_number() OVER (PARTITION BY id, k, d ORDER BY u) AS n FROM crossing) GROUP BY ALL
+), worth AS (SELECT id, k, least(coalesce(max(c) FILTER (d = 1), 0) / (any_value(b1) + 1e-10), coalesce(max(c) FILTER (d = 0), 0) / (any_value(b2) + 1e-10)) AS r FROM centre LEFT JOIN section USING (id, k) GROUP BY id, k)"""
+
+
+@query(f"{BETA6_SQL} SELECT id, {r6('coalesce(max(r), 0)', 'gndt_beta_6')} FROM shape LEFT JOIN worth USING (id) GROUP BY id")
 def gndt_beta_6(spark, sf):
     return shape.gndt_beta_6_setback_slenderness(fx.shapes(spark, sf))
 
@@ -279,9 +298,9 @@ def relative_position(spark, sf):
     return position.relative_position(position.contact_forces(fx.blocks(spark, sf))).select("id", "relative_position")
 
 
-@query(f"WITH {fx.SHAPES_SQL} SELECT id, round(sum(CASE WHEN ring = 0 THEN 1 ELSE 0 END)) + 0.0 AS corners FROM edge GROUP BY id")
+@query(f"WITH {fx.SHAPES_SQL} SELECT id, CAST(ring AS INT) AS ring, CAST(i AS INT) AS corner, {r6('x0 + x1', 'x')}, {r6('y0 + y1', 'y')} FROM edge JOIN shape USING (id)")
 def wkt_round_trip(spark, sf):
-    """Footprints written as WKT and parsed again."""
+    """Footprints written as WKT and parsed again: all corners."""
     text = fx.shapes(spark, sf).select("id", g.to_wkt(F.col("geometry")).alias("wkt"))
-    back = g.from_wkt(F.col("wkt"))
-    return text.select("id", (F.size(back["exterior"]) - 1).cast("double").alias("corners"))
+    rows = text.select("id", F.posexplode(g.rings(g.from_wkt(F.col("wkt")))).alias("ring", "r"))
+    return rows.select("id", "ring", F.posexplode(F.slice("r", F.lit(1), F.size("r") - 1)).alias("corner", "p")).select("id", "ring", "corner", "p.x", "p.y")
