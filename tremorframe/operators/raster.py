@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,9 +63,8 @@ def peak_height(pixels: DataFrame, kind: str = "roof", resolution: float = 1.0,
 
 def trimmed_steepness(gradients: DataFrame, key: str = "id") -> DataFrame:
     """(key, steepness): mean of the gradient magnitudes below mean + population std."""
-    w = Window.partitionBy(key)
-    rows = gradients.withColumn("limit", F.avg("gradient").over(w) + F.stddev_pop("gradient").over(w))
-    return rows.groupBy(key).agg(F.avg(F.when(F.col("gradient") < F.col("limit"), F.col("gradient"))).alias("steepness"))
+    limit = gradients.groupBy(key).agg((F.avg("gradient") + F.stddev_pop("gradient")).alias("limit"))
+    return gradients.join(limit, key).groupBy(key).agg(F.avg(F.when(F.col("gradient") < F.col("limit"), F.col("gradient"))).alias("steepness"))
 
 
 def gradient(grid: DataFrame, dx: float = 1.0, dy: float = 1.0, key: str = "raster_id") -> DataFrame:
@@ -79,10 +81,20 @@ def gradient(grid: DataFrame, dx: float = 1.0, dy: float = 1.0, key: str = "rast
 
 
 def height_data(dsm: DataFrame, dtm: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(id, roof_altitude, ground_altitude, height) from surface and terrain pixels of each footprint."""
-    roof, ground = peak_height(dsm, "roof", resolution), peak_height(dtm, "ground", resolution)
-    rows = roof.withColumnRenamed("altitude", "roof_altitude").join(ground.withColumnRenamed("altitude", "ground_altitude"), "id", "full")
-    return rows.withColumn("height", F.col("roof_altitude") - F.col("ground_altitude"))
+    """(id, roof_altitude, ground_altitude, height, roof_steepness, ground_steepness) from surface and terrain pixels of each footprint.
+
+    Steepness needs pixels with ``row`` and ``col``; it is null for those without.
+    """
+    one = None
+    for pixels, kind in ((dsm, "roof"), (dtm, "ground")):
+        rows = peak_height(pixels, kind, resolution).withColumnRenamed("altitude", f"{kind}_altitude")
+        if {"row", "col"} <= set(pixels.columns):
+            steep = trimmed_steepness(gradient(pixels.where(F.col("value").isNotNull()), resolution, resolution, "id"))
+            rows = rows.join(steep.withColumnRenamed("steepness", f"{kind}_steepness"), "id", "left")
+        else:
+            rows = rows.withColumn(f"{kind}_steepness", F.lit(None).cast("double"))
+        one = rows if one is None else one.join(rows, "id", "full")
+    return one.select("id", "roof_altitude", "ground_altitude", (F.col("roof_altitude") - F.col("ground_altitude")).alias("height"), "roof_steepness", "ground_steepness")
 
 
 def clip(grid: DataFrame, footprints: DataFrame, x0: float, y0: float, size: float, tile: int = 64, all_touched: bool = False) -> DataFrame:
@@ -101,30 +113,238 @@ def clip(grid: DataFrame, footprints: DataFrame, x0: float, y0: float, size: flo
     return met.select("id", "row", "col", "value")
 
 
-def roof_parts(pixels: DataFrame, bins: int = 20, least: float = 0.01, min_area: float = 4.0, pixel_area: float = 1.0, mode: str = "documented") -> DataFrame:
-    """(id, part, height, area): layers between the peaks of a 20-bin histogram; a peak holds at least ``least`` of the pixels.
+def roof_layers(pixels: DataFrame, bins: int = 20, least: float = 0.01, mode: str = "documented") -> DataFrame:
+    """(id, marks): the heights at which layers start, between the peaks of a histogram; a peak holds at least ``least`` of the pixels.
 
-    A layer starts at its peak bin's lower edge (``compat``: one bin lower); layers under ``min_area`` are left out.
+    A layer starts above its peak bin's lower edge (``compat``: one bin lower).
     """
     h = histogram(pixels, bins)
     start = F.col("lo") - (F.col("hi") - F.col("lo") if mode == "compat" else 0.0)
-    marks = h.join(peaks(h, "after", least=F.lit(least)), ["id", "bin"]).groupBy("id").agg(F.array_sort(F.collect_set(start)).alias("marks"))
-    valid = pixels.where(F.col("value").isNotNull()).join(marks, "id")
-    part = F.size(F.filter("marks", lambda m: m <= F.col("value")))
-    layers = valid.groupBy("id", part.alias("part")).agg(F.avg("value").alias("height"), (F.count("*") * pixel_area).alias("area"))
-    return layers.where((F.col("part") > 0) & (F.col("area") >= min_area))
-
-
-def setback_elevation(parts: DataFrame, min_ratio: float = 0.25, height_factor: float = 1.0) -> DataFrame:
-    """(id, elevation_setback): over a building's roof parts, the share of the section outside the part (from areas) where the
-    drop to the highest lower part is large against it, times ``height_factor``; 0 otherwise."""
-    w = Window.partitionBy("id")
-    lower = F.max("height").over(w.orderBy("height").rowsBetween(Window.unboundedPreceding, -1))
-    rows = parts.select("*", lower.alias("below"), F.sum("area").over(w).alias("total"))
-    section, outside = F.sqrt("total"), F.sqrt("total") - F.sqrt("area")
-    drop = F.col("height") - F.col("below")
-    ratio = F.when(drop.isNotNull() & (outside > 0) & (drop / outside > min_ratio), outside / section * height_factor).otherwise(0.0)
-    return rows.select("id", ratio.alias("r")).groupBy("id").agg(F.max("r").alias("elevation_setback"))
+    return h.join(peaks(h, "after", least=F.lit(least)), ["id", "bin"]).groupBy("id").agg(F.array_sort(F.collect_set(start)).alias("marks"))
+
+
+def roof_parts(pixels: DataFrame, bins: int = 20, least: float = 0.01, min_area: float = 4.0, size: float = 1.0, mode: str = "documented", x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """(id, part, height, area, geometry): roof parts of each footprint's ``pixels`` (id, row, col, value).
+
+    A pixel belongs to the highest layer (see ``roof_layers``) that starts under its value; a part is a set of pixels of one layer that
+    touch by their sides, its height where the layer starts. Sets under ``min_area`` go to their largest neighbour, smallest first. Parts are numbered by their
+    first pixel, row by row. Rows run downwards from y0. A footprint's pixels meet in one task: they are as many as its area has.
+    """
+    valid = pixels.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    layer = F.size(F.filter("marks", lambda m: m < F.col("value"))).cast("int")
+    marked = valid.join(roof_layers(valid, bins, least, mode), "id").select("id", "row", "col", layer.alias("layer"), "marks")
+    few = int(round(min_area / size**2))
+
+    def parts(frame: pd.DataFrame) -> pd.DataFrame:
+        marks = frame["marks"].iloc[0]
+        r0, c0 = frame["row"].min(), frame["col"].min()
+        layers = np.full((frame["row"].max() - r0 + 1, frame["col"].max() - c0 + 1), -1)
+        layers[frame["row"] - r0, frame["col"] - c0] = frame["layer"]
+        labels = sieved(layers, few)
+        out = []
+        for label in np.unique(labels[(labels >= 0) & (layers >= 0)]):
+            mask = labels == label
+            k = layers[mask][0]
+            if k > 0:
+                rings = outlines(mask)
+                place = lambda ring: [{"x": float(x0 + (c0 + c) * size), "y": float(y0 - (r0 + r) * size)} for r, c in ring]
+                out.append((float(marks[k - 1]), float(mask.sum() * size**2), {"exterior": place(rings[0]), "interiors": [place(x) for x in rings[1:]]}))
+        return pd.DataFrame({"id": frame["id"].iloc[0], "part": np.arange(1, len(out) + 1, dtype=np.int32), "height": [o[0] for o in out], "area": [o[1] for o in out], "geometry": [o[2] for o in out]})
+
+    kind = pixels.schema["id"].dataType.simpleString()
+    return marked.groupBy("id").applyInPandas(parts, f"id {kind}, part int, height double, area double, geometry {g.POLYGON}")
+
+
+def components(values: np.ndarray) -> np.ndarray:
+    """Sets of pixels of equal value that touch by their sides, labelled by their first pixel; -1 where the value is negative."""
+    n = values.size
+    parent = np.arange(n)
+    number = parent.reshape(values.shape)
+    a = np.concatenate([number[:, :-1][same := (values[:, :-1] == values[:, 1:])], number[:-1][below := (values[:-1] == values[1:])]])
+    b = np.concatenate([number[:, 1:][same], number[1:][below]])
+    while len(a):
+        # Each set takes the smallest label that touches it, then labels are followed to their end.
+        np.minimum.at(parent, np.maximum(parent[a], parent[b]), np.minimum(parent[a], parent[b]))
+        while (up := parent[parent]).tolist() != parent.tolist():
+            parent = up
+        keep = parent[a] != parent[b]
+        a, b = a[keep], b[keep]
+    return np.where(values >= 0, parent.reshape(values.shape), -1)
+
+
+def sieved(layers: np.ndarray, few: int) -> np.ndarray:
+    """Labels of the sets of equal layers after those of under ``few`` pixels went, smallest first, to their largest neighbour; changes ``layers`` likewise."""
+    while True:
+        labels = components(layers)
+        known, size = np.unique(labels[labels >= 0], return_counts=True)
+        sizes = dict(zip(known.tolist(), size.tolist(), strict=True))
+        moved = False
+        for label in sorted((k for k, n in sizes.items() if n < few), key=lambda k: (sizes[k], k)):
+            mask = labels == label
+            edge = np.zeros_like(mask)
+            edge[1:] |= mask[:-1]
+            edge[:-1] |= mask[1:]
+            edge[:, 1:] |= mask[:, :-1]
+            edge[:, :-1] |= mask[:, 1:]
+            near = set(labels[edge & ~mask & (labels >= 0)].tolist())
+            if near:
+                layers[mask] = layers.ravel()[max(near, key=lambda k: (sizes[k], -k))]
+                moved = True
+                break
+        if not moved:
+            return labels
+
+
+def outlines(mask: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Closed rings (row, col of pixel corners) around a set of pixels that touch by their sides: the exterior, then its holes."""
+    inside = np.pad(mask, 1)
+    turn = {}  # corner -> next corners, with the set on the right hand (rows run downwards)
+    for dr, dc, a, b in ((-1, 0, (0, 0), (0, 1)), (0, 1, (0, 1), (1, 1)), (1, 0, (1, 1), (1, 0)), (0, -1, (1, 0), (0, 0))):
+        rows, cols = np.nonzero(inside[1:-1, 1:-1] & ~inside[1 + dr : inside.shape[0] - 1 + dr, 1 + dc : inside.shape[1] - 1 + dc])
+        for r_, c_ in zip(rows.tolist(), cols.tolist(), strict=True):
+            turn.setdefault((r_ + a[0], c_ + a[1]), []).append((r_ + b[0], c_ + b[1]))
+    rings = []
+    while turn:
+        ring = [min(turn)]
+        step = None
+        while True:
+            at = ring[-1]
+            nexts = turn[at]
+            # Where two pixels touch by a corner only, the ring stays with its own pixel: it turns right.
+            k = 0 if len(nexts) == 1 or step is None else next(i for i, q in enumerate(nexts) if (q[0] - at[0], q[1] - at[1]) == (step[1], -step[0]))
+            to = nexts.pop(k)
+            if not nexts:
+                del turn[at]
+            new = (to[0] - at[0], to[1] - at[1])
+            if step == new:
+                ring.pop()
+            ring.append(to)
+            step = new
+            if to == ring[0]:
+                break
+        rings.append(ring)
+    area = lambda ring: abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:], strict=False)))
+    return sorted(rings, key=lambda x: (-area(x), x))
+
+
+def inside_spans(rings: list[np.ndarray], px: float, py: float, dx: float, dy: float) -> list[tuple[float, float]]:
+    """Stretches (from, to) along a line that lie inside rings taken together by the crossing rule."""
+    cuts = []
+    for p in rings:
+        s, t = (p[:, 0] - px) * dy - (p[:, 1] - py) * dx, (p[:, 0] - px) * dx + (p[:, 1] - py) * dy
+        at = np.flatnonzero((s[:-1] > 0) != (s[1:] > 0))
+        cuts += (t[at] + (t[at + 1] - t[at]) * s[at] / (s[at] - s[at + 1])).tolist()
+    cuts.sort()
+    return list(zip(cuts[::2], cuts[1::2], strict=True))
+
+
+def gap_to(rings: list[np.ndarray], x: float, y: float) -> float:
+    """Distance of a point to the nearest edge."""
+    best = math.inf
+    for p in rings:
+        d = np.diff(p, axis=0)
+        t = np.clip(((x - p[:-1, 0]) * d[:, 0] + (y - p[:-1, 1]) * d[:, 1]) / np.maximum((d * d).sum(1), 1e-18), 0, 1)
+        best = min(best, np.hypot(x - p[:-1, 0] - t * d[:, 0], y - p[:-1, 1] - t * d[:, 1]).min())
+    return best
+
+
+def _contains(rings: list[np.ndarray], x: float, y: float) -> bool:
+    return sum(bool(((p[:-1, 1] > y) != (p[1:, 1] > y))[k] and x < p[k, 0] + (y - p[k, 1]) * (p[k + 1, 0] - p[k, 0]) / (p[k + 1, 1] - p[k, 1])) for p in rings for k in range(len(p) - 1) if p[k, 1] != p[k + 1, 1]) % 2 == 1
+
+
+def _rings(polygon: dict) -> list[np.ndarray]:
+    return [np.array([(q["x"], q["y"]) for q in r]) for r in [polygon["exterior"], *(polygon["interiors"] if polygon["interiors"] is not None else [])]]
+
+
+def _centroid(rings: list[np.ndarray]) -> tuple[float, float]:
+    total, sx, sy = 0.0, 0.0, 0.0
+    o = rings[0][0]
+    for k, p in enumerate(rings):
+        x, y = p[:, 0] - o[0], p[:, 1] - o[1]
+        c = x[:-1] * y[1:] - x[1:] * y[:-1]
+        sign = (1 if k == 0 else -1) * np.sign(c.sum())
+        total, sx, sy = total + sign * c.sum(), sx + sign * ((x[:-1] + x[1:]) * c).sum(), sy + sign * ((y[:-1] + y[1:]) * c).sum()
+    return o[0] + sx / (3 * total), o[1] + sy / (3 * total)
+
+
+#: Beyond a part's edge, neighbours are met at this distance; a section passes a centroid within NEAR. In metres.
+BESIDE, NEAR = 0.25, 1e-3
+
+
+def part_setback(footprint: list[np.ndarray], parts: list[tuple[float, list[np.ndarray]]], own: int, across: bool, min_slope: float, min_symmetry: float, symmetry_factor: float) -> float:
+    """The share of the section through a part that lies outside it, along (or ``across``) the way from the nearest point of the
+    footprint's boundary to the part's centroid; 0 without a lower part beside it, or if the drop to the highest such is small against the share's length."""
+    height, rings = parts[own]
+    cx, cy = _centroid(rings)
+    best = (math.inf, 0.0, 0.0)
+    for p in footprint:
+        d = np.diff(p, axis=0)
+        t = np.clip(((cx - p[:-1, 0]) * d[:, 0] + (cy - p[:-1, 1]) * d[:, 1]) / np.maximum((d * d).sum(1), 1e-18), 0, 1)
+        qx, qy = p[:-1, 0] + t * d[:, 0], p[:-1, 1] + t * d[:, 1]
+        k = int(np.hypot(cx - qx, cy - qy).argmin())
+        best = min(best, (float(np.hypot(cx - qx[k], cy - qy[k])), float(qx[k]), float(qy[k])), key=lambda b: b[0])
+    n, qx, qy = best
+    if n < 1e-9:
+        return 0.0
+    dx, dy = (cx - qx) / n, (cy - qy) / n
+    if across:
+        dx, dy = dy, -dx
+    section = next(((a, b) for a, b in inside_spans(footprint, cx, cy, dx, dy) if a - NEAR < 0 < b + NEAR), None)
+    if section is None:
+        return 0.0
+    a, b = section
+    solid = [(max(a, u), min(b, v)) for u, v in inside_spans(rings, cx, cy, dx, dy) if min(b, v) > max(a, u)]
+    edges = [a, *(x for s in solid for x in s), b]
+    free = [(u, v) for u, v in zip(edges[::2], edges[1::2], strict=True) if v - u > 1e-9]
+    outside = sum(v - u for u, v in free)
+    if not outside:
+        return 0.0
+    lower = []
+    for u, v in free:
+        for end, other in ((u, v), (v, u)):
+            if not any(abs(end - x) < 1e-12 for s in solid for x in s):
+                continue
+            # The point beyond the end that is BESIDE away from the part, by bisection.
+            low, high = end, other
+            gap = lambda t: gap_to(rings, cx + t * dx, cy + t * dy)
+            if gap(high) < BESIDE:
+                continue
+            for _ in range(50):
+                mid = (low + high) / 2
+                low, high = (mid, high) if gap(mid) < BESIDE else (low, mid)
+            x, y = cx + high * dx, cy + high * dy
+            lower += [h for k, (h, r) in enumerate(parts) if k != own and h < height and _contains(r, x, y)]
+    if not lower or (height - max(lower)) / outside <= min_slope:
+        return 0.0
+    ratio = outside / (b - a)
+    middle = sum((u + v) / 2 * (v - u) for u, v in free) / outside
+    return ratio * (symmetry_factor if abs(middle) < min_symmetry else 1.0)
+
+
+def setback_elevation(buildings: DataFrame, parts: DataFrame, min_setback_height: float = 1.0, min_symmetry_distance: float = 1.0, height_limit: float = 0.15, height_factor: float = 3.0, symmetry_factor: float = 0.5 / 0.3) -> DataFrame:
+    """(id, elevation_setback) of ``buildings`` (id, geometry, building_height, ground_altitude) with ``parts`` (id, height, geometry): see ``part_setback``.
+
+    The larger of both directions, times ``symmetry_factor`` where the outside lies evenly around the part, and ``height_factor`` where
+    the part starts in the lower ``height_limit`` of the building; the largest of a building's parts, 0 without. Buildings of unknown heights get null.
+    """
+    kind = buildings.schema["id"].dataType.simpleString()
+
+    def worst(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        row = frame.iloc[0]
+        shapes = sorted(((p["height"], _rings(p["geometry"])) for p in row["parts"]), key=lambda p: (p[0], p[1][0].tolist()))
+        footprint, value = _rings(row["geometry"]), 0.0
+        for k, (h, _) in enumerate(shapes):
+            factor = height_factor if row["building_height"] * height_limit + row["ground_altitude"] > h else 1.0
+            for across in (False, True):
+                value = max(value, factor * part_setback(footprint, shapes, k, across, min_setback_height, min_symmetry_distance, symmetry_factor))
+        return pd.DataFrame({"id": [key[0]], "elevation_setback": [value]})
+
+    # A building's parts are as many as its roof has.
+    of = parts.groupBy("id").agg(F.collect_list(F.struct("height", "geometry")).alias("parts"))
+    known = buildings.where("geometry is not null and building_height is not null and ground_altitude is not null")
+    found = known.select("id", "geometry", "building_height", "ground_altitude").join(of, "id").groupBy("id").applyInPandas(worst, f"id {kind}, elevation_setback double")
+    rest = known.select("id").join(found, "id", "left").select("id", F.coalesce("elevation_setback", F.lit(0.0)).alias("elevation_setback"))
+    return buildings.select("id").join(rest, "id", "left")
 
 
 def slenderness_of_elevation(height: Column, area: Column, slenderness: Column) -> Column:

@@ -10,13 +10,14 @@ from . import fixtures as fx
 from .queries import query, r6
 
 PIXELS_SQL = """px AS (SELECT user_id AS id, CASE WHEN event_type <> 'error' THEN CAST(value AS DOUBLE) END AS value FROM events), ok AS (SELECT * FROM px WHERE value IS NOT NULL)"""
-HIST_SQL = f"""WITH {PIXELS_SQL}, rng AS (
+_HIST = """rng AS (
   SELECT id, min(value) AS a, max(value) AS b, count(*) AS total FROM ok GROUP BY id
 ), ends AS (SELECT id, total, b - a AS spread, CASE WHEN a = b THEN a - 0.5 ELSE a END AS lo, CASE WHEN a = b THEN b + 0.5 ELSE b END AS hi FROM rng
 ), hist AS (
   SELECT e.id, k.bin, count(o.value) AS n, count(o.value) / any_value(total)::DOUBLE AS share, any_value(lo + k.bin * (hi - lo) / 5) AS lo, any_value(lo + (k.bin + 1) * (hi - lo) / 5) AS hi, any_value(spread) AS spread
   FROM ends e CROSS JOIN (SELECT unnest(range(5)) AS bin) k LEFT JOIN ok o ON o.id = e.id AND least(floor((o.value - lo) / (hi - lo) * 5), 4) = k.bin GROUP BY e.id, k.bin
 )"""
+HIST_SQL = f"WITH {PIXELS_SQL}, {_HIST}"
 
 
 @query(f"{HIST_SQL} SELECT id, CAST(bin AS INT) AS bin, n, {r6('share', 'share')} FROM hist")
@@ -24,9 +25,9 @@ def pixel_histogram(spark, sf):
     return raster.histogram(fx.pixels(spark, sf), 5).select("id", "bin", "n", "share")
 
 
-def _peak_sql(before: str, after: str) -> str:
-    """Peaks without plateaus in these data's histograms are found by neighbours; equal neighbours make a run, whose middle counts."""
-    return f"""{HIST_SQL}, lim AS (SELECT *, avg(share) OVER w + stddev_pop(share) OVER w AS floor_ FROM hist WINDOW w AS (PARTITION BY id)
+def _peak(before: str, after: str) -> str:
+    """The altitude of each id of ``ok`` from its histogram: equal neighbours make a run, whose middle counts."""
+    return f"""lim AS (SELECT *, avg(share) OVER w + stddev_pop(share) OVER w AS floor_ FROM hist WINDOW w AS (PARTITION BY id)
 ), mark AS (SELECT *, CASE WHEN share = lag(share) OVER w THEN 0 ELSE 1 END AS fresh FROM lim WINDOW w AS (PARTITION BY id ORDER BY bin)
 ), numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY bin) AS run FROM mark
 ), runs AS (SELECT id, run, any_value(share) AS share, any_value(floor_) AS floor_, (min(bin) + max(bin)) // 2 AS bin FROM numbered GROUP BY id, run
@@ -34,29 +35,23 @@ def _peak_sql(before: str, after: str) -> str:
   SELECT id, max(bin) AS bin FROM (SELECT *, coalesce(lag(share) OVER w, {before}) AS l, coalesce(lead(share) OVER w, {after}) AS r FROM runs WINDOW w AS (PARTITION BY id ORDER BY run))
   WHERE share > l AND share > r AND share >= floor_ GROUP BY id
 ), chosen AS (SELECT h.id, h.lo, h.hi FROM hist h JOIN peak USING (id, bin)), wide AS (SELECT id, any_value(spread) AS spread FROM hist GROUP BY id)
-SELECT o.id, {r6("median(CASE WHEN c.id IS NULL THEN CASE WHEN spread < 10 THEN value END WHEN value > c.lo AND value < c.hi THEN value END)", "altitude")}
+SELECT o.id, median(CASE WHEN c.id IS NULL THEN CASE WHEN spread < 10 THEN value END WHEN value > c.lo AND value < c.hi THEN value END) AS altitude
 FROM ok o JOIN wide USING (id) LEFT JOIN chosen c ON c.id = o.id GROUP BY o.id"""
 
 
-@query(_peak_sql("1e300", "-1"))
+ROOF, GROUND = ("1e300", "-1"), ("-1", "1e300")
+
+
+@query(f"WITH found AS ({HIST_SQL}, {_peak(*ROOF)}) SELECT id, {r6('altitude', 'altitude')} FROM found")
 def roof_altitude(spark, sf):
     return raster.peak_height(fx.pixels(spark, sf), "roof")
 
 
-@query(_peak_sql("-1", "1e300"))
+@query(f"WITH found AS ({HIST_SQL}, {_peak(*GROUND)}) SELECT id, {r6('altitude', 'altitude')} FROM found")
 def ground_altitude(spark, sf):
     return raster.peak_height(fx.pixels(spark, sf), "ground")
 
 
-def _dtm(spark, sf):
-    return fx.pixels(spark, sf).withColumn("value", F.col("value") / 2)
-
-
-@query()
-def height_data(spark, sf):
-    return raster.height_data(fx.pixels(spark, sf), _dtm(spark, sf))
-
-
 GRADIENT_SQL = f"""WITH {fx.GRID_SQL}, near AS (
   SELECT a.*, l.value AS lv, r.value AS rv, u.value AS uv, d.value AS dv FROM grid a
   LEFT JOIN grid l ON l.raster_id = a.raster_id AND l.row = a.row AND l.col = a.col - 1 LEFT JOIN grid r ON r.raster_id = a.raster_id AND r.row = a.row AND r.col = a.col + 1
@@ -71,7 +66,10 @@ def raster_gradient(spark, sf):
     return raster.gradient(fx.grid(spark, sf)).select("raster_id", "row", "col", "gradient")
 
 
-@query(f"{GRADIENT_SQL} SELECT raster_id, {r6('avg(CASE WHEN gradient < lim THEN gradient END)', 'steepness')} FROM (SELECT *, avg(gradient) OVER w + stddev_pop(gradient) OVER w AS lim FROM mag WINDOW w AS (PARTITION BY raster_id)) GROUP BY 1")
+_STEEP = "SELECT raster_id, avg(CASE WHEN gradient < lim THEN gradient END) AS steepness FROM (SELECT *, avg(gradient) OVER w + stddev_pop(gradient) OVER w AS lim FROM mag WINDOW w AS (PARTITION BY raster_id)) GROUP BY 1"
+
+
+@query(f"WITH found AS ({GRADIENT_SQL} {_STEEP}) SELECT raster_id, {r6('steepness', 'steepness')} FROM found")
 def steepness(spark, sf):
     return raster.trimmed_steepness(raster.gradient(fx.grid(spark, sf)), "raster_id")
 
@@ -87,14 +85,34 @@ def gaussian_smooth(spark, sf):
     return terrain.smoothed(fx.grid(spark, sf), 1.0, 2.0).select("raster_id", "row", "col", "smooth")
 
 
+def _surface(spark, sf):
+    """The rasters as pixels of footprints, and a terrain of half their heights."""
+    dsm = fx.grid(spark, sf).withColumnRenamed("raster_id", "id")
+    return dsm, dsm.withColumn("value", F.col("value") / 2)
+
+
+@query(f"""WITH {fx.GRID_SQL}, roof AS (WITH ok AS (SELECT raster_id AS id, value FROM grid), {_HIST}, {_peak(*ROOF)}), ground AS (WITH ok AS (SELECT raster_id AS id, value / 2 AS value FROM grid), {_HIST}, {_peak(*GROUND)}
+), steep AS ({GRADIENT_SQL} {_STEEP})
+SELECT roof.id, {r6('roof.altitude', 'roof_altitude')}, {r6('ground.altitude', 'ground_altitude')}, {r6('roof.altitude - ground.altitude', 'height')}, {r6('steepness', 'roof_steepness')}, {r6('steepness / 2', 'ground_steepness')}
+FROM roof JOIN ground ON roof.id = ground.id JOIN steep ON raster_id = roof.id""")
+def height_data(spark, sf):
+    return raster.height_data(*_surface(spark, sf))
+
+
 @query()
 def roof_parts(spark, sf):
-    return raster.roof_parts(fx.pixels(spark, sf))
+    """Corner lists are long, so parts come with their numbers of corners and holes."""
+    parts = raster.roof_parts(_surface(spark, sf)[0], bins=4)
+    e = F.col("geometry")
+    return parts.select("id", "part", "height", "area", (F.size(e["exterior"]) - 1).alias("corners"), F.size(e["interiors"]).alias("holes"))
 
 
 @query()
 def elevation_setback(spark, sf):
-    return raster.setback_elevation(raster.roof_parts(fx.pixels(spark, sf)))
+    dsm, _ = _surface(spark, sf)
+    box = g.polygon(g.ring((F.lit(0.0), F.lit(-8.0)), (F.lit(16.0), F.lit(-8.0)), (F.lit(16.0), F.lit(-1.0)), (F.lit(0.0), F.lit(-1.0))))
+    buildings = dsm.groupBy("id").agg(F.max("value").alias("building_height")).select("id", box.alias("geometry"), "building_height", F.lit(0.0).alias("ground_altitude"))
+    return raster.setback_elevation(buildings, raster.roof_parts(dsm, bins=4))
 
 
 def _steep(k: int, source: str = "pt") -> str:
