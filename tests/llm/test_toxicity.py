@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -60,6 +62,64 @@ def test_collapsed_weights_equal_the_kernel():
         assert abs(m.word_values(sym, woff)[0] - want) < 1e-4
 
 
+def plain_value(m, text):
+    """The value of the worst word, and of runs of single letters as one word, from the weights by definition."""
+    low = re.sub("[A-Z]", lambda x: x[0].lower(), text or "")
+    symbols = lambda w: [int(tx.CLASS[c]) for c in w.encode() if tx.CLASS[c] != tx.DROPPED]
+    units = [symbols(w) for w in re.findall(r"[^\x20\x09-\x0d]+", low)]
+    run = []
+    for u in [*units, []]:
+        if len(u) == 1 and u[0] != 27:
+            run.append(u[0])
+            continue
+        if len(run) >= 3:
+            units.append(run)
+        run = []
+    values = [m.bias]
+    for s in ([0, *u] for u in units):
+        norm = sum(w * w * max(len(s) - a - b, 0) for a, b, w in tx.STEPS)
+        total = sum(w * m.weights[(s[i] * 64 + s[i + a]) * 64 + s[i + a + b]] for a, b, w in tx.STEPS for i in range(len(s) - a - b))
+        values.append(total / math.sqrt(max(norm, 1e-9)) + m.bias)
+    return max(values[1:]) if units else m.bias
+
+
+def test_query_equals_a_plain_version(spark):
+    """Scores of all texts are the logistic of the trained machine's worst word, computed here text by text."""
+    docs, labels = rows(200, 8)
+    docs += [(5000, None), (5001, ""), (5002, "i d i o t"), (5003, "Ü Ö ?! 7 8 9"), (5004, "a b"), (5005, "x y z " * 50)]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    m = tx.train(d, lab)
+    got = {r.doc_id: r.score for r in tx.toxicity(d, lab).collect()}
+    for k, t in docs:
+        assert math.isclose(got[k], 1 / (1 + math.exp(-(m.slope * plain_value(m, t) + m.shift))), abs_tol=1e-4), (k, t)
+
+
+def test_machine_is_the_kernel_expansion():
+    """Nyström features of a linear machine, collapsed to weights, give the kernel's expansion over the landmarks."""
+    bags = [["idiot", "the"], ["and", "then"], ["idiots"], ["other"], ["idxiot", "on"], ["none", "so"]]
+    m = tx.fit(bags, [1, 0, 1, 0, 1, 0])
+    # A solution in the landmarks' span: every weight belongs to a subsequence of a word that was seen.
+    seen = set()
+    for w in {x for b in bags for x in b}:
+        data, off = tx.buffers(pa.array([w]))
+        sym, woff = tx.symbols(data, off[:-1], np.diff(off))
+        seen |= {int(c) for _, code, _ in tx.occurrences(sym, woff) for c in code}
+    assert set(np.flatnonzero(m.weights).tolist()) <= seen
+    scores = m.scores(pa.array(["you idiot", "idi-ot", "the other", "idiiot"]))
+    # Six texts give no sharp scores, but insults with a hyphen or a doubled letter rank over harmless words.
+    assert min(scores[0], scores[1], scores[3]) > scores[2] + 0.1
+
+
+def test_squared_hinge_reaches_the_optimum():
+    r = np.random.default_rng(1)
+    x, y = r.normal(size=(80, 5)), np.sign(r.normal(size=80))
+    weight = r.uniform(0.5, 2, 80)
+    theta = tx.squared_hinge(x, y, weight)
+    cost = lambda t: t[:-1] @ t[:-1] / 2 + 1e-6 * t[-1] ** 2 / 2 + 5 * (weight * np.maximum(0, 1 - y * (x @ t[:-1] + t[-1])) ** 2).sum()
+    best = cost(theta)
+    assert all(cost(theta + 1e-3 * r.normal(size=6)) >= best - 1e-9 for _ in range(200))
+
+
 def test_one_class_and_empty(spark):
     docs, _ = rows(30)
     d = spark.createDataFrame(docs, "doc_id long, text string")

@@ -41,7 +41,7 @@ TOLERANCE = 2e-3
 SAMPLE_BYTES, SAMPLE_TEXT, SAMPLE_ROWS = 2 << 20, 1 << 14, 2048
 #: A part ends beyond so many bytes of text (less if the corpus would give the cores under three parts each) or different words; texts are coded
 #: in pieces of so many bytes. A bucket serves so many bytes of the corpus.
-PART_BYTES, LEAST_BYTES, PIECE_BYTES, PART_WORDS, BUCKET_BYTES = 32 << 20, 2 << 20, 8 << 20, 500_000, 32 << 20
+PART_BYTES, LEAST_BYTES, PIECE_BYTES, PART_WORDS, BUCKET_BYTES = 32 << 20, 2 << 20, 4 << 20, 400_000, 32 << 20
 SEGMENT, EIGHTH = 250_000, 8
 #: Added to expected counts of starts and moves.
 PRIOR = 0.1

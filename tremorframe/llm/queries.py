@@ -68,6 +68,16 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op3_top_k": op3_top_k, "op4_near_duplicates": op4_near_duplicates, "op5_secrets": op5_secrets, "op6_chat": op6_chat, "op7_mix": op7_mix, "op8_token_ids": op8_token_ids, "op9_language_id": op9_language_id, "op10_hmm": op10_hmm}
 SQL: dict[str, str] = {
+    "op3_top_k": """
+WITH sound AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id, [floor(64 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), pair AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
+  FROM sound q JOIN sound d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pair)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
     "op6_chat": r"""
 WITH talk AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

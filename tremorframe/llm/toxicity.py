@@ -15,7 +15,9 @@ explicit subsequence weights too, it is collapsed into one table of 64^3 weights
 scores a word exactly as the landmark expansion does. A text scores its worst word, mapped
 to 0..1 by a logistic fit on the training sample.
 
-``bags`` bounds, in expectation, the labelled texts of each class that are learned from.
+The machine is fitted on a bounded sample: ``bags`` bounds, in expectation, the labelled texts of each class that are learned from
+(LONGEST bytes at most each, four times ``bags`` in all cases), and in each round it is trained on EASY of their negative words, drawn at random, and the HARD that
+it finds worst. Scores are of whole texts. Letters with accents are told apart by 32 classes of UTF-8's second byte, so some of them coincide.
 
 Edge cases: null, empty and blank texts get the machine's value of no word at all; null labels are
 left out; repeated labels of one doc_id: the largest counts; without labels of both classes
@@ -37,6 +39,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .text import buffers, hashes, pieces, unique, words
 
 GAP, DECAY, LANDMARKS, ROUNDS, VARIANTS = 3, 0.7, 160, 4, 3
+EASY, HARD, LONGEST = 8000, 3000, 1 << 18
 SYMBOLS = 64
 DROPPED = 255
 CLASS = np.full(256, DROPPED, np.uint8)
@@ -220,7 +223,7 @@ def fit(bags: list[list[str]], labels: list[int], seed: int = 7) -> Machine:
         return out
 
     negative = np.flatnonzero(df[0] > 0)
-    easy = rng.permutation(negative)[:8000]
+    easy = rng.permutation(negative)[:EASY]
     value = evidence
     machine = Machine(np.zeros(SYMBOLS**3, np.float32), 0.0, 1.0, 0.0)
     for _ in range(ROUNDS):
@@ -228,7 +231,7 @@ def fit(bags: list[list[str]], labels: list[int], seed: int = 7) -> Machine:
         top = [x[np.argsort(-value[x])[:3]] for x, label in zip(ids, y, strict=True) if label and len(x)]
         extra = np.unique(np.concatenate(top)) if top else witness
         witness = np.union1d(witness, extra[(value[extra] > 0) & (df[0][extra] == 0)])
-        hard = negative[np.argsort(-value[negative])[:3000]]
+        hard = negative[np.argsort(-value[negative], kind="stable")[:HARD]]
         none = np.union1d(easy, hard)
         witness = np.setdiff1d(witness, none)
         if not len(witness):
@@ -256,9 +259,13 @@ def train(docs: DataFrame, labels: DataFrame, bags: int = 1000) -> Machine:
     part = F.lit(0)
     for k, n in count.items():
         part = F.when(F.col("toxic") == k, int((1 << 20) * min(1.0, bags / n)) + 1).otherwise(part)
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < part)
-    # The sample's ids are bounded by 2 * bags in expectation.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20))
+    # The sample's ids are bounded by 2 * bags in expectation, and by 4 * bags.
+    picked = known.where(draw < part).orderBy(draw, "doc_id").limit(4 * bags)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(picked), "doc_id")
+    # Rows that share an id may be many.
+    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(4 * bags)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
