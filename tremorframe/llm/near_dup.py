@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from . import store
@@ -233,23 +233,27 @@ def block_links(large: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFr
     Sketches meet first; the full sets of those that may be like another one follow.
     Of the links of one class to another component one is given: components need no more.
     """
-    counts = large.groupBy("key").agg(F.count("*").alias("m"), F.count_if("ask").alias("r")).where("r > 0")
-    rows = large.join(counts, "key").join(classes.select("id", "n", "regs"), "id")
-    nm, nr = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("r") / BLOCK).cast("int")
     span = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
     own = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
-    cols = ["key", "id", "c", "n", "regs"]
-    left = rows.where("ask").select(*cols, F.lit(0).alias("side"), own(nr).alias("br"), span(nm).alias("bm"))
-    right = rows.select(*cols, F.lit(1).alias("side"), span(nr).alias("br"), own(nm).alias("bm"))
-    schema = "key long, br int, bm int, side int, id long, c long"
+
+    def dealt(rows: DataFrame, *payload: str) -> GroupedData:
+        """Rows (key, id, c, side, n0 and n1: rows of the sides), each of a side in one block of it and with all blocks of the other."""
+        n0, n1 = F.ceil(F.col("n0") / BLOCK).cast("int"), F.ceil(F.col("n1") / BLOCK).cast("int")
+        cols = ["key", "id", "c", "side", *payload]
+        left = rows.where("side = 0").select(*cols, own(n0).alias("b0"), span(n1).alias("b1"))
+        return left.unionByName(rows.where("side = 1").select(*cols, span(n0).alias("b0"), own(n1).alias("b1"))).groupBy("key", "b0", "b1")
+
+    counts = large.groupBy("key").agg(F.count_if("ask").alias("n0"), F.count("*").alias("n1")).where("n0 > 0")
+    rows = large.join(counts, "key").join(classes.select("id", "n", "regs"), "id")
+    rows = rows.withColumn("side", F.explode(F.when(F.col("ask"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
 
     def sift(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = frame[frame.side == 0], frame[frame.side == 1]
         if not len(x) or not len(y):
-            return frame.iloc[:0][["key", "br", "bm", "side", "id", "c"]]
+            return frame.iloc[:0][["key", "id", "c", "side"]]
         rx, ry = (np.frombuffer(b"".join(f.regs), "<u2").reshape(len(f), -1) for f in (x, y))
         like = may_be_like(rx, ry, x.n.to_numpy(float), y.n.to_numpy(float)) & (x.c.to_numpy()[:, None] != y.c.to_numpy()[None, :])
-        return pd.concat([x[like.any(1)], y[like.any(0)]])[["key", "br", "bm", "side", "id", "c"]]
+        return pd.concat([x[like.any(1)], y[like.any(0)]])[["key", "id", "c", "side"]]
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = frame[frame.side == 0], frame[frame.side == 1]
@@ -267,8 +271,10 @@ def block_links(large: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFr
             out.append(pd.DataFrame({"u": x.id.iloc[k], "v": iy[at]}))
         return pd.concat(out) if out else pd.DataFrame({"u": [], "v": []}).astype("int64")
 
-    sifted = left.unionByName(right).groupBy("key", "br", "bm").applyInPandas(sift, schema)
-    return sifted.join(sets, "id").groupBy("key", "br", "bm").applyInPandas(compare, "u long, v long")
+    like = dealt(rows, "n", "regs").applyInPandas(sift, "key long, id long, c long, side int").distinct()
+    counts = like.groupBy("key").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+    # Full sets meet the classes that are left once, before they are dealt to blocks.
+    return dealt(like.join(counts, "key").join(sets, "id"), "shingles").applyInPandas(compare, "u long, v long")
 
 
 def links(docs: DataFrame, classes: DataFrame, repeated: bool) -> tuple[DataFrame, DataFrame]:
