@@ -191,6 +191,21 @@ def from_wkt(text: Column) -> Column:
     return F.when(text.rlike(r"(?is)^\s*POLYGON\s*(ZM|Z|M)?\s*\(\s*\("), F.struct(every[0].alias("exterior"), F.slice(every, F.lit(2), F.size(every)).alias("interiors")))
 
 
+def polygons_from_wkt(text: Column) -> Column:
+    """Array of polygons of a POLYGON (one) or MULTIPOLYGON (one a part), z and m dropped; other kinds, EMPTY and nulls give an empty array."""
+    multi = r"(?is)^\s*MULTIPOLYGON\s*(?:ZM|Z|M)?\s*\(\s*\(\s*\((.*)\)\s*\)\s*\)\s*$"
+    single = r"(?is)^\s*POLYGON\s*(?:ZM|Z|M)?\s*\(\s*\((.*)\)\s*\)\s*$"
+    body = F.when(text.rlike(multi), F.regexp_extract(text, multi, 1)).when(text.rlike(single), F.regexp_extract(text, single, 1))
+    number = lambda p, k: F.element_at(F.split(F.trim(p), r"\s+"), k)
+    as_ring = lambda r: F.transform(F.split(r, r"\s*,\s*"), lambda p: point(number(p, 1), number(p, 2)))
+
+    def one(part: Column) -> Column:
+        every = F.transform(F.split(part, r"\)\s*,\s*\("), as_ring)
+        return F.struct(F.element_at(every, 1).alias("exterior"), F.slice(every, F.lit(2), F.size(every)).alias("interiors"))
+
+    return F.coalesce(F.transform(F.split(body, r"\)\s*\)\s*,\s*\(\s*\("), one), F.expr(f"cast(array() as array<{POLYGON}>)"))
+
+
 def to_wkt(g: Column) -> Column:
     number = lambda v: F.regexp_replace(v.cast("string"), r"\.0$", "")
     as_text = lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, lambda p: F.concat(number(p["x"]), F.lit(" "), number(p["y"]))), ", "), F.lit(")"))

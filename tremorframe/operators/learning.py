@@ -53,6 +53,20 @@ def violations(df: DataFrame, features: list[str], categories: dict[str, list[st
     return out
 
 
+def numeric(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``columns`` as doubles (null where a text is no number), and one row with the values each lost so."""
+    lost = lambda c: F.count_if(F.col(c).isNotNull() & F.expr(f"try_cast(`{c}` as double)").isNull())
+    return df.withColumns({c: F.expr(f"try_cast(`{c}` as double)") for c in columns}), df.agg(*(lost(c).alias(c) for c in columns))
+
+
+def only(df: DataFrame, columns: list[str], required: bool = True) -> DataFrame:
+    """Some columns in order; those that ``df`` lacks are an error, or left out if not ``required``."""
+    lacking = [c for c in columns if c not in df.columns]
+    if lacking and required:
+        raise ValueError(f"missing columns {lacking}")
+    return df.select(*(c for c in columns if c in df.columns))
+
+
 def rare_labels(df: DataFrame, label: str, least: int = 5) -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") < least)
 
@@ -180,7 +194,7 @@ def smote(df: DataFrame, key: str, label: str, features: list[str], k: int = 5,
 def logistic(c: float = 1.0, **kw):
     from pyspark.ml.classification import LogisticRegression
 
-    return LogisticRegression(regParam=1.0 / (c * 1000), maxIter=100, **kw)
+    return LogisticRegression(maxIter=100, **kw)  # ``fit`` sets the penalty from c and the rows
 
 
 def forest(max_depth: int = 8, trees: int = 50, **kw):
@@ -198,7 +212,7 @@ def boosting(max_depth: int = 3, rounds: int = 10, rate: float = 0.1, **kw):
 def svc(c: float = 1.0, **kw):
     from pyspark.ml.classification import LinearSVC, OneVsRest
 
-    return OneVsRest(classifier=LinearSVC(regParam=1.0 / (c * 1000), maxIter=50), **kw)
+    return OneVsRest(classifier=LinearSVC(maxIter=50), **kw)  # ``fit`` sets the penalty from c and the rows
 
 
 #: Estimator factories by name; add one to plug in a model.
@@ -217,6 +231,10 @@ def fit(df: DataFrame, name: str, features: list[str], label: str, strategy: str
         df = smote(df, key, label, features)
     rows = assembled(df.withColumn("label", F.col(label).cast("double")), features)
     model = MODELS[name](labelCol="label", featuresCol="features", **params)
+    inner = model.getClassifier() if model.hasParam("classifier") else model
+    if inner.hasParam("regParam"):
+        # C weighs the sum of the losses, regParam the penalty against their mean.
+        inner.setRegParam(1.0 / (params.get("c", 1.0) * max(rows.count(), 1)))
     if strategy == "class_weight" and model.hasParam("weightCol"):
         rows = rows.join(F.broadcast(class_weights(df, label).select(label, "weight")), label)  # one row a class
         model = model.setWeightCol("weight")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -113,6 +114,46 @@ def clip(grid: DataFrame, footprints: DataFrame, x0: float, y0: float, size: flo
     return met.select("id", "row", "col", "value")
 
 
+def extent(grid: DataFrame, x0: float, y0: float, size: float, key: str = "raster_id") -> DataFrame:
+    """(key, rows, cols, n, nodata, x_min, y_min, x_max, y_max): a raster's metadata from its pixels; rows run downwards from y0."""
+    out = grid.groupBy(key).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"), F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("nodata"))
+    return out.select(key, (F.col("r1") - F.col("r0") + 1).alias("rows"), (F.col("c1") - F.col("c0") + 1).alias("cols"), "n", "nodata", (x0 + F.col("c0") * size).alias("x_min"), (y0 - (F.col("r1") + 1) * size).alias("y_min"), (x0 + (F.col("c1") + 1) * size).alias("x_max"), (y0 - F.col("r0") * size).alias("y_max"))
+
+
+def resampled(grid: DataFrame, scale: float, key: str = "raster_id") -> DataFrame:
+    """(key, row, col, value): the raster with pixels ``scale`` times as large, bilinear between the four pixels around each new centre.
+
+    Beyond the outer centres the nearest pixels count; nodata has no weight. Both sides meet in an equi-join on the pixel: a new pixel asks four.
+    """
+    ends = grid.groupBy(key).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    count = lambda a, b: F.greatest(F.ceil((F.col(b) - F.col(a) + 1) / scale), F.lit(1)).cast("int")
+    new = ends.withColumn("row", F.explode(F.sequence(F.lit(0), count("r0", "r1") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), count("c0", "c1") - 1)))
+    # Centres in the old raster's numbers.
+    at = lambda c, low, high: F.greatest(F.least((F.col(c) + 0.5) * scale - 0.5 + F.col(low), F.col(high).cast("double")), F.col(low).cast("double"))
+    new = new.withColumns({"y": at("row", "r0", "r1"), "x": at("col", "c0", "c1")})
+    corner = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (0, 1) for b in (0, 1))))
+    asks = new.withColumn("d", corner).select(key, "row", "col", "x", "y", (F.floor("y") + F.col("d.dr")).cast("int").alias("r"), (F.floor("x") + F.col("d.dc")).cast("int").alias("c"))
+    weight = (1 - F.abs(F.col("y") - F.col("r"))) * (1 - F.abs(F.col("x") - F.col("c")))
+    asks = asks.withColumn("w", weight).where("w > 0")
+    old = grid.where(F.col("value").isNotNull()).select(key, F.col("row").alias("r"), F.col("col").alias("c"), "value")
+    met = asks.join(old, [key, "r", "c"], "left")
+    seen = F.sum(F.when(F.col("value").isNotNull(), F.col("w")))
+    return met.groupBy(key, "row", "col").agg((F.sum(F.col("w") * F.col("value")) / seen).alias("value"))
+
+
+def by_window(pixels: DataFrame, function: Callable[[np.ndarray], dict], schema: str, key: str = "id") -> DataFrame:
+    """``function`` of each footprint's pixels as a matrix (NaN where there is none): a row (key, *schema) each. A footprint's pixels meet in one task."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        r, c = frame["row"] - frame["row"].min(), frame["col"] - frame["col"].min()
+        values = np.full((r.max() + 1, c.max() + 1), np.nan)
+        values[r, c] = frame["value"]
+        return pd.DataFrame([{key: frame[key].iloc[0], **function(values)}])
+
+    kind = pixels.schema[key].dataType.simpleString()
+    return pixels.select(key, "row", "col", "value").groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
+
+
 def roof_layers(pixels: DataFrame, bins: int = 20, least: float = 0.01, mode: str = "documented") -> DataFrame:
     """(id, marks): the heights at which layers start, between the peaks of a histogram; a peak holds at least ``least`` of the pixels.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +91,23 @@ def listed(videos: DataFrame, include: DataFrame | None = None, exclude: DataFra
     return rows.join(exclude.select(key).distinct(), key, "left_anti") if exclude is not None else rows
 
 
+def running(values: DataFrame, key: list[str], order: str, columns: list[str]) -> DataFrame:
+    """Adds the running count, mean and last value of measures along ``order`` (as meters of training show them)."""
+    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return values.withColumns({f"{c}_{n}": f(c).over(w) for c in columns for n, f in (("avg", F.avg), ("count", F.count))})
+
+
+def chained(df: DataFrame, steps: list[Callable[[DataFrame], DataFrame]], *, only_if: dict[int, Column] | None = None) -> DataFrame:
+    """Transforms one after another; step ``k`` with a condition in ``only_if`` changes just the rows that meet it, and keeps their columns."""
+    for k, step in enumerate(steps):
+        if only_if and k in only_if:
+            meets = F.coalesce(only_if[k], F.lit(False))
+            df = step(df.where(meets)).unionByName(df.where(~meets), allowMissingColumns=True)
+        else:
+            df = step(df)
+    return df
+
+
 def mixed(datasets: list[DataFrame], shares: list[float], key: str, seed: int = 0) -> DataFrame:
     """Rows of several datasets, each with its probability, with ``dataset``."""
     u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)

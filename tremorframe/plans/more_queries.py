@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import learning, position, raster, segmentation, shape, terrain, vision
 from . import fixtures as fx
-from .queries import query, r6
+from .queries import FORCES_SQL, MEASURES_SQL, query, r6
 
 PIXELS_SQL = """px AS (SELECT user_id AS id, CASE WHEN event_type <> 'error' THEN CAST(value AS DOUBLE) END AS value FROM events), ok AS (SELECT * FROM px WHERE value IS NOT NULL)"""
 _HIST = """rng AS (
@@ -411,12 +411,15 @@ def clip_raster(spark, sf):
     return raster.clip(grid, fx.shapes(spark, sf), 0.0, 10.0, 1.0)
 
 
-@query()
+@query(f"""{FORCES_SQL.format(gap=0.0002, least=0.001).split("), force AS")[0]}) SELECT b.id, CASE WHEN t.id IS NOT NULL THEN 3.0::DOUBLE END AS height, {r6('coalesce(total / sqrt(80), 0)', 'force')},
+  {r6('coalesce(least(CASE WHEN total > 1e-9 THEN (each - total) / total WHEN each > 0 THEN 1e6 ELSE 0 END, 1e6), 0)', 'confinement_ratio')},
+  {r6('coalesce(least(abs(m0), abs(m1), abs(m2)) * 80 / (80 * 164 / 12.0), 0)', 'angular_acc')}, {r6('coalesce(least(CASE WHEN total > 1e-9 THEN 2 * bend / total WHEN bend > 0 THEN 1e6 ELSE 0 END, 1e6), 0)', 'angle')}
+FROM building b LEFT JOIN t USING (id)""")
 def documented_forces(spark, sf):
     return position.contact_forces(fx.blocks(spark, sf), mode="documented").withColumn("confinement_ratio", F.least("confinement_ratio", F.lit(1e6))).withColumn("angle", F.least("angle", F.lit(1e6)))
 
 
-@query()
+@query(f"{MEASURES_SQL} SELECT id, {r6('height / sqrt(area / sqrt((centre + radius) / (centre - radius)))', 'slenderness')} FROM pr JOIN shape USING (id)")
 def elevation_slenderness(spark, sf):
     rows = shape.prepared(fx.shapes(spark, sf), "height")
     return rows.select("id", raster.slenderness_of_elevation(F.col("height"), F.col("m")["area"], F.sqrt(F.col("p")["i1"] / F.col("p")["i2"])).alias("slenderness"))

@@ -171,13 +171,16 @@ def convex_hull_momentum(spark, sf):
     return shape.convex_hull_momentum(fx.shapes(spark, sf))
 
 
-#: Grid over directions, as the operator's first step; the maximum is flat, so ratios agree to four places.
+#: The best of a grid over directions, then of a finer one around it.
 EC_SQL = f"""{MEASURES_SQL}, way AS (SELECT CAST(unnest(range(18000)) AS DOUBLE) * pi() / 18000 AS x), kindly AS (
   SELECT min(id) AS id, w, h, kind FROM shape GROUP BY w, h, kind
 ), ecc AS (
   SELECT pr.*, {{e}} AS e, atan2({{ey}} * cos(theta) - {{ex}} * sin(theta), {{ex}} * cos(theta) + {{ey}} * sin(theta)) AS b FROM pr JOIN kindly USING (id)
-), worst AS (
+), coarse AS (
   SELECT ecc.*, x FROM ecc JOIN way ON e > 1e-10 OR x = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY {{value}} DESC) = 1
+), fine AS (
+  SELECT coarse.* REPLACE (x + step * pi() / 18000 / 1000 AS x) FROM coarse JOIN (SELECT unnest(range(-1000, 1001)) AS step) ON e > 1e-10 OR step = 0
+), worst AS (SELECT * FROM fine QUALIFY row_number() OVER (PARTITION BY id ORDER BY {{value}} DESC) = 1
 )"""
 
 
@@ -185,12 +188,19 @@ def _ec(ex: str, ey: str, value: str) -> str:
     return EC_SQL.format(ex=f"({ex})", ey=f"({ey})", e=f"sqrt(({ex}) ** 2 + ({ey}) ** 2)", value=value)
 
 
-@query(_ec("mx - bx", "my - by_", "cos(x - b) ** 2 * (centre - radius * cos(2 * x))") + """ SELECT s.id,
+EC8_SQL = _ec("mx - bx", "my - by_", "cos(x - b) ** 2 * (centre - radius * cos(2 * x))") + """ SELECT s.id,
   round(e * abs(cos(x - b)) / sqrt((ixx + iyy + area * e * e) / (centre - radius * cos(2 * x))), 5) + 0.0 AS eccentricity_ratio,
-  round(sqrt((centre + radius) / (centre - radius)), 5) + 0.0 AS slenderness
-FROM worst k JOIN kindly USING (id) JOIN shape s ON s.w = kindly.w AND s.h = kindly.h AND s.kind = kindly.kind""", places=5)
+  round(sqrt((ixx + iyy + area * e * e) / (centre - radius * cos(2 * x))) / sqrt((ixx + iyy) / area), 5) + 0.0 AS radius_ratio,
+  round(sqrt((centre + radius) / (centre - radius)), 5) + 0.0 AS slenderness,
+  round(1 - (CASE s.kind WHEN 1 THEN 0.125 WHEN 3 THEN 0.25 WHEN 4 THEN 0.0625 ELSE 0 END) / (CASE WHEN s.kind IN (1, 3, 4) THEN 0.75 ELSE 1 END), 5) + 0.0 AS compactness,
+  round(degrees(-theta), 5) + 0.0 AS angle_slenderness
+FROM worst k JOIN kindly USING (id) JOIN shape s ON s.w = kindly.w AND s.h = kindly.h AND s.kind = kindly.kind"""
+
+
+@query(EC8_SQL, places=5)
 def eurocode_8(spark, sf):
-    return shape.eurocode_8(fx.shapes(spark, sf)).select("id", "eccentricity_ratio", "slenderness")
+    """All columns but the worst direction: symmetric shapes have two of them."""
+    return shape.eurocode_8(fx.shapes(spark, sf)).drop("angle_eccentricity")
 
 
 @query(_ec("mx - cx", "my - cy", "cos(x - b) ** 4 * (centre - radius * cos(2 * x)) / (centre + radius * cos(2 * x))") + """ SELECT s.id,
@@ -249,7 +259,9 @@ def slenderness_elevation(spark, sf):
     return shape.slenderness_elevation(fx.shapes(spark, sf))
 
 
-@query()
+@query(f"""WITH ec AS ({EC8_SQL}), sb AS ({POCKET_SQL} SELECT id, round(coalesce(max(least(b1 / l1, b2 / l2)), 0), 5) + 0.0 AS setback_ratio FROM shape LEFT JOIN reach USING (id) GROUP BY id), both_ AS (
+  SELECT id, eccentricity_ratio, setback_ratio, slenderness, compactness, CASE WHEN slenderness > 4 THEN 'slenderness' WHEN setback_ratio > 0.2 THEN 'setbacks' WHEN eccentricity_ratio > 0.3 THEN 'eccentricity' ELSE 'regular' END AS fsi FROM ec JOIN sb USING (id)
+) SELECT *, fsi = 'regular' AS regularity_boolean FROM both_""", places=5)
 def footprint_irregularity(spark, sf):
     return shape.footprint_irregularity(fx.shapes(spark, sf))
 

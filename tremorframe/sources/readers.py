@@ -1,4 +1,4 @@
-"""Readers and writers of building tables: parquet (WKB or WKT), GeoJSON, CSV with WKT, GeoPackage, Shapefile, COCO, rasters as long pixels.
+"""Readers and writers of building tables: parquet (WKB or WKT), GeoJSON, CSV with WKT, spreadsheets, GeoPackage, Shapefile, COCO, masks.
 
 Files are read by Spark, or as binary rows parsed in Arrow batches, so any Hadoop file system works and
 files spread over executors. Every reader gives ``geometry`` as a polygon struct; other kinds of geometry are null.
@@ -6,13 +6,18 @@ files spread over executors. Every reader gives ``geometry`` as a polygon struct
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import sqlite3
 import struct
 import tempfile
+import zipfile
+import zlib
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,11 +88,20 @@ def from_wkb(column: Column) -> Column:
 
 
 def to_wkb(geometry: Column) -> Column:
+    """WKB of a polygon; null stays null. Rings travel flat: nested lists of a batch of nulls crash some Arrow readers."""
+
     @F.pandas_udf("binary")
-    def run(rings: pd.Series) -> pd.Series:
-        return rings.map(lambda rs: None if rs is None else wkb([[[p[0], p[1]] for p in r] for r in rs]))
+    def run(sizes: pd.Series, flat: pd.Series) -> pd.Series:
+        def one(n: np.ndarray | None, xy: np.ndarray | None) -> bytes | None:
+            if n is None:
+                return None
+            points = np.asarray(xy, float).reshape(-1, 2)
+            return wkb([r.tolist() for r in np.split(points, np.cumsum(n)[:-1].astype(int))])
+
+        return pd.Series([one(n, xy) for n, xy in zip(sizes, flat, strict=True)], dtype=object)
 
-    return run(F.transform(g.rings(geometry), lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
+    rings = g.rings(geometry)
+    return run(F.transform(rings, F.size), F.flatten(F.transform(F.flatten(rings), lambda p: F.array(p["x"], p["y"]))))
 
 
 def parts(df: DataFrame, column: str = "geometry") -> DataFrame:
@@ -104,14 +118,14 @@ def geoparquet(spark: SparkSession, path: str, column: str = "geometry") -> Data
     kind = dict(df.dtypes)[column]
     if kind == "binary":
         return parts(df.withColumn(column, from_wkb(F.col(column))), column)
-    return df.withColumn(column, g.from_wkt(F.col(column))) if kind == "string" else df
+    return parts(df.withColumn(column, g.polygons_from_wkt(F.col(column))), column) if kind == "string" else df
 
 
 def csv_wkt(spark: SparkSession, path: str, schema: str | None = None, column: str = "geometry") -> DataFrame:
-    """CSV with a header; a WKT ``column`` (degrees) becomes polygons."""
+    """CSV with a header; a WKT ``column`` (degrees) becomes polygons, each part of a MULTIPOLYGON a row."""
     reader = spark.read.option("header", True)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
-    return df.withColumn(column, g.from_wkt(F.col(column))) if column in df.columns else df
+    return parts(df.withColumn(column, g.polygons_from_wkt(F.col(column))), column) if column in df.columns else df
 
 
 def geojson(spark: SparkSession, path: str, properties: str = "id long") -> DataFrame:
@@ -192,10 +206,122 @@ def shapefile(spark: SparkSession, path: str) -> DataFrame:
     return parts(rows.select("id", F.transform("p", _as_polygon).alias("geometry")))
 
 
+#: Parts of the name space of spreadsheets (fixed value).
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def sheet_rows(content: bytes, sheet: int = 1) -> Iterator[list[str | None]]:
+    """Rows of a sheet of an .xlsx workbook as texts; empty cells are null."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        shared = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            shared = ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
+        for row in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{_SHEET}row"):
+            out: list[str | None] = []
+            for k, cell in enumerate(row.iter(f"{_SHEET}c")):
+                letters = "".join(c for c in cell.get("r", "") if c.isalpha())
+                at = k
+                if letters:
+                    at = 0
+                    for c in letters:
+                        at = at * 26 + ord(c) - 64
+                    at -= 1
+                out += [None] * (at + 1 - len(out))
+                value = cell.find(f"{_SHEET}v")
+                if cell.get("t") == "inlineStr":
+                    out[at] = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t"))
+                elif value is not None and value.text is not None:
+                    out[at] = shared[int(value.text)] if cell.get("t") == "s" else value.text
+            yield out
+
+
+def excel(spark: SparkSession, path: str, schema: str | None = None, sheet: int = 1) -> DataFrame:
+    """A sheet of .xlsx workbooks, a file a task; the first row names the columns (those of the first file). Values are texts, or as a DDL ``schema`` of the same names says."""
+    files = spark.read.format("binaryFile").load(path)
+    first = files.orderBy("path").limit(1).select("content").head()
+    names = next(sheet_rows(bytes(first.content), sheet), []) if first else []
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame.content:
+                rows = sheet_rows(content, sheet)
+                own = next(rows, [])
+                found = [dict(zip(own, r, strict=False)) for r in rows]
+                for k in range(0, len(found), 5000):
+                    yield pd.DataFrame([[r.get(c) for c in names] for r in found[k : k + 5000]], columns=names)
+
+    rows = files.select("content").mapInPandas(run, ", ".join(f"`{c}` string" for c in names))
+    if schema is None:
+        return rows
+    wanted = spark.createDataFrame([], schema).schema
+    return rows.select(*(F.expr(f"try_cast(`{f.name}` as {f.dataType.simpleString()})").alias(f.name) for f in wanted))
+
+
+def png_pixels(content: bytes) -> np.ndarray:
+    """Rows of samples of an 8-bit PNG without interlacing: grey or palette numbers (rows x columns), else rows x columns x channels."""
+    at, data, head = 8, b"", None
+    while at < len(content):
+        (size,) = struct.unpack_from(">I", content, at)
+        kind = content[at + 4 : at + 8]
+        if kind == b"IHDR":
+            head = struct.unpack_from(">IIBBBBB", content, at + 8)
+        elif kind == b"IDAT":
+            data += content[at + 8 : at + 8 + size]
+        at += 12 + size
+    width, height, depth, colour, _, _, interlaced = head
+    if depth != 8 or interlaced:
+        raise ValueError("only 8-bit PNG files without interlacing are read")
+    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + width * n)
+    out = np.zeros((height + 1, width * n), np.uint8)
+    for r in range(height):
+        kind, line, up = raw[r, 0], raw[r, 1:].copy(), out[r]
+        if kind == 0:
+            out[r + 1] = line
+        elif kind == 2:
+            out[r + 1] = line + up
+        elif kind == 1:
+            out[r + 1] = np.cumsum(line.reshape(-1, n), 0, dtype=np.uint64).astype(np.uint8).ravel()
+        else:
+            # Average and Paeth need the byte before.
+            done = [0] * n
+            above = [0] * n + up.tolist()
+            for k, x in enumerate(line.tolist()):
+                a, b, c = done[k], above[k + n], above[k]
+                if kind == 3:
+                    guess = (a + b) // 2
+                else:
+                    p = a + b - c
+                    guess = min(((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c)))[2]
+                done.append((x + guess) & 255)
+            out[r + 1] = done[n:]
+    return out[1:].reshape(height, width, n).squeeze(-1) if n == 1 else out[1:].reshape(height, width, n)
+
+
+def png_masks(spark: SparkSession, path: str) -> DataFrame:
+    """(path, label, pixel): the labelled pixels (other than 0) of mask PNGs, positions column by column."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame.path, frame.content, strict=True):
+                values = png_pixels(content)
+                rows, cols = np.nonzero(values)
+                yield pd.DataFrame({"path": name, "label": values[rows, cols].astype("int32"), "pixel": cols.astype("int64") * len(values) + rows})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, label int, pixel long")
+
+
+def mask_notes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, note, height, width, counts): run lengths of JSON files with ``annotations``, each with a ``segmentation`` of size and counts (as a list)."""
+    schema = "annotations array<struct<id: long, segmentation: struct<size: array<int>, counts: array<int>>>>"
+    doc = spark.read.schema(schema).option("multiLine", True).json(path).select(F.input_file_name().alias("file"), F.posexplode("annotations").alias("k", "a"))
+    return doc.select("file", F.coalesce("a.id", "k").alias("note"), F.col("a.segmentation.size")[0].alias("height"), F.col("a.segmentation.size")[1].alias("width"), F.col("a.segmentation.counts").alias("counts"))
+
+
 def kind_of(path: str) -> str:
     """geo or table, by suffix (parquet may be either: see ``folder``)."""
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
-    kinds = {".geojson": "geo", ".json": "geo", ".gpkg": "geo", ".shp": "geo", ".csv": "table", ".parquet": "parquet"}
+    kinds = {".geojson": "geo", ".json": "geo", ".gpkg": "geo", ".shp": "geo", ".csv": "table", ".xlsx": "table", ".parquet": "parquet"}
     if suffix not in kinds:
         raise ValueError(f"{path}: unknown kind of file")
     return kinds[suffix]
@@ -212,6 +338,8 @@ def read(spark: SparkSession, path: str, properties: str = "id long") -> DataFra
         return shapefile(spark, path)
     if suffix == ".csv":
         return csv_wkt(spark, path)
+    if suffix == ".xlsx":
+        return excel(spark, path)
     df = spark.read.parquet(path)
     return geoparquet(spark, path) if "geometry" in df.columns else df
 
