@@ -84,20 +84,6 @@ def test_one_id_with_several_texts(spark):
     assert nd.one_of_each(docs).columns == docs.columns
 
 
-def test_blocks_keep_all_that_the_estimate_keeps():
-    r = np.random.default_rng(5)
-    base = r.integers(0, 2**64, 400, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([base[: 400 - 10 * k], r.integers(0, 2**64, 10 * k, dtype=np.uint64)])) for k in range(30)]
-    regs = np.stack([nd.registers(s, np.array([0, len(s)]))[0] for s in sets])
-    n = np.array([len(s) for s in sets], float)
-    like = nd.may_be_like(regs, regs, n, n)
-    for i in range(30):
-        for j in range(30):
-            estimate = nd.likely_jaccard(regs[i][None], regs[j][None], n[i : i + 1], n[j : j + 1])[0]
-            if abs(estimate - nd.LEAST_ESTIMATE) > 0.01:
-                assert like[i, j] == (estimate >= nd.LEAST_ESTIMATE)
-
-
 def test_registers_follow_jaccard_and_merge():
     r = np.random.default_rng(0)
     x = r.integers(0, 2**64, 3000, dtype=np.uint64)

@@ -9,9 +9,8 @@ of four registers, 32 of them, miss a pair of similarity 0.75 with probability 5
 Links need only connect, so copies are never expanded into all pairs: equal sets become one
 class; each class in a bucket is first paired with the bucket's smallest class only, and the one
 it most probably resembles is verified on full sets. Then only pairs of one bucket whose
-components still differ are compared, by likelihood and then on full sets: those of small buckets (up to
-SMALL_BUCKET classes) as pairs, those of larger ones block by block, where sketches meet first and full sets
-of only those classes follow that may be like another one of the block.
+components still differ are compared: those of small buckets (up to SMALL_BUCKET classes) are estimated by likelihood and
+verified, those of larger ones go block by block on full sets, which gives the same links: the estimate only saves verification.
 
 Edge cases: a null, empty or blank text has no shingles and no links of its own (its own component);
 rows of equal doc_id are one node, whatever their texts: they and all that any of their texts is linked to are one component; each gives a row; a null doc_id links to nothing
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -116,21 +115,6 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
     return np.take_along_axis(grid, fit.argmax(1)[:, None], 1)[:, 0]
 
 
-def may_be_like(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """For each of the first sketches and each of the second whether sizes and likelihood allow the threshold.
-
-    The likelihood has one maximum, so the most likely similarity is LEAST_ESTIMATE or more where it still rises there.
-    """
-    out = np.zeros((len(a), len(b)), bool)
-    for k in range(0, len(a), 64):
-        x, n = a[k : k + 64, None, :], na[k : k + 64, None]
-        near = 100 * np.minimum(n, nb) >= 75 * np.maximum(n, nb)
-        more, less = (x > b[None]).sum(-1), (x < b[None]).sum(-1)
-        rise = _likelihood(more, less, n, nb[None], LEAST_ESTIMATE + 1e-4) - _likelihood(more, less, n, nb[None], LEAST_ESTIMATE - 1e-4)
-        out[k : k + 64] = near & (rise >= 0)
-    return out
-
-
 def identified(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, text): rows of equal doc_id and tie are alike."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
@@ -227,33 +211,19 @@ def shared_counts(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -
     return out.astype(np.int64)
 
 
-def block_links(large: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) in large buckets between the rows marked ``ask`` and all the bucket's, block by block.
+def block_links(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) in large buckets between the rows marked ``ask`` and all the bucket's, block by block on full sets.
 
-    Sketches meet first; the full sets of those that may be like another one follow.
     Of the links of one class to another component one is given: components need no more.
     """
+    counts = large.groupBy("key").agg(F.count("*").alias("m"), F.count_if("ask").alias("r")).where("r > 0")
+    rows = large.join(counts, "key").join(sets, "id")
+    nm, nr = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("r") / BLOCK).cast("int")
     span = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
     own = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
-
-    def dealt(rows: DataFrame, *payload: str) -> GroupedData:
-        """Rows (key, id, c, side, n0 and n1: rows of the sides), each of a side in one block of it and with all blocks of the other."""
-        n0, n1 = F.ceil(F.col("n0") / BLOCK).cast("int"), F.ceil(F.col("n1") / BLOCK).cast("int")
-        cols = ["key", "id", "c", "side", *payload]
-        left = rows.where("side = 0").select(*cols, own(n0).alias("b0"), span(n1).alias("b1"))
-        return left.unionByName(rows.where("side = 1").select(*cols, span(n0).alias("b0"), own(n1).alias("b1"))).groupBy("key", "b0", "b1")
-
-    counts = large.groupBy("key").agg(F.count_if("ask").alias("n0"), F.count("*").alias("n1")).where("n0 > 0")
-    rows = large.join(counts, "key").join(classes.select("id", "n", "regs"), "id")
-    rows = rows.withColumn("side", F.explode(F.when(F.col("ask"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
-
-    def sift(frame: pd.DataFrame) -> pd.DataFrame:
-        x, y = frame[frame.side == 0], frame[frame.side == 1]
-        if not len(x) or not len(y):
-            return frame.iloc[:0][["key", "id", "c", "side"]]
-        rx, ry = (np.frombuffer(b"".join(f.regs), "<u2").reshape(len(f), -1) for f in (x, y))
-        like = may_be_like(rx, ry, x.n.to_numpy(float), y.n.to_numpy(float)) & (x.c.to_numpy()[:, None] != y.c.to_numpy()[None, :])
-        return pd.concat([x[like.any(1)], y[like.any(0)]])[["key", "id", "c", "side"]]
+    cols = ["key", "id", "c", "shingles"]
+    left = rows.where("ask").select(*cols, F.lit(0).alias("side"), own(nr).alias("br"), span(nm).alias("bm"))
+    right = rows.select(*cols, F.lit(1).alias("side"), span(nr).alias("br"), own(nm).alias("bm"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = frame[frame.side == 0], frame[frame.side == 1]
@@ -271,10 +241,7 @@ def block_links(large: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFr
             out.append(pd.DataFrame({"u": x.id.iloc[k], "v": iy[at]}))
         return pd.concat(out) if out else pd.DataFrame({"u": [], "v": []}).astype("int64")
 
-    like = dealt(rows, "n", "regs").applyInPandas(sift, "key long, id long, c long, side int").distinct()
-    counts = like.groupBy("key").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
-    # Full sets meet the classes that are left once, before they are dealt to blocks.
-    return dealt(like.join(counts, "key").join(sets, "id"), "shingles").applyInPandas(compare, "u long, v long")
+    return left.unionByName(right).groupBy("key", "br", "bm").applyInPandas(compare, "u long, v long")
 
 
 def links(docs: DataFrame, classes: DataFrame, repeated: bool) -> tuple[DataFrame, DataFrame]:
@@ -303,7 +270,7 @@ def links(docs: DataFrame, classes: DataFrame, repeated: bool) -> tuple[DataFram
             if not turn:
                 chosen = rest.where((F.col("m") > SMALL_BUCKET) & F.col("ask")).groupBy("id").agg(F.max_by("key", F.struct("m", "key")).alias("one"))
                 large = large.join(chosen, "id", "left").withColumn("ask", F.col("ask") & (F.col("key") == F.col("one"))).drop("one")
-            late = block_links(large, classes, sets)
+            late = block_links(large, sets)
         if not turn:
             small = rest.where(F.col("m") <= SMALL_BUCKET).select("key", "id", "c")
             other = small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
