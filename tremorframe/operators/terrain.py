@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +76,7 @@ def edge_gradient(points: DataFrame, k: int = 10, min_distance: float = 0.0, cel
 def cleaned(points: DataFrame, max_gradient: float, ks: tuple[int, ...] = (50, 10), cell: float = 50.0) -> DataFrame:
     """Points whose slope stays under the limit, pass by pass."""
     for k in ks:
-        points = edge_gradient(points, k, cell=cell).where(F.coalesce(F.abs("gradient"), F.lit(0.0)) < max_gradient).drop("gradient")
+        points = edge_gradient(points, k, cell=cell).where(F.coalesce(F.abs("gradient"), F.lit(0.0)) < max_gradient).drop("gradient").persist()  # the next pass reads it often
     return points
 
 
@@ -92,7 +94,7 @@ def sample_roads(roads: DataFrame, spacing: float) -> DataFrame:
 def interpolated(points: DataFrame, cells: DataFrame, k: int = 8, reach: float = 50.0) -> DataFrame:
     """(id, x, y, value): heights of ``cells`` (id, x, y) from the k nearest points, weighted by inverse distance; null without one.
 
-    Stands for a triangulated surface, which needs all points of a region in one task.
+    For points too sparse to triangulate; see ``tin`` for a triangulated surface.
     """
     box = lambda c: F.floor(F.col(c) / reach)
     near = F.sequence(F.lit(-1), F.lit(1))
@@ -106,19 +108,105 @@ def interpolated(points: DataFrame, cells: DataFrame, k: int = 8, reach: float =
     return cells.join(value, "id", "left")
 
 
+def _spread(cells: DataFrame, key: str, axis: str, radius: int) -> DataFrame:
+    """Each cell once for every place up to ``radius`` along an axis, with the step ``d``."""
+    return cells.withColumn("d", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn(axis, F.col(axis) + F.col("d"))
+
+
 def local_maximum(grid: DataFrame, column: str = "gradient", key: str = "raster_id") -> DataFrame:
-    """Adds ``local_max``: the largest value of the 3 x 3 cells around (missing cells left out)."""
-    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    moved = grid.select(key, "row", "col", column).withColumn("dr", step).withColumn("dc", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-    best = moved.groupBy(key, (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col")).agg(F.max(column).alias("local_max"))
+    """Adds ``local_max``: the largest value of the 3 x 3 cells around (missing cells left out), along rows, then columns."""
+    best = grid.select(key, "row", "col", F.col(column).alias("local_max"))
+    for axis in ("col", "row"):
+        best = _spread(best, key, axis, 1).groupBy(key, "row", "col").agg(F.max("local_max").alias("local_max"))
     return grid.join(best, [key, "row", "col"], "left")
 
 
 def smoothed(grid: DataFrame, sigma: float = 1.0, truncate: float = 3.0, key: str = "raster_id") -> DataFrame:
-    """Gaussian smoothing of long pixels, weights renormalised over the cells that have a value."""
+    """Gaussian smoothing of long pixels, weights renormalised over the cells that have a value; along rows, then columns."""
     r = int(truncate * sigma + 0.5)
     valid = grid.where(F.col("value").isNotNull())
-    moved = valid.withColumn("dr", F.explode(F.sequence(F.lit(-r), F.lit(r)))).withColumn("dc", F.explode(F.sequence(F.lit(-r), F.lit(r))))
-    weight = F.exp(-(F.col("dr") ** 2 + F.col("dc") ** 2) / (2 * sigma * sigma))
-    sums = moved.groupBy(key, (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col")).agg((F.sum(weight * F.col("value")) / F.sum(weight)).alias("smooth"))
-    return valid.join(sums, [key, "row", "col"])
+    sums = valid.select(key, "row", "col", F.col("value").alias("a"), F.lit(1.0).alias("b"))
+    weight = F.exp(-(F.col("d") ** 2) / (2 * sigma * sigma))
+    for axis in ("col", "row"):
+        sums = _spread(sums, key, axis, r).groupBy(key, "row", "col").agg(F.sum(weight * F.col("a")).alias("a"), F.sum(weight * F.col("b")).alias("b"))
+    return valid.join(sums, [key, "row", "col"]).withColumn("smooth", F.col("a") / F.col("b")).drop("a", "b")
+
+
+# Triangulated surfaces --------------------------------------------------------------------------
+
+
+def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Corners of the Delaunay triangles of different points (triangles x 3), by adding one point at a time.
+
+    Where four points lie on a circle a tiny shift that depends on the point decides.
+    """
+    n = len(x)
+    if n < 3:
+        return np.empty((0, 3), int)
+    size = max(np.ptp(x), np.ptp(y), 1e-12)
+    mid = ((x.max() + x.min()) / 2, (y.max() + y.min()) / 2)
+    shift = np.sin(np.stack([x * 12.9898 + y * 78.233, x * 39.346 + y * 11.135]) * 437.5453)
+    px = np.concatenate([(x - mid[0]) / size + 1e-7 * shift[0], [-6e3, 6e3, 0.0]])
+    py = np.concatenate([(y - mid[1]) / size + 1e-7 * shift[1], [-4e3, -4e3, 7e3]])
+
+    def circles(t: np.ndarray) -> np.ndarray:
+        ax, ay, bx, by, cx, cy = px[t[:, 0]], py[t[:, 0]], px[t[:, 1]], py[t[:, 1]], px[t[:, 2]], py[t[:, 2]]
+        bx, by, cx, cy = bx - ax, by - ay, cx - ax, cy - ay
+        d = 2 * (bx * cy - by * cx)
+        ux, uy = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
+        return np.stack([ux + ax, uy + ay, ux * ux + uy * uy], 1)
+
+    triangles = np.array([[n, n + 1, n + 2]])
+    around = circles(triangles)
+    for k in np.lexsort((py[:n], px[:n])):
+        bad = (around[:, 0] - px[k]) ** 2 + (around[:, 1] - py[k]) ** 2 < around[:, 2]
+        t = triangles[bad]
+        edges = np.sort(np.concatenate([t[:, [0, 1]], t[:, [1, 2]], t[:, [2, 0]]]), 1)
+        edges, count = np.unique(edges, axis=0, return_counts=True)
+        rim = edges[count == 1]
+        new = np.concatenate([rim, np.full((len(rim), 1), k)], 1)
+        triangles = np.concatenate([triangles[~bad], new])
+        around = np.concatenate([around[~bad], circles(new)])
+    return triangles[(triangles < n).all(1)]
+
+
+def tin(points: DataFrame, cells: DataFrame, tile: float = 200.0, halo: float = 200.0) -> DataFrame:
+    """(id, value, sure): heights of ``cells`` (id, x, y) on the Delaunay triangulation of ``points`` (x, y, height); null outside.
+
+    A task triangulates the points of a tile and of ``halo`` around it. A value is ``sure`` if its triangle's circle lies within what the
+    task knows, as no point elsewhere can then change the triangle; outside all triangles it is not. Of points at one place the lowest counts.
+    """
+    box = lambda c: F.floor(c / tile)
+    once = points.groupBy("x", "y").agg(F.min("height").alias("height"))
+    reach = lambda c: F.explode(F.sequence(box(F.col(c) - halo), box(F.col(c) + halo)))
+    known = once.withColumn("tx", reach("x")).withColumn("ty", reach("y"))
+    asked = cells.select("id", "x", "y", box(F.col("x")).alias("tx"), box(F.col("y")).alias("ty"))
+    kind = cells.schema["id"].dataType.simpleString()
+
+    def solve(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        value, sure = np.full(len(q), np.nan), np.zeros(len(q), bool)
+        p = p.sort_values(["x", "y"])
+        x, y, z = (p[c].to_numpy(float) for c in ("x", "y", "height"))
+        t = delaunay(x, y)
+        if len(t) and len(q):
+            (ax, bx, cx), (ay, by, cy) = x[t].T, y[t].T
+            d = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+            t, ax, bx, cx, ay, by, cy, d = (v[np.abs(d) > 1e-9] for v in (t, ax, bx, cx, ay, by, cy, d))
+            ux = ((cy - ay) * ((bx - ax) ** 2 + (by - ay) ** 2) - (by - ay) * ((cx - ax) ** 2 + (cy - ay) ** 2)) / (2 * d)
+            uy = ((bx - ax) * ((cx - ax) ** 2 + (cy - ay) ** 2) - (cx - ax) * ((bx - ax) ** 2 + (by - ay) ** 2)) / (2 * d)
+            r = np.hypot(ux, uy)
+            low, high = (key[0] * tile - halo, key[1] * tile - halo), ((key[0] + 1) * tile + halo, (key[1] + 1) * tile + halo)
+            known_ = (ux + ax - r >= low[0]) & (uy + ay - r >= low[1]) & (ux + ax + r <= high[0]) & (uy + ay + r <= high[1])
+            qx, qy = q.x.to_numpy(float), q.y.to_numpy(float)
+            for k in range(len(q)):
+                v = ((qx[k] - ax) * (cy - ay) - (qy[k] - ay) * (cx - ax)) / d
+                w = ((bx - ax) * (qy[k] - ay) - (by - ay) * (qx[k] - ax)) / d
+                inside = np.minimum(np.minimum(v, w), 1 - v - w)
+                best = int(inside.argmax())
+                if inside[best] >= -1e-6:
+                    a, b, c = z[t[best]]
+                    value[k], sure[k] = a + v[best] * (b - a) + w[best] * (c - a), known_[best]
+        out = pd.DataFrame({"id": q.id, "value": value, "sure": sure})
+        return out.astype({"value": object}).where(out.notna(), None)
+
+    return known.groupBy("tx", "ty").cogroup(asked.groupBy("tx", "ty")).applyInPandas(solve, f"id {kind}, value double, sure boolean")
