@@ -108,3 +108,19 @@ def test_symmetric_setback(spark):
     assert raster.part_setback(foot, parts, 1, True, 1.0, 1.0, 5 / 3) == pytest.approx(16 / 20 * 5 / 3)
     assert raster.part_setback(foot, parts, 1, False, 1.0, 1.0, 5 / 3) == pytest.approx(8 / 10)
     assert raster.part_setback(foot, [(5.0, base), (40.0, tower)], 0, False, 1.0, 1.0, 5 / 3) == 0
+
+
+def test_setback_of_holes_of_different_corners(spark):
+    def polygon(exterior, *interiors):
+        return {"exterior": [{"x": float(x), "y": float(y)} for x, y in exterior], "interiors": [[{"x": float(x), "y": float(y)} for x, y in r] for r in interiors]}
+
+    block = [(0, 0), (20, 0), (20, 10), (0, 10), (0, 0)]
+    square, bend = [(2, 1), (6, 1), (6, 5), (2, 5), (2, 1)], [(12, 3), (16, 3), (16, 7), (14, 7), (14, 6), (12, 6), (12, 3)]
+    yards = [(15, 8), (16, 9), (17, 8), (15, 8)], [(18, 1), (19, 1), (19, 2), (18, 2), (18, 1)]
+    schema = f"id long, geometry {g.POLYGON}, building_height double, ground_altitude double"
+    buildings = spark.createDataFrame([(1, polygon(block), 30.0, 0.0), (2, polygon(block, *yards), 30.0, 0.0)], schema)
+    parts = [(1, 5.0, polygon(block, square, bend)), (1, 30.0, polygon(square)), (1, 8.0, polygon(bend))]
+    parts += [(2, 5.0, polygon([(4, 0), (20, 0), (20, 10), (4, 10), (4, 0)], *yards)), (2, 30.0, polygon([(0, 0), (4, 0), (4, 10), (0, 10), (0, 0)]))]
+    got = {r.id: r.elevation_setback for r in raster.setback_elevation(buildings, spark.createDataFrame(parts, f"id long, height double, geometry {g.POLYGON}")).collect()}
+    # Both sections through the high parts are 20 long, 16 of it outside; the bend's drop of 3 is less than what lies outside it.
+    assert got[1] == pytest.approx(0.8) and got[2] == pytest.approx(0.8)

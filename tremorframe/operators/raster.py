@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -370,20 +371,21 @@ def setback_elevation(buildings: DataFrame, parts: DataFrame, min_setback_height
     """
     kind = buildings.schema["id"].dataType.simpleString()
 
-    def worst(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        row = frame.iloc[0]
+    def worst(key: tuple, table: pa.Table) -> pa.Table:
+        # Plain lists: pandas would stack a polygon's holes, which fails where their numbers of corners differ.
+        row = table.slice(0, 1).to_pylist()[0]
         shapes = sorted(((p["height"], _rings(p["geometry"])) for p in row["parts"]), key=lambda p: (p[0], p[1][0].tolist()))
         footprint, value = _rings(row["geometry"]), 0.0
         for k, (h, _) in enumerate(shapes):
             factor = height_factor if row["building_height"] * height_limit + row["ground_altitude"] > h else 1.0
             for across in (False, True):
                 value = max(value, factor * part_setback(footprint, shapes, k, across, min_setback_height, min_symmetry_distance, symmetry_factor))
-        return pd.DataFrame({"id": [key[0]], "elevation_setback": [value]})
+        return pa.table({"id": table["id"][:1], "elevation_setback": pa.array([value], pa.float64())})
 
     # A building's parts are as many as its roof has.
     of = parts.groupBy("id").agg(F.collect_list(F.struct("height", "geometry")).alias("parts"))
     known = buildings.where("geometry is not null and building_height is not null and ground_altitude is not null")
-    found = known.select("id", "geometry", "building_height", "ground_altitude").join(of, "id").groupBy("id").applyInPandas(worst, f"id {kind}, elevation_setback double")
+    found = known.select("id", "geometry", "building_height", "ground_altitude").join(of, "id").groupBy("id").applyInArrow(worst, f"id {kind}, elevation_setback double")
     rest = known.select("id").join(found, "id", "left").select("id", F.coalesce("elevation_setback", F.lit(0.0)).alias("elevation_setback"))
     return buildings.select("id").join(rest, "id", "left")
 
