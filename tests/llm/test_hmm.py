@@ -6,8 +6,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
-from tremorframe.llm import hmm
+from tremorframe.llm import hmm, store
 
 
 def paths(m, e, seq):
@@ -111,6 +113,30 @@ def test_parts_and_buckets_equal_one_process(spark, monkeypatch):
         before = now
 
 
+def test_each_part_has_a_task_of_its_own(spark, monkeypatch):
+    """A task's rows are in memory at once, so no task may get several parts."""
+    monkeypatch.setattr(hmm, "LEAST_BYTES", 300)
+    r, seen, by_part = random.Random(6), [], hmm.by_part
+    monkeypatch.setattr(hmm, "by_part", lambda *a: seen.append(by_part(*a)) or seen[-1])
+    docs = spark.createDataFrame([(k, " ".join(f"w{r.randrange(50)}" for _ in range(10))) for k in range(300)], "doc_id long, text string").repartition(7)
+    assert hmm.hmm_scores(docs, 2).count() == 300
+    met = seen[-1].select("part", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(met) == len({m.part for m in met}) == len({m.task for m in met}) >= 7
+
+
+def test_large_rows_are_not_written_a_file_at_a_time(spark, monkeypatch):
+    """The tables of parts hold few rows of up to a MB or more, small ones first."""
+    asked, written = [], store.written
+    monkeypatch.setattr(store, "written", lambda *a: asked.append(a) or written(*a))
+    assert hmm.hmm_scores(spark.createDataFrame([(1, "a b"), (3, "a")], "doc_id long, text string"), 2).count() == 2
+    assert {a[1] for a in asked} == {"parts", "words", "step"}
+    rows = spark.range(13).select("id", F.when(F.col("id") == 0, F.lit("x")).otherwise(F.repeat(F.md5(F.col("id").cast("string")), 40_000)).cast("binary").alias("data"))
+    for _, name, *how in asked:
+        (file,) = written(rows.coalesce(1), name, *how).inputFiles()
+        found = pq.ParquetFile(file.removeprefix("file://")).metadata
+        assert found.num_rows == 13 and max(found.row_group(k).total_byte_size for k in range(found.num_row_groups)) < 8 << 20
+
+
 def test_training_runs_until_it_gains_little(spark):
     r = random.Random(5)
     sides = [[f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]]

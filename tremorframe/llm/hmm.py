@@ -43,6 +43,8 @@ SAMPLE_BYTES, SAMPLE_TEXT, SAMPLE_ROWS = 2 << 20, 1 << 14, 2048
 #: in pieces of so many bytes. A bucket serves so many bytes of the corpus.
 PART_BYTES, LEAST_BYTES, PIECE_BYTES, PART_WORDS, BUCKET_BYTES = 32 << 20, 2 << 20, 4 << 20, 400_000, 32 << 20
 SEGMENT, EIGHTH = 250_000, 8
+#: Rows of a large array that are copied at a time.
+ROWS = 1 << 15
 #: Added to expected counts of starts and moves.
 PRIOR = 0.1
 #: No word holds white space.
@@ -201,8 +203,10 @@ class Steps:
             b /= norm[:, None]
             if t1 > t0 + 1:
                 step_ = np.arange(t0, t1 - 1)
-                earlier = np.repeat(self.lo[step_] - base, np.diff(self.lo)[step_ + 1]) + self.rank[lo[t0 + 1] : lo[t1]]
-                sums_.move += model.move * (alpha[earlier].T @ b[lo[t0 + 1] - base :])
+                earlier, k = np.repeat(self.lo[step_] - base, np.diff(self.lo)[step_ + 1]) + self.rank[lo[t0 + 1] : lo[t1]], lo[t0 + 1] - base
+                for i in range(0, len(earlier), ROWS):
+                    some = earlier[i : i + ROWS]
+                    sums_.move += model.move * (alpha[some].T @ b[k + i : k + i + len(some)])
             if t0:
                 k = lo[t0 + 1] - base
                 sums_.move += model.move * (f[:k].T @ b[:k])
@@ -376,11 +380,11 @@ def split(docs: DataFrame, start: Start, buckets: int, part_bytes: int = PART_BY
             keys, inverse, n = numbered(piece["text"])
             # Frequent words get small numbers, which compress better.
             order = np.argsort(-np.bincount(inverse), kind="stable")
-            number = np.empty(len(keys), np.int64)
+            number = np.empty(len(keys), np.uint32)
             number[order] = part.numbers(keys[order], shared.value)
             tokens, held = number[inverse], piece["held"].to_numpy(zero_copy_only=False)
             part.learn(shared.value.model, tokens, n, held)
-            yield record(part=part.number, seq=seq, doc_ids=as_list(piece["doc_id"]), held=as_list(piece["held"]), n=as_list(pa.array(n, pa.int32())), data=packed(tokens.astype("<u4")))
+            yield record(part=part.number, seq=seq, doc_ids=as_list(piece["doc_id"]), held=as_list(piece["held"]), n=as_list(pa.array(n, pa.int32())), data=packed(tokens.astype("<u4", copy=False)))
             seq, size = seq + 1, size + int(buffers(piece["text"])[1][-1])
             if size >= part_bytes or len(part.keys) >= PART_WORDS:
                 yield from part.rows(buckets)
@@ -416,12 +420,19 @@ def met(asked: DataFrame) -> DataFrame:
     return asked.where(F.col("seq") == WORDS).select("part", "bucket", "data").groupBy("bucket").applyInArrow(add, ANSWER)
 
 
+def counted(texts: DataFrame) -> tuple[DataFrame, int]:
+    """``texts`` with its parts numbered from 0 without gaps, and how many there are."""
+    found = sorted(r.part for r in texts.where(F.col("seq") == SUMS).select("part").collect())
+    number = texts.sparkSession.createDataFrame([(p, k) for k, p in enumerate(found)], "part long, number long")
+    return texts.join(F.broadcast(number), "part").select(F.col("number").alias("part"), *(c for c in texts.columns if c != "part")), len(found)
+
+
 def by_part(split_: DataFrame, now: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
-    """Each part's words, their sums, then its pieces, in one task; as many tasks as parts."""
+    """Each part's words, their sums, then its pieces, in a task of its own: a task's rows reach Python at once."""
     texts, own = split_.where("seq >= 0"), now.where(F.col("seq") == OWN)
     nothing = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("doc_ids", "held", "n")]
     said = answers.select("part", F.lit(WORDS).alias("seq"), *nothing, "bucket", "data")
-    return texts.unionByName(own).unionByName(said).repartition(parts, "part").sortWithinPartitions("part", "seq", "bucket")
+    return texts.unionByName(own).unionByName(said).repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "seq", "bucket")
 
 
 def walked(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[Part, np.ndarray | None, pa.RecordBatch | None, np.ndarray | None]]:
@@ -445,8 +456,8 @@ def walked(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[Pa
             if part is None:
                 part = Part(number, len(c))
                 part.shared = tuple(np.concatenate([a[x] for a in answers]) if answers else np.empty(0, "<u8") for x in (1, 0))
-                part.e = model.emissions(g)
-            yield part, unpacked(data, "<u4")[0].astype(np.int64), row, c
+                part.e, g, answers = model.emissions(g), None, []
+            yield part, unpacked(data, "<u4")[0], row, c
     if part is not None:
         yield part, None, None, None
 
@@ -508,18 +519,18 @@ def hmm_scores(docs: DataFrame, steps: int | None = None) -> DataFrame:
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).head().bytes
     buckets = max(1, -(-size // BUCKET_BYTES))
     part_bytes = min(PART_BYTES, max(LEAST_BYTES, size // (3 * docs.sparkSession.sparkContext.defaultParallelism)))
-    texts = now = store.written(split(rows, started(sample(rows, size)), buckets, part_bytes), "parts", "none")
-    parts = max(1, texts.where(F.col("seq") == SUMS).count())
+    texts, parts = counted(store.written(split(rows, started(sample(rows, size)), buckets, part_bytes), "parts", "none", store.LARGE_ROWS))
+    now, parts = texts, max(1, parts)
     before, k = None, 1
     while True:
         model = Model.of_sums(added(now))
-        answers = store.written(met(now), "words", "none")
+        answers = store.written(met(now), "words", "none", store.LARGE_ROWS)
         if k == 1:
             distinct = answers.agg(F.coalesce(F.sum("known"), F.lit(0))).head()[0]
             total = round(model.n)  # whole: each token's posterior sums to 1
         if not total or k == steps:
             break
-        new = store.written(step(by_part(texts, now, answers, parts), model, buckets), "step", "none")
+        new = store.written(step(by_part(texts, now, answers, parts), model, buckets), "step", "none", store.LARGE_ROWS)
         likely = added(new).likely - total * np.log(total + distinct + 1.0)
         if before is not None and steps is None and likely - before < TOLERANCE * abs(likely):
             store.drop(new)

@@ -29,11 +29,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` as a table in the shared folder; later reads don't compute it again."""
+#: Row groups of about 4 MB, looked at after each row: for tables of few large rows, which else are written and read a file at a time.
+LARGE_ROWS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder; later reads don't compute it again. ``options`` of the writer."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(**(options or {})).option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
