@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -26,6 +27,27 @@ def test_encoder_equals_tokenizer():
         assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == plain(path, TEXTS)
 
 
+def test_pieces_of_a_column_change_nothing(monkeypatch):
+    monkeypatch.setattr(ts, "ENCODED", 40)
+    monkeypatch.setattr(ts, "LEARNED", 3)
+    monkeypatch.setattr(ts, "KNOWN_UNITS", 60)
+    path = ts.byte_bpe_path()
+    enc = ts.Encoder(path)
+    for texts in (TEXTS, TEXTS[::-1], [], [None, ""]):
+        ids, off = enc.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == plain(path, texts)
+
+
+def test_new_units_are_encoded_a_few_at_a_time():
+    """What the encoder holds besides its known units is bounded, however many units of a column are new."""
+    enc, column = ts.Encoder(ts.byte_bpe_path()), pa.array([" ".join(f"w{i * 1000 + k}x" for k in range(1000)) for i in range(400)])
+    tracemalloc.start()
+    enc.encode(column)
+    peak, known = tracemalloc.get_traced_memory()[1], sum(x.nbytes for x in (enc.keys, enc.place, enc.checks, enc.at, enc.ids))
+    tracemalloc.stop()
+    assert len(enc.checks) > 390_000 and peak - known < 70e6
+
+
 def test_round_trip(spark):
     rows = [(7 * i % 31 if i % 6 else None, t, "x") for i, t in enumerate(TEXTS * 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")

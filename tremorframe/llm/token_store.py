@@ -40,6 +40,8 @@ from .text import PAD, SPACE, buffers, hashes, pieces, strings, unique
 DATA = "part int, block int, first_id long, last_id long, before long, doc_ids array<long>, n_tokens array<int>, ends array<long>, dict_hash string, payload binary"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 KNOWN_UNITS, SAMPLE_TEXT = 1_500_000, 1 << 16
+#: What a worker holds at a time besides known units: so many bytes of whole texts (a longer text comes alone), of whose new units so many reach the tokenizer at once.
+ENCODED, LEARNED = 2 << 20, 1 << 15
 
 
 def byte_bpe_path() -> str:
@@ -68,9 +70,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.checks = np.empty(0, np.uint64)
-        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
+        """Units in the order met have checks and ids[at[k] : at[k + 1]]; ``keys`` are sorted, ``place`` says which unit each is."""
+        self.keys, self.place = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.checks, self.at = np.empty(0, np.uint64), np.zeros(1, np.int64)
         self.ids = np.empty(0, np.uint32)
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
@@ -115,8 +117,22 @@ class Encoder:
         return np.array(found, np.int64)
 
     def learn(self, keys: np.ndarray, checks: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Adds units. The tokenizer and Python hold a unit in many times its bytes, so LEARNED units are encoded at a time."""
+        gaps = np.concatenate([[0], np.cumsum(SPACE[data[:-PAD]], dtype=np.int32)])
+        ids, sizes = [self.ids], []
+        for k in range(0, len(keys), LEARNED):
+            own, size = self.units_ids(data, gaps, starts[k : k + LEARNED], lengths[k : k + LEARNED])
+            ids.append(own)
+            sizes.append(size)
+        self.ids = np.concatenate(ids)
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
+        at = np.searchsorted(self.keys, keys)
+        self.place = np.insert(self.place, at, np.arange(len(self.checks), len(self.checks) + len(keys), dtype=np.int32))
+        self.keys, self.checks = np.insert(self.keys, at, keys), np.concatenate([self.checks, checks])
+
+    def units_ids(self, data: np.ndarray, gaps: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, number of each) from the tokenizer; ``gaps``: white space before each byte."""
         texts = strings(data, starts, lengths).to_pylist()
-        gaps = np.concatenate([[0], np.cumsum(SPACE[data[:-PAD]])])
         inner = gaps[starts + lengths] - gaps[starts + (data[starts] == 32)]
         alone = np.array([not any(t in text for t in self.added) for text in texts], bool)
         joined = np.flatnonzero(alone & (inner == 0) & (lengths > (data[starts] == 32)))
@@ -133,18 +149,18 @@ class Encoder:
         if rest := [i for i, x in enumerate(found) if x is None]:
             for i, ids in zip(rest, self.plain([texts[i] for i in rest]), strict=True):
                 found[i] = ids
-        size = np.array([len(x) for x in found], np.int32)
-        at = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
-        self.ids = np.concatenate([self.ids, *found])
-        order = np.argsort(both := np.concatenate([self.keys, keys]), kind="stable")
-        self.keys = both[order]
-        self.checks, self.at, self.size = (np.concatenate(x)[order] for x in ((self.checks, checks), (self.at, at), (self.size, size)))
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         return np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of all rows, without end ids."""
+        done = [self.encode_piece(p.column(0)) for p in pieces(iter([pa.RecordBatch.from_arrays([column], ["text"])]), limit=ENCODED)]
+        off = np.concatenate([np.zeros(1, np.int64), *(np.diff(off) for _, off in done)])
+        return np.concatenate([np.empty(0, np.uint32), *(ids for ids, _ in done)]), np.cumsum(off)
+
+    def encode_piece(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, off = buffers(column)
         if not off[-1]:
             return np.empty(0, np.uint32), np.zeros(len(off), np.int64)
@@ -159,8 +175,9 @@ class Encoder:
         if new.any():
             self.learn(keys[new], checks[new], data, starts[first[new]], lengths[first[new]])
             at = self.find(keys)
-        assert (self.checks[at] == checks).all(), "two units share a hash"
-        where, size = self.at[at][inverse], self.size[at][inverse].astype(np.int64)
+        unit = self.place[at]
+        assert (self.checks[unit] == checks).all(), "two units share a hash"
+        where, size = self.at[unit][inverse], (self.at[unit + 1] - self.at[unit])[inverse]
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(where - (ends - size), size) + np.arange(ends[-1])]
         return ids, np.concatenate([[0], ends])[np.searchsorted(starts, off)]
