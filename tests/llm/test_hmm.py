@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -151,3 +152,54 @@ def test_nothing_to_learn(spark):
     held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 7 == 2)
     (r,) = hmm.hmm_scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0)
+
+
+def shuffle_mb(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    total = 0
+    while files.hasNext():
+        f = files.next()
+        total += f.length() if f.getName().startswith("shuffle_") else 0
+    return total / 1e6
+
+
+def test_disk_holds_the_parts_and_one_round(spark, monkeypatch):
+    """Neither shuffles of earlier rounds nor words that are summed stay, and after the first step words travel without keys and places."""
+    monkeypatch.setattr(hmm, "LEAST_BYTES", 40_000)
+    monkeypatch.setattr(hmm, "BUCKET_BYTES", 200_000)
+    r, tables, written = np.random.default_rng(8), [], store.written
+    vocabulary = np.array([f"w{k}" for k in range(4000)])
+    rows = [(k, " ".join(vocabulary[r.integers(0, 4000, 1500)])) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+
+    def kept(*a):
+        done = written(*a)
+        size = {s.seq: s for s in done.groupBy("seq").agg(F.sum(F.octet_length("data")).alias("n"), F.countDistinct("part").alias("parts")).collect()} if "seq" in done.columns else {}
+        tables.append((a[1], size))
+        return done
+
+    monkeypatch.setattr(store, "written", kept)
+    before = shuffle_mb(spark)
+    assert hmm.hmm_scores(docs, 3).count() == 300
+    texts = sum(x.n for name, size in tables if name == "parts" for seq, x in size.items() if seq >= 0) / 1e6
+    for _ in range(50):  # files go in the background
+        if (left := shuffle_mb(spark) - before) < 0.5 * texts:
+            break
+        time.sleep(0.2)
+    assert left < 0.5 * texts
+    # What the buckets are told of a word (nearly all parts have all): count and shares, not its key and place, which take 9 bytes and more.
+    asked = [size[hmm.WORDS] for name, size in tables if name == "step" and size]
+    assert sum(x.n for x in asked) < 15 * 4000 * sum(x.parts for x in asked)
+
+
+def test_rounds_take_every_part_once(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "LEAST_BYTES", 300)
+    seen, by_part = [], hmm.by_part
+    monkeypatch.setattr(hmm, "by_part", lambda rows, parts: seen.append(list(parts)) or by_part(rows, parts))
+    r = random.Random(7)
+    docs = spark.createDataFrame([(k, " ".join(f"w{r.randrange(50)}" for _ in range(10))) for k in range(600)], "doc_id long, text string").repartition(40)
+    assert hmm.hmm_scores(docs, 2).count() == 600
+    one, two = seen[: len(seen) // 2], seen[len(seen) // 2 :]
+    assert one == two and len(one) > 1
+    assert [p for x in one for p in x] == sorted({p for x in one for p in x})
+    assert [hmm.rounds(n, 6) for n in (1, 11, 12, 25, 50)] == [[(0, 1)], [(0, 11)], [(0, 6), (6, 12)], [(0, 6), (6, 12), (12, 18), (18, 25)], [(0, 12), (12, 25), (25, 37), (37, 50)]]

@@ -10,7 +10,11 @@ vocabulary. Each Baum-Welch step runs over all parts and adds up, within a part,
 expected counts; words are dealt by hash into buckets, as many as the corpus has BUCKET_BYTES, in which the
 counts of all parts meet and are summed. Sums go back to the parts that share a word; a word of one part alone stays there.
 So the table of states and words grows with the corpus, and neither it nor the vocabulary is ever broadcast or in one task.
-Between steps a word's counts by state are kept as its count and 16-bit shares.
+Between steps a word's counts by state are kept as its count and 16-bit shares. Words go to the buckets by key once; from then on
+only those that parts share, in the order of their keys, by their numbers in the bucket, and sums come back in that order.
+
+Disk holds the parts, and what a step adds: parts and buckets are worked through in up to ROUNDS rounds, each round's shuffle goes
+when the round is written, and words go once they are summed.
 
 Steps start from a model fitted on a sample (see ``started``) and run over all texts until one
 gains less than TOLERANCE of the log likelihood. The scaled forward recursion then gives each text's exact likelihood.
@@ -22,11 +26,13 @@ rows of equal doc_id count each; with nothing to learn from, N and V are 0; an e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +49,8 @@ SAMPLE_BYTES, SAMPLE_TEXT, SAMPLE_ROWS = 2 << 20, 1 << 14, 2048
 #: in pieces of so many bytes. A bucket serves so many bytes of the corpus.
 PART_BYTES, LEAST_BYTES, PIECE_BYTES, PART_WORDS, BUCKET_BYTES = 32 << 20, 2 << 20, 4 << 20, 400_000, 32 << 20
 SEGMENT, EIGHTH = 250_000, 8
+#: At most so many rounds of parts, or of buckets, one after the other; a round has two parts for each core, or a bucket for two, at least.
+ROUNDS = 4
 #: Rows of a large array that are copied at a time.
 ROWS = 1 << 15
 #: Added to expected counts of starts and moves.
@@ -54,11 +62,16 @@ _END[0] = 10
 END_KEY = hashes(_END, np.array([0]), np.array([1]))[0]
 
 ROW = {"part": pa.int64(), "seq": pa.int32(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "n": pa.list_(pa.int32()), "bucket": pa.int32(), "data": pa.binary()}
-#: Rows of a part: its sums (seq SUMS), its words' own counts (OWN), its words by bucket (WORDS), and pieces of texts in order (seq 0 and up).
+#: Rows of a part: its sums (seq SUMS); by bucket the places of its words in the order of their keys (PLACES), their own counts (COUNTS) and KEYS; from the
+#: second step on all words' own counts (OWN) and by bucket those that other parts have too (WORDS); pieces of texts in order (seq 0 and up).
+#: Rows of a bucket for a part: which words other parts have (FIXED), and their sums (WORDS).
 SPLIT = "part long, seq int, doc_ids array<long>, held array<boolean>, n array<int>, bucket int, data binary"
-SUMS, OWN, WORDS = -3, -2, -1
-ANSWER = "part long, bucket int, data binary, known long"
+SUMS, KEYS, PLACES, OWN, COUNTS, FIXED, WORDS = range(-7, 0)
+#: Folders of a table of parts: what stays, what one step needs, and what its buckets need.
+STAY, STEP, MEET = 0, 1, 2
+ANSWER = "part long, seq int, bucket int, data binary, known long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+COLUMNS = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -296,21 +309,29 @@ def as_list(a: pa.Array) -> pa.Array:
 
 
 def packed(*columns: np.ndarray) -> bytes:
-    """Columns of equal length (the last may have one row a state) as compressed bytes."""
-    return zstandard.ZstdCompressor(level=4).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+    """Columns of equal length (the last may have one row a state) as compressed bytes: first the lowest bytes of a column's numbers, then the next ones."""
+    planes = [np.ascontiguousarray(c).reshape(-1).view(np.uint8).reshape(-1, c.dtype.itemsize).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=4).compress(b"".join(planes))
 
 
 def unpacked(raw: bytes, *types: str) -> list[np.ndarray]:
     """The columns; the type "g" is shares by state."""
     data, out, at = zstandard.ZstdDecompressor().decompress(raw), [], 0
-    width = [2 * STATES if t == "g" else np.dtype(t).itemsize for t in types]
-    n = len(data) // sum(width)
-    for t, w in zip(types, width, strict=True):
-        out.append(np.frombuffer(data, "<u2" if t == "g" else t, n * w // (2 if t == "g" else np.dtype(t).itemsize), at))
-        at += n * w
+    sizes = [2 if t == "g" else np.dtype(t).itemsize for t in types]
+    many = [STATES if t == "g" else 1 for t in types]
+    n = len(data) // sum(w * m for w, m in zip(sizes, many, strict=True))
+    for t, w, m in zip(types, sizes, many, strict=True):
+        planes = np.frombuffer(data, np.uint8, n * w * m, at).reshape(w, n * m)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view("<u2" if t == "g" else t))
+        at += n * w * m
     return out
 
 
+def steps_of(x: np.ndarray) -> np.ndarray:
+    """Differences of rising numbers, which ``cumsum`` undoes."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
 def shares(c: np.ndarray, g: np.ndarray) -> np.ndarray:
     """Expected counts as 16-bit shares of the count, states x words."""
     return np.round(g.T * (65535 / np.maximum(c, 1))).astype("<u2")
@@ -327,6 +348,7 @@ class Part:
 
     def __init__(self, number: int, size: int = 0) -> None:
         self.number = number
+        #: By bucket: places of the words that other parts have too, and their numbers in the bucket; None before they are known.
         self.keys, self.shared = np.empty(0, np.uint64), None
         self.c, self.g, self.sums, self.e = np.zeros(size, np.int64), np.zeros((size, STATES)), Sums.zero(), np.empty((0, STATES))
 
@@ -353,16 +375,23 @@ class Part:
             Steps(own, n[~held]).count(model, self.e, self.sums, self.g)
 
     def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
-        """The sums, the words' own counts, and, by bucket, the words that other parts may have."""
+        """The sums, and the words' own counts: first by bucket, then those that other parts have too by bucket."""
         yield record(part=self.number, seq=SUMS, data=self.sums.flat().tobytes())
-        q = shares(self.c, self.g)
-        yield record(part=self.number, seq=OWN, data=packed(self.c.astype("<u4"), q))
-        at, keys = self.shared if self.shared else (np.arange(len(self.keys)), self.keys)
-        own = (keys % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((keys, own))
-        for k in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
-            if len(k):
-                yield record(part=self.number, seq=WORDS, bucket=int(own[k[0]]), data=packed(keys[k], at[k].astype("<u4"), self.c[at[k]].astype("<u4"), q[:, at[k]]))
+        q, c = shares(self.c, self.g), self.c.astype("<u4")
+        if self.shared is None:
+            own = (self.keys % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((self.keys, own))
+            for k in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+                if len(k):
+                    keys = self.keys[k].astype("<u8", copy=False)
+                    for seq, data in ((PLACES, packed(k.astype("<u4"))), (COUNTS, packed(c[k], q[:, k])), (KEYS, packed(steps_of(keys)))):
+                        yield record(part=self.number, seq=seq, bucket=int(own[k[0]]), data=data)
+        else:
+            for bucket, (at, index) in self.shared.items():
+                yield record(part=self.number, seq=WORDS, bucket=bucket, data=packed(steps_of(index), c[at], q[:, at]))
+            for at, _ in self.shared.values():
+                q[:, at] = 0  # the sums of all parts come in their place
+            yield record(part=self.number, seq=OWN, data=packed(c, q))
 
 
 def split(docs: DataFrame, start: Start, buckets: int, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -395,69 +424,96 @@ def split(docs: DataFrame, start: Start, buckets: int, part_bytes: int = PART_BY
     return docs.select("doc_id", held_out().alias("held"), "text").mapInArrow(run, SPLIT)
 
 
-def met(asked: DataFrame) -> DataFrame:
-    """For each part and bucket the words that other parts have too, with the sums of all; ``known``: the bucket's distinct training words, on one row of it."""
+def met(asked: DataFrame, first: bool) -> DataFrame:
+    """For each part and bucket the sums (WORDS) of the words that other parts have too, in the order of their keys.
+
+    ``first``: the words come by key; which ones they are (FIXED: place in the part's list, number in the bucket, count over all parts) is said too.
+    ``known``: the bucket's distinct training words, on one row of it.
+    """
 
     def add(table: pa.Table) -> pa.Table:
-        rows = [unpacked(b, "<u8", "<u4", "<u4", "g") for b in table["data"].to_pylist()]
+        table = table.sort_by("part")
+        keys, counts = (table.filter(pc.equal(table["seq"], seq)) for seq in ((KEYS, COUNTS) if first else (WORDS, WORDS)))
+        if first:
+            rows = [(*unpacked(k, "<u8"), *unpacked(c, "<u4", "g")) for k, c in zip(keys["data"].to_pylist(), counts["data"].to_pylist(), strict=True)]
+        else:
+            rows = [unpacked(b, "<u4", "<u4", "g") for b in counts["data"].to_pylist()]
         ends = np.cumsum([len(r[0]) for r in rows])
-        _, _, inverse = unique(np.concatenate([r[0] for r in rows]))
-        distinct = int(inverse.max()) + 1
+        inverse = np.concatenate([np.cumsum(r[0], dtype=r[0].dtype) for r in rows])
+        if first:
+            _, _, inverse = unique(inverse)
+        distinct = int(inverse.max(initial=0)) + 1
         many = np.bincount(inverse, minlength=distinct) > 1
-        own = np.concatenate([r[2] for r in rows]).astype(np.int64)
+        own = np.concatenate([r[1] for r in rows]).astype(np.int64)
         c = np.round(np.bincount(inverse, own, distinct)).astype(np.int64)
-        each = np.concatenate([counts_of(r[2], r[3]) for r in rows])
+        each = np.concatenate([counts_of(r[1], r[2]) for r in rows])
         q = shares(c, np.stack([np.bincount(inverse, each[:, s], distinct) for s in range(STATES)], 1))
-        data = []
-        for (keys, at, _, _), a, b in zip(rows, [0, *ends], ends, strict=False):
-            k = np.flatnonzero(many[inverse[a:b]])
+        number = np.cumsum(many) - 1
+        fixed, data = [], []
+        for a, b in zip([0, *ends], ends, strict=False):
+            k = np.flatnonzero(many[inverse[a:b]]) if first else np.arange(b - a)
             word = inverse[a:b][k]
-            data.append(packed(keys[k], at[k], c[word], q[:, word]))
+            if first:
+                fixed.append(packed(steps_of(k.astype("<u4")), steps_of(number[word].astype("<u4")), c[word]))
+            data.append(packed(q[:, word]))
         known = np.zeros(len(rows), np.int64)
         known[0] = (c > 0).sum()
-        return pa.table({"part": table["part"], "bucket": table["bucket"], "data": pa.array(data, pa.binary()), "known": known})
+        return pa.concat_tables(
+            pa.table({"part": counts["part"], "seq": pa.array(np.full(len(x), seq), pa.int32()), "bucket": counts["bucket"], "data": pa.array(x, pa.binary()), "known": known * (seq == WORDS)})
+            for seq, x in ((FIXED, fixed), (WORDS, data))
+            if x
+        )
 
-    return asked.where(F.col("seq") == WORDS).select("part", "bucket", "data").groupBy("bucket").applyInArrow(add, ANSWER)
+    return asked.select("part", "seq", "bucket", "data").groupBy("bucket").applyInArrow(add, ANSWER)
 
 
-def counted(texts: DataFrame) -> tuple[DataFrame, int]:
-    """``texts`` with its parts numbered from 0 without gaps, and how many there are."""
-    found = sorted(r.part for r in texts.where(F.col("seq") == SUMS).select("part").collect())
-    number = texts.sparkSession.createDataFrame([(p, k) for k, p in enumerate(found)], "part long, number long")
-    return texts.join(F.broadcast(number), "part").select(F.col("number").alias("part"), *(c for c in texts.columns if c != "part")), len(found)
+def rounds(n: int, least: int) -> list[tuple[int, int]]:
+    """Ranges of 0..n-1, ROUNDS at most, of ``least`` or more."""
+    many = max(1, min(ROUNDS, n // least))
+    return [(n * k // many, n * (k + 1) // many) for k in range(many)]
 
 
-def by_part(split_: DataFrame, now: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
-    """Each part's words, their sums, then its pieces, in a task of its own: a task's rows reach Python at once."""
-    texts, own = split_.where("seq >= 0"), now.where(F.col("seq") == OWN)
-    nothing = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("doc_ids", "held", "n")]
-    said = answers.select("part", F.lit(WORDS).alias("seq"), *nothing, "bucket", "data")
-    return texts.unionByName(own).unionByName(said).repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "seq", "bucket")
+def by_part(rows: DataFrame, parts: list[int]) -> DataFrame:
+    """The rows of ``parts`` (some of all in rising order): each part's words, their sums, then its pieces, in a task of its own, as a task's rows reach Python at once."""
+    number = rows.sparkSession.createDataFrame([(p, k) for k, p in enumerate(parts)], "part long, number int")
+    own = rows.where(F.col("part").between(parts[0], parts[-1])).join(F.broadcast(number), "part")
+    return own.repartitionById(len(parts), "number").drop("number").sortWithinPartitions("part", "seq", "bucket")
 
 
 def walked(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[Part, np.ndarray | None, pa.RecordBatch | None, np.ndarray | None]]:
     """(part, tokens, piece, the words' counts over all parts) of each piece, and (part, None, None, None) after a part's last one."""
-    part, c, g, answers = None, None, None, []
+    part, c, g, places, shared = None, None, None, {}, {}
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1)
-            number, seq, data = row["part"][0].as_py(), row["seq"][0].as_py(), row["data"][0].as_py()
+            number, seq, bucket, data = (row[x][0].as_py() for x in ("part", "seq", "bucket", "data"))
             if part is not None and part.number != number:
                 yield part, None, None, None
                 part = None
-            if seq == OWN:
-                c, q = unpacked(data, "<u4", "g")
-                c, g, answers = c.astype(np.int64), counts_of(c, q), []
-                continue
-            if seq == WORDS:
-                answers.append(unpacked(data, "<u8", "<u4", "<i8", "g"))
-                c[answers[-1][1]], g[answers[-1][1]] = answers[-1][2], counts_of(*answers[-1][2:])
+            if seq == PLACES:
+                if c is not None:
+                    c, g, places, shared = None, None, {}, {}
+                places[bucket] = unpacked(data, "<u4")[0]
                 continue
-            if part is None:
-                part = Part(number, len(c))
-                part.shared = tuple(np.concatenate([a[x] for a in answers]) if answers else np.empty(0, "<u8") for x in (1, 0))
-                part.e, g, answers = model.emissions(g), None, []
-            yield part, unpacked(data, "<u4")[0], row, c
+            if c is None:
+                size = sum(map(len, places.values()))
+                c, g = np.zeros(size, np.int64), np.zeros((size, STATES))
+            if seq in (OWN, COUNTS):
+                at = places[bucket] if seq == COUNTS else slice(None)
+                c[at], q = unpacked(data, "<u4", "g")
+                g[at] = counts_of(c[at], q)
+            elif seq == FIXED:
+                at, index, total = unpacked(data, "<u4", "<u4", "<i8")
+                at = places[bucket][np.cumsum(at, dtype=np.int64)]
+                shared[bucket], c[at] = (at, np.cumsum(index, dtype="<u4")), total
+            elif seq == WORDS:
+                at = shared[bucket][0]
+                g[at] = counts_of(c[at], unpacked(data, "g")[0])
+            else:
+                if part is None:
+                    part = Part(number, len(c))
+                    part.shared, part.e, g, places = shared, model.emissions(g), None, {}
+                yield part, unpacked(data, "<u4")[0], row, c
     if part is not None:
         yield part, None, None, None
 
@@ -510,6 +566,21 @@ def added(rows: DataFrame) -> Sums:
     return Sums.of(flat)
 
 
+def by_folder(rows: DataFrame) -> DataFrame:
+    """``rows`` with the folder in which each is written."""
+    asks = F.col("seq").isin(KEYS, WORDS) if "n" in rows.columns else F.lit(False)
+    return rows.withColumn("folder", F.when(asks, MEET).when((F.col("seq") >= 0) | F.col("seq").isin(PLACES, FIXED), STAY).otherwise(STEP))
+
+
+def written(tables: Iterable[DataFrame], name: str) -> DataFrame:
+    """All rows of ``tables``, which are written one after the other; the files of each one's shuffle go when it is written."""
+    done = []
+    for rows in tables:
+        with store.no_shuffle_stays(rows.sparkSession):
+            done.append(store.written(rows, name, "none", store.LARGE_ROWS))
+    return reduce(DataFrame.unionByName, done)
+
+
 def hmm_scores(docs: DataFrame, steps: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text.
 
@@ -517,26 +588,40 @@ def hmm_scores(docs: DataFrame, steps: int | None = None) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).head().bytes
+    cores = docs.sparkSession.sparkContext.defaultParallelism
     buckets = max(1, -(-size // BUCKET_BYTES))
-    part_bytes = min(PART_BYTES, max(LEAST_BYTES, size // (3 * docs.sparkSession.sparkContext.defaultParallelism)))
-    texts, parts = counted(store.written(split(rows, started(sample(rows, size)), buckets, part_bytes), "parts", "none", store.LARGE_ROWS))
-    now, parts = texts, max(1, parts)
-    before, k = None, 1
+    part_bytes = min(PART_BYTES, max(LEAST_BYTES, size // (3 * cores)))
+    first = now = written([by_folder(split(rows, started(sample(rows, size)), buckets, part_bytes))], "parts")
+    parts = sorted(r.part for r in first.where(F.col("seq") == SUMS).select("part").collect())
+    if not parts:
+        return docs.sparkSession.createDataFrame([], SCORED).withColumn("train_tokens", F.lit(0).cast("long")).select(*COLUMNS)
+    folder = lambda table, *which: table.where(F.col("folder").isin(*which)).drop("folder")
+    fixed, before, k = None, None, 1
+
+    def passed(run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``run`` on all parts."""
+        texts = folder(first, STAY).unionByName(folder(now, STEP).where(F.col("seq") != SUMS))
+        said = folder(fixed, STAY).unionByName(folder(answers, STEP)).drop("known")
+        texts = texts.unionByName(said, allowMissingColumns=True)
+        return written((run(by_part(texts, parts[a:b])) for a, b in rounds(len(parts), 2 * cores)), "step")
+
     while True:
         model = Model.of_sums(added(now))
-        answers = store.written(met(now), "words", "none", store.LARGE_ROWS)
+        asked = now.where(F.col("seq").isin(KEYS, COUNTS) if k == 1 else F.col("folder") == MEET)
+        answers = written((by_folder(met(asked.where(F.col("bucket").between(a, b - 1)), k == 1)) for a, b in rounds(buckets, -(-cores // 2))), "words")
+        store.drop(now, f"folder={MEET}")
         if k == 1:
-            distinct = answers.agg(F.coalesce(F.sum("known"), F.lit(0))).head()[0]
+            fixed, distinct = answers, answers.agg(F.coalesce(F.sum("known"), F.lit(0))).head()[0]
             total = round(model.n)  # whole: each token's posterior sums to 1
         if not total or k == steps:
             break
-        new = store.written(step(by_part(texts, now, answers, parts), model, buckets), "step", "none", store.LARGE_ROWS)
+        new = passed(lambda own: by_folder(step(own, model, buckets)))
         likely = added(new).likely - total * np.log(total + distinct + 1.0)
         if before is not None and steps is None and likely - before < TOLERANCE * abs(likely):
             store.drop(new)
             break
-        for old in [answers] + [now] * (k > 1):
-            store.drop(old)
+        for old in (now, answers):
+            store.drop(old, f"folder={STEP}")
         now, before, k = new, likely, k + 1
-    out = scored(by_part(texts, now, answers, parts), model, total, distinct)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    out = passed(lambda own: scored(own, model, total, distinct))
+    return out.withColumn("train_tokens", F.lit(total).cast("long")).select(*COLUMNS)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,18 +36,32 @@ LARGE_ROWS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.m
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
-    """``df`` as a table in the shared folder; later reads don't compute it again. ``options`` of the writer."""
+    """``df`` as a table in the shared folder; later reads don't compute it again. ``options`` of the writer. A column ``folder`` is kept as folders, which can be dropped one by one."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**(options or {})).option("compression", codec).parquet(path)
+    df.write.options(**(options or {})).option("compression", codec).partitionBy(*(c for c in df.columns if c == "folder")).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Removes the folders that ``written`` made for ``df`` once nothing reads it any more."""
+@contextlib.contextmanager
+def no_shuffle_stays(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that is run meanwhile go when it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def drop(df: DataFrame, part: str = "") -> None:
+    """Removes the folders that ``written`` made for ``df`` once nothing reads it any more; ``part``: only those of this name in them."""
     spark = df.sparkSession
     jvm, base = spark.sparkContext._jvm, shared_dir(spark)
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not folder.endswith(part):
+            continue
         if folder.split("://")[-1].lstrip("/").startswith(base.split("://")[-1].lstrip("/")) or folder.startswith(base):
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
