@@ -203,3 +203,10 @@ def test_rounds_take_every_part_once(spark, monkeypatch):
     assert one == two and len(one) > 1
     assert [p for x in one for p in x] == sorted({p for x in one for p in x})
     assert [hmm.rounds(n, 6) for n in (1, 11, 12, 25, 50)] == [[(0, 1)], [(0, 11)], [(0, 6), (6, 12)], [(0, 6), (6, 12), (12, 18), (18, 25)], [(0, 12), (12, 25), (25, 37), (37, 50)]]
+
+
+def test_a_column_named_folder_is_a_column(spark):
+    rows = spark.createDataFrame([("007", 1), (None, 2)], "folder string, k int")
+    done = store.written(rows, "t")
+    assert done.columns == rows.columns and sorted(tuple(r) for r in done.where("k = 1").collect()) == [("007", 1)]
+    assert all("=" not in f for f in done.inputFiles())

@@ -569,7 +569,7 @@ def added(rows: DataFrame) -> Sums:
 def by_folder(rows: DataFrame) -> DataFrame:
     """``rows`` with the folder in which each is written."""
     asks = F.col("seq").isin(KEYS, WORDS) if "n" in rows.columns else F.lit(False)
-    return rows.withColumn("folder", F.when(asks, MEET).when((F.col("seq") >= 0) | F.col("seq").isin(PLACES, FIXED), STAY).otherwise(STEP))
+    return rows.withColumn(store.FOLDER, F.when(asks, MEET).when((F.col("seq") >= 0) | F.col("seq").isin(PLACES, FIXED), STAY).otherwise(STEP))
 
 
 def written(tables: Iterable[DataFrame], name: str) -> DataFrame:
@@ -595,7 +595,7 @@ def hmm_scores(docs: DataFrame, steps: int | None = None) -> DataFrame:
     parts = sorted(r.part for r in first.where(F.col("seq") == SUMS).select("part").collect())
     if not parts:
         return docs.sparkSession.createDataFrame([], SCORED).withColumn("train_tokens", F.lit(0).cast("long")).select(*COLUMNS)
-    folder = lambda table, *which: table.where(F.col("folder").isin(*which)).drop("folder")
+    folder = lambda table, *which: table.where(F.col(store.FOLDER).isin(*which)).drop(store.FOLDER)
     fixed, before, k = None, None, 1
 
     def passed(run: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -607,9 +607,9 @@ def hmm_scores(docs: DataFrame, steps: int | None = None) -> DataFrame:
 
     while True:
         model = Model.of_sums(added(now))
-        asked = now.where(F.col("seq").isin(KEYS, COUNTS) if k == 1 else F.col("folder") == MEET)
+        asked = now.where(F.col("seq").isin(KEYS, COUNTS) if k == 1 else F.col(store.FOLDER) == MEET)
         answers = written((by_folder(met(asked.where(F.col("bucket").between(a, b - 1)), k == 1)) for a, b in rounds(buckets, -(-cores // 2))), "words")
-        store.drop(now, f"folder={MEET}")
+        store.drop(now, f"{store.FOLDER}={MEET}")
         if k == 1:
             fixed, distinct = answers, answers.agg(F.coalesce(F.sum("known"), F.lit(0))).head()[0]
             total = round(model.n)  # whole: each token's posterior sums to 1
@@ -621,7 +621,7 @@ def hmm_scores(docs: DataFrame, steps: int | None = None) -> DataFrame:
             store.drop(new)
             break
         for old in (now, answers):
-            store.drop(old, f"folder={STEP}")
+            store.drop(old, f"{store.FOLDER}={STEP}")
         now, before, k = new, likely, k + 1
     out = passed(lambda own: scored(own, model, total, distinct))
     return out.withColumn("train_tokens", F.lit(total).cast("long")).select(*COLUMNS)

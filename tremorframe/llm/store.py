@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: No table that a query reads has a column of this name.
+FOLDER = "tremorframe_folder"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +38,10 @@ LARGE_ROWS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.m
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
-    """``df`` as a table in the shared folder; later reads don't compute it again. ``options`` of the writer. A column ``folder`` is kept as folders, which can be dropped one by one."""
+    """``df`` as a table in the shared folder; later reads don't compute it again. ``options`` of the writer. A column FOLDER is kept as folders, which can be dropped one by one."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**(options or {})).option("compression", codec).partitionBy(*(c for c in df.columns if c == "folder")).parquet(path)
+    df.write.options(**(options or {})).option("compression", codec).partitionBy(*(c for c in df.columns if c == FOLDER)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
