@@ -54,6 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = store.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    with store.small_batches(spark):
+        for name, stage in STAGES:
+            docs = store.written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -1,8 +1,13 @@
 """Each stage against brute force on a small fixture, and the whole run."""
 
+import re
+import tracemalloc
 import zlib
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -13,6 +18,7 @@ from tests.llm.test_token_store import plain
 from tests.llm.test_toxicity import rows as toxic_rows
 from tremorframe.llm import decontaminate as dc
 from tremorframe.llm import store
+from tremorframe.llm import text as tx
 from tremorframe.llm import token_store as ts
 
 ITEM = "which of the following passages was part of a benchmark that nobody should train on"
@@ -60,3 +66,43 @@ def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder[0]).collect()
     starts = sorted((r.start, r.n_tokens) for r in rows)
     assert len(rows) > 100 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
+def test_python_gets_few_rows_at_a_time(spark, tmp_path, monkeypatch):
+    """A batch is held by the JVM outside its heap and by the worker once more, so it has no more than TEXT_ROWS texts, whatever the part's size."""
+    spark.range(0, 3 * store.TEXT_ROWS, 1, 1).write.parquet(f"{tmp_path}/documents.parquet")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", lambda s, docs, _: docs.mapInArrow(sizes, "n long"))])
+    rows = [r.n for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(rows) == 3 * store.TEXT_ROWS and max(rows) <= store.TEXT_ROWS and spark.conf.get(key) == before
+
+
+def test_freed_memory_of_a_worker_goes_back():
+    """A worker serves many tasks: what one stage has freed must not stay with it beside what the next one takes."""
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+    empty, before = held(), pa.RecordBatch.from_pydict({"text": ["a"]})
+    last = [bytes(1000) for _ in range(200_000)][-1]  # stands above what is freed, so that glibc keeps it
+    full = held()
+    assert [b.num_rows for b in tx.returned(iter([before]))] == [1]
+    assert len(last) == 1000 and full - empty > 150 and held() - empty < 50
+
+
+def test_leaks_are_sought_in_little_memory():
+    """Normal forms and q-grams of a text take some 40 times its bytes, so few texts are worked through at a time."""
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(5000)])
+    texts = [" ".join(rng.choice(words, 500)) for _ in range(1500)]
+    texts[700] += " " + ITEM
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1500), pa.int64()), "text": pa.array(texts)})
+    index = SimpleNamespace(value=dc.Index([1], [ITEM]))
+    tracemalloc.start()
+    kept = [i for b in dc.clean_rows(iter([batch]), index, 1) for i in b["doc_id"].to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert kept == [i for i in range(1500) if i != 700] and peak < 70e6

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store
-from .text import SPACE, buffers, mix as scramble, pieces, words
+from .text import SPACE, buffers, mix as scramble, pieces, returned, words
 
 BLOCK, CHUNK, SHARD_SLOTS = 64, 512, 16384
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
@@ -215,7 +215,7 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     joined = parted(docs, mix(docs)[0]).select(*names, "mix_parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces((b.set_column(at, "text", b.column(at).cast(pa.large_string())) for b in batches)):
+        for piece in pieces((b.set_column(at, "text", b.column(at).cast(pa.large_string())) for b in returned(batches))):
             out = []
             for own in stretches(piece.column(at), piece.column(len(names))):
                 # Only a text's last stretch can end in a word.

@@ -57,6 +57,22 @@ def no_shuffle_stays(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+#: Rows of whole texts that pass between the JVM and a Python worker at a time.
+TEXT_ROWS = 1000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Queries that are run meanwhile hand Python TEXT_ROWS rows at a time: the JVM holds a batch outside its heap, the worker once more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), TEXT_ROWS) if int(before) > 0 else TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop(df: DataFrame, part: str = "") -> None:
     """Removes the folders that ``written`` made for ``df`` once nothing reads it any more; ``part``: only those of this name in them."""
     spark = df.sparkSession

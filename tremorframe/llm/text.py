@@ -6,6 +6,8 @@ whole texts; ``pieces`` only bounds how many of them are in memory at a time.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system; glibc and Arrow would keep it, and a Python worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; before each and after the last, what is free by then goes back to the system."""
+    for batch in batches:
+        give_back()
+        yield batch
+        del batch
+    give_back()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about ``limit`` bytes of text each (a longer text comes alone)."""
     for batch in batches:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .text import PAD, SPACE, buffers, hashes, pieces, strings, unique
+from .text import PAD, SPACE, buffers, hashes, pieces, returned, strings, unique
 
 DATA = "part int, block int, first_id long, last_id long, before long, doc_ids array<long>, n_tokens array<int>, ends array<long>, dict_hash string, payload binary"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -240,7 +240,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before = TaskContext.get().partitionId(), 0, 0
         packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
-        for piece in pieces(batches):
+        for piece in pieces(returned(batches)):
             ids, off = with_end(*encoder(tokenizer).encode(piece["text"]), end_id, width)
             doc_ids = piece["doc_id"]
             for a in range(0, len(doc_ids), block_docs):
