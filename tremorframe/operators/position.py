@@ -3,7 +3,8 @@
 Walls in contact are found by a cell join: every edge enters the grid cells that its grown bounding box
 touches, edges of different buildings meet in a cell, and nearly antiparallel ones within the gap cover an interval of each other. A pair is kept
 in the one cell that holds the lower corner of both boxes' intersection, so no pair needs to be deduplicated. Intervals
-merge per edge, as a stretch of wall counts once however many neighbours touch it.
+merge per edge, as a stretch of wall counts once however many neighbours touch it. Both sides of each join grow with the buildings, and the planner
+takes exploded edges for no larger than the file they come from, so all joins are by sorted shuffles, never by a broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def contact_walls(buildings: DataFrame, buffer: float = 0.0, cell: float = 25.0)
     vx, vy = (F.col("o_x2") - F.col("o_x1")) / F.col("o_len"), (F.col("o_y2") - F.col("o_y1")) / F.col("o_len")
     away = lambda x, y: (F.col(x) - F.col("x1")) * uy - (F.col(y) - F.col("y1")) * ux
     along = lambda x, y: (F.col(x) - F.col("x1")) * ux + (F.col(y) - F.col("y1")) * uy
-    met = in_cells.join(other, ["gx", "gy"]).where((F.col("id") != F.col("o_id")) & (F.col("gx") == F.greatest("gx0", "o_gx0")) & (F.col("gy") == F.greatest("gy0", "o_gy0")))
+    met = in_cells.join(other.hint("merge"), ["gx", "gy"]).where((F.col("id") != F.col("o_id")) & (F.col("gx") == F.greatest("gx0", "o_gx0")) & (F.col("gy") == F.greatest("gy0", "o_gy0")))
     met = met.where((ux * vx + uy * vy < 0) & (F.abs(ux * vy - uy * vx) < PARALLEL))
     met = met.where((F.abs(away("o_x1", "o_y1")) < gap) & (F.abs(away("o_x2", "o_y2")) < gap))
     t0 = F.greatest(F.least(along("o_x1", "o_y1"), along("o_x2", "o_y2")), F.lit(0.0))
@@ -73,7 +74,7 @@ def contact_forces(buildings: DataFrame, buffer: float = 0.0, height: str | None
     """
     h = F.coalesce(F.col(height).cast("double"), F.lit(0.0)) if height else F.lit(1.0)
     shaped = buildings.select("id", h.alias("h"), g.sums(F.col("geometry")).alias("s")).select("id", "h", g.measures_of(F.col("s")).alias("m")).select("id", "h", "m.area", "m.cx", "m.cy", "m.iz")
-    walls = contact_walls(buildings.select("id", "geometry"), buffer, cell).join(shaped, "id")
+    walls = contact_walls(buildings.select("id", "geometry"), buffer, cell).join(shaped.hint("merge"), "id")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     scale = F.when(F.col("h") == 0, 1 / F.hypot(dx, dy)).otherwise(F.col("h"))
     fx, fy = -dy * scale, dx * scale
@@ -100,7 +101,7 @@ def contact_forces(buildings: DataFrame, buffer: float = 0.0, height: str | None
         (least * F.col("area") / F.col("iz")).alias("angular_acc"), ratio(2 * F.col("bend")).alias("angle"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    return buildings.select("id").join(forces, "id", "left").select("id", "height", *map(zero, ("force", "confinement_ratio", "angular_acc", "angle")))
+    return buildings.select("id").join(forces.hint("merge"), "id", "left").select("id", "height", *map(zero, ("force", "confinement_ratio", "angular_acc", "angle")))
 
 
 def position_class(min_angular_acc: float = 2.133, min_confinement: float = 0.5, min_angle: float = 0.78, min_force: float = 0.166) -> Column:

@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by key to as many tasks as shuffles have: a small file is read in one task, which would then do all the work on what its rows become."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 #: Corners as (share of width, share of height): rectangle, L, rectangle with a hole, U, T.
 SHAPES = {
     0: [(0, 0), (1, 0), (1, 1), (0, 1)],
@@ -74,7 +79,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, slot = F.floor(k / 4), k % 4
     offset = F.create_map(*[x for c, o in BLOCKS.items() for s, (dx, dy) in enumerate(o) for x in (F.lit(c * 4 + s), F.struct(F.lit(float(dx)).alias("x"), F.lit(float(dy)).alias("y")))])
     o = offset[(b % 5 * 4 + slot).cast("int")]
-    rows = table(spark, sf_dir, "part").select(k.alias("id"), (200.0 * (b % 50) + o["x"]).alias("x"), (200.0 * F.floor(b / 50) + o["y"]).alias("y"))
+    rows = dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(k.alias("id"), (200.0 * (b % 50) + o["x"]).alias("x"), (200.0 * F.floor(b / 50) + o["y"]).alias("y"))
     x, y = F.col("x"), F.col("y")
     return rows.select("id", F.lit(3.0).alias("height"), F.when(x.isNotNull(), g.polygon(g.ring((x, y), (x + 10, y), (x + 10, y + 8), (x, y + 8)))).alias("geometry"))
 
