@@ -102,14 +102,14 @@ def height_data(dsm: DataFrame, dtm: DataFrame, resolution: float = 1.0) -> Data
 def clip(grid: DataFrame, footprints: DataFrame, x0: float, y0: float, size: float, tile: int = 64, all_touched: bool = False) -> DataFrame:
     """(id, row, col, value): pixels of a raster whose centre lies in a footprint (or whose box meets its bounds, ``all_touched``).
 
-    Pixels and footprints' bounds meet in tiles of ``tile`` pixels, so the join is an equi-join. Rows run downwards from y0.
+    Pixels and footprints' bounds meet in tiles of ``tile`` pixels, so the join is an equi-join, by a sorted shuffle: both sides grow. Rows run downwards from y0.
     """
     b = g.bounds(F.col("geometry")["exterior"])
     cell = lambda v: F.floor(v / size).cast("int")
     shapes = footprints.select("id", "geometry", F.when(F.col("id").isNotNull(), b).alias("b")).select("id", "geometry", cell(F.col("b.x0") - x0).alias("c0"), cell(F.col("b.x1") - x0).alias("c1"), cell(y0 - F.col("b.y1")).alias("r0"), cell(y0 - F.col("b.y0")).alias("r1"))
     shapes = shapes.withColumn("tc", F.explode(F.sequence(F.floor(F.col("c0") / tile), F.floor(F.col("c1") / tile)))).withColumn("tr", F.explode(F.sequence(F.floor(F.col("r0") / tile), F.floor(F.col("r1") / tile))))
     pixels = grid.select("row", "col", "value", F.floor(F.col("col") / tile).alias("tc"), F.floor(F.col("row") / tile).alias("tr"))
-    met = pixels.join(shapes, ["tc", "tr"]).where("col between c0 and c1 and row between r0 and r1")
+    met = pixels.join(shapes.hint("merge"), ["tc", "tr"]).where("col between c0 and c1 and row between r0 and r1")
     if not all_touched:
         met = met.where(g.inside(F.col("geometry"), x0 + (F.col("col") + 0.5) * size, y0 - (F.col("row") + 0.5) * size))
     return met.select("id", "row", "col", "value")

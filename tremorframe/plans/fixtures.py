@@ -31,7 +31,7 @@ HOLE = [(0.375, 0.375), (0.375, 0.625), (0.625, 0.625), (0.625, 0.375)]
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, brand, height, geometry): one footprint a part."""
     k, s = F.col("p_partkey"), F.col("p_size")
-    rows = table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_brand").alias("brand"), (3 + s % 4 * 3).cast("double").alias("height"), (6 + s % 7).cast("double").alias("w"), (4 + s % 5).cast("double").alias("h"), (100.0 * (k % 100)).alias("x0"), (100.0 * F.floor(k / 100)).alias("y0"))
+    rows = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey").select(k.alias("id"), F.col("p_brand").alias("brand"), (3 + s % 4 * 3).cast("double").alias("height"), (6 + s % 7).cast("double").alias("w"), (4 + s % 5).cast("double").alias("h"), (100.0 * (k % 100)).alias("x0"), (100.0 * F.floor(k / 100)).alias("y0"))
     at = lambda a, b: (F.col("x0") + a * F.col("w"), F.col("y0") + b * F.col("h"))
     ring = lambda corners: g.ring(*(at(a, b) for a, b in corners))
     shape = F.col("id") % 5
