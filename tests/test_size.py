@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 #: Queries whose joins have two sides that grow.
-GROWING = ["contact_forces", "clip_raster", "documented_forces", "contact_forces_buffer", "relative_position"]
+GROWING = ["contact_forces", "clip_raster", "documented_forces", "contact_forces_buffer", "relative_position", "walls_in_contact"]
 
 
 @pytest.mark.parametrize("name", GROWING)
