@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -77,10 +78,10 @@ def rare_labels(df: DataFrame, label: str, least: int = 5) -> DataFrame:
 def places(df: DataFrame, key: str, strata: list[str], seed: int = 0) -> DataFrame:
     """Adds ``_k`` (place from 0 within the stratum, in order of the MD5 of "key:seed") and ``_n`` (rows of the stratum).
 
-    Rows are counted by the hash's first three digits, so places come from windows over a 4,096th of a stratum.
+    Rows are counted by the hash's first three digits, so places come from windows over a 4,096th of a stratum. Rows without a key come last.
     """
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    rows = df.withColumn("_h", F.coalesce(h, F.lit(""))).withColumn("_b", F.substring("_h", 1, 3))
+    rows = df.withColumn("_h", F.coalesce(h, F.lit("g"))).withColumn("_b", F.substring("_h", 1, 3))
     w = Window.partitionBy(*strata)
     ends = rows.groupBy(*strata, "_b").agg(F.count("*").alias("_m"))
     ends = ends.select(*(F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)), F.col("_b").alias("_sb"), (F.sum("_m").over(w.orderBy("_b")) - F.col("_m")).alias("_under"), F.sum("_m").over(w).alias("_n"))
@@ -94,7 +95,9 @@ def places(df: DataFrame, key: str, strata: list[str], seed: int = 0) -> DataFra
 
 def stratified_split(df: DataFrame, key: str, strata: list[str], shares: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 0) -> DataFrame:
     """Adds ``split`` (train, val, test): per stratum the shares of rows in hash order; a stratum's only row trains."""
-    train, val = F.round(F.col("_n") * shares[0]), F.round(F.col("_n") * (shares[0] + shares[1]))
+    # In decimals: 45 * 0.7 is 31.5 and rounds to 32, but falls short of it as doubles.
+    first, second = (Decimal(str(s)) for s in shares[:2])
+    train, val = F.round(F.col("_n") * F.lit(first)), F.round(F.col("_n") * F.lit(first + second))
     split = F.when((F.col("_n") == 1) | (F.col("_k") < train), "train").when(F.col("_k") < val, "val").otherwise("test")
     return places(df, key, strata, seed).withColumn("split", split).drop("_k", "_n")
 
