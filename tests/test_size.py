@@ -20,3 +20,14 @@ def test_no_growing_side_is_broadcast(spark, name):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
+
+
+#: Queries that do much work on each row of a small file.
+DEALT = ["gndt_beta_6"]
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_a_small_file_is_worked_on_by_all_tasks(spark, name):
+    """A file of one row group is read in one task; what its rows become must not stay there."""
+    rdd = registry.QUERIES[name](spark, SF)._jdf.queryExecution().toRdd()
+    assert rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
