@@ -23,7 +23,7 @@ def test_no_growing_side_is_broadcast(spark, name):
 
 
 #: Queries that do much work on each row of a small file.
-DEALT = ["gndt_beta_6", "gndt_beta_4", "point_in_polygon", "elevation_slenderness"]
+DEALT = ["gndt_beta_6", "gndt_beta_4", "point_in_polygon", "elevation_slenderness", "costa_rica"]
 
 
 @pytest.mark.parametrize("name", DEALT)
