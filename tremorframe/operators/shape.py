@@ -186,6 +186,11 @@ def eurocode_8(buildings: DataFrame, mode: str = "documented", axes: str = "exac
     The eccentricity vector runs from the walls' centroid to the centre of mass; the worst direction for
     eccentricity / torsional radius is taken (``documented``: of all; ``compat``: the one found uphill from the major axis).
     """
+    return _eurocode_8(buildings, mode, axes).drop("h")
+
+
+def _eurocode_8(buildings: DataFrame, mode: str = "documented", axes: str = "exact") -> DataFrame:
+    """``eurocode_8`` and its ``hull_measures`` in ``h``."""
     m, p = F.col("m"), F.col("p")
     rows = prepared(buildings, mode=axes).withColumn("h", kernels.hull_measures(F.col("geometry")["exterior"]))
     ex, ey = m["mx"] - m["bx"], m["my"] - m["by"]
@@ -197,7 +202,7 @@ def eurocode_8(buildings: DataFrame, mode: str = "documented", axes: str = "exac
     return rows.select(
         "id", (e * F.abs(F.cos(x - F.col("b"))) / torsional).alias("eccentricity_ratio"), (torsional / F.sqrt(m["iz"] / m["area"])).alias("radius_ratio"),
         F.sqrt(p["i1"] / p["i2"]).alias("slenderness"), (1 - F.col("h")["max_pocket"] / F.col("filled")).alias("compactness"),
-        F.degrees(-g.folded(F.col("v1") + x)).alias("angle_eccentricity"), F.degrees(-g.folded(F.col("v1"))).alias("angle_slenderness"),
+        F.degrees(-g.folded(F.col("v1") + x)).alias("angle_eccentricity"), F.degrees(-g.folded(F.col("v1"))).alias("angle_slenderness"), "h",
     )
 
 
@@ -290,8 +295,7 @@ def fsi_class(eccentricity: Column, setback: Column, slenderness: Column, limits
 
 
 def footprint_irregularity(buildings: DataFrame) -> DataFrame:
-    """The indices' values and the class of each footprint (``fsi``), and whether it is regular."""
-    ec8, ratio = eurocode_8(buildings), setback_ratio(buildings)
-    rows = ec8.join(ratio, "id")
+    """The indices' values and the class of each footprint (``fsi``), and whether it is regular. One pass: both indices read the same hull."""
+    rows = _eurocode_8(buildings).where("id is not null").withColumn("setback_ratio", F.col("h")["setback"])
     cls = fsi_class(F.col("eccentricity_ratio"), F.col("setback_ratio"), F.col("slenderness"))
     return rows.select("id", "eccentricity_ratio", "setback_ratio", "slenderness", "compactness", cls.alias("fsi"), (cls == "regular").alias("regularity_boolean"))
