@@ -23,7 +23,7 @@ def test_no_growing_side_is_broadcast(spark, name):
 
 
 #: Queries that do much work on each row of a small file.
-DEALT = ["gndt_beta_6", "gndt_beta_4", "point_in_polygon", "elevation_slenderness", "costa_rica", "inertia_slenderness", "gndt_beta_1", "slenderness_elevation", "eurocode_8", "poly_inertia", "footprint_irregularity", "inertia_circle"]
+DEALT = ["gndt_beta_6", "gndt_beta_4", "point_in_polygon", "elevation_slenderness", "costa_rica", "inertia_slenderness", "gndt_beta_1", "slenderness_elevation", "eurocode_8", "poly_inertia", "footprint_irregularity", "inertia_circle", "eurocode_8_compat"]
 
 
 @pytest.mark.parametrize("name", DEALT)
