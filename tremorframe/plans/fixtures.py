@@ -115,7 +115,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     tile = F.floor(k / 1500)
     x, y = 60 * (tile % 10) + k % 37 + F.when(k % 97 == 0, 500).otherwise(0), 60 * F.floor(tile / 10) + k * 7 % 41
-    return table(spark, sf_dir, "customer").select(k.alias("id"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.round(F.col("c_acctbal").cast("double") / 100, 2).alias("height"))
+    # Halves as in the SQL: by the hundredfold double, where F.round goes by the decimal digits.
+    cents = F.col("c_acctbal").cast("double") / 100 * 100
+    height = F.signum(cents) * F.floor(F.abs(cents) + 0.5) / 100
+    return table(spark, sf_dir, "customer").select(k.alias("id"), x.cast("double").alias("x"), y.cast("double").alias("y"), height.alias("height"))
 
 
 POINTS_SQL = """
