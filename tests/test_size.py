@@ -31,3 +31,10 @@ def test_a_small_file_is_worked_on_by_all_tasks(spark, name):
     """A file of one row group is read in one task; what its rows become must not stay there."""
     rdd = registry.QUERIES[name](spark, SF)._jdf.queryExecution().toRdd()
     assert rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["terrain_clean", "knn_gradient"])
+def test_slopes_sort_no_pairs(spark, name):
+    df = registry.QUERIES[name](spark, SF)
+    df.collect()
+    assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
