@@ -147,17 +147,24 @@ def decode_labels(df: DataFrame, column: str, classes: list[str]) -> DataFrame:
 def smote(df: DataFrame, key: str, label: str, features: list[str], k: int = 5, seed: int = 0, block: int = 5000) -> DataFrame:
     """Rows of minority classes between a row and one of its k nearest of the class, so that classes are of equal size.
 
-    Returns ``df`` (key, label, features) and the new rows (negative keys). A class is dealt into blocks of about ``block`` rows by
-    hash; each block meets every block of its class, and the best k merge, so the rows don't depend on the blocks.
+    Returns ``df`` (key, label, features) and the new rows (negative keys). Only rows that get copies, as many as the class lacks, ask for their
+    nearest. They and the class are dealt into blocks of about ``block`` rows by hash; each block of asking rows meets every block of
+    the class, and the best k merge, so the rows don't depend on the blocks.
     """
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     need = counts.withColumn("_need", F.max("_n").over(Window.partitionBy(F.lit(1))) - F.col("_n")).where("_need > 0")
     rows = df.select(F.col(key).alias("_key"), F.col(label).alias("_label"), F.array(*(F.col(c).cast("double") for c in features)).alias("_x"))
     rows = rows.join(F.broadcast(need.withColumnRenamed(label, "_label")), "_label")  # one row a class
-    rows = rows.withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumn("_b", F.pmod(F.xxhash64("_key", F.lit(seed)), F.col("_blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    asks = rows.select("_label", "_key", "_x", F.lit(0).alias("_side"), F.col("_b").alias("_p"), every.alias("_q"))
-    data = rows.select("_label", "_key", "_x", F.lit(1).alias("_side"), every.alias("_p"), F.col("_b").alias("_q"))
+    # Places in the order of a hash: within a bucket of it, after the rows of the buckets before (1,024 a class at most).
+    rows = rows.withColumn("_h", F.pmod(F.xxhash64("_key", F.lit(seed + 1)), F.lit(1024)))
+    before = rows.groupBy("_label", "_h").agg(F.count("*").alias("_m")).withColumn("_before", F.sum("_m").over(Window.partitionBy("_label").orderBy("_h")) - F.col("_m")).drop("_m")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_label", "_h").orderBy("_key")) - 1
+    placed = rows.join(before, ["_label", "_h"]).withColumn("_copies", F.floor(F.col("_need") / F.col("_n")) + (place < F.col("_need") % F.col("_n")).cast("long")).where("_copies > 0")
+    dealt = lambda n: F.pmod(F.xxhash64("_key", F.lit(seed)), n).cast("int")
+    blocks, asking = F.ceil(F.col("_n") / block).cast("int"), F.ceil(F.least("_n", "_need") / block).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asks = placed.select("_label", "_key", "_x", F.lit(0).alias("_side"), dealt(asking).alias("_p"), every(blocks).alias("_q"))
+    data = rows.select("_label", "_key", "_x", F.lit(1).alias("_side"), every(asking).alias("_p"), dealt(blocks).alias("_q"))
     types = dict(df.dtypes)
 
     def near(frame: pd.DataFrame) -> pd.DataFrame:
@@ -165,24 +172,28 @@ def smote(df: DataFrame, key: str, label: str, features: list[str], k: int = 5,
         out = []
         if len(a) and len(b):
             x, y, ids = np.stack(a._x.to_numpy()), np.stack(b._x.to_numpy()), b._key.to_numpy()
-            step = max(1, 4_000_000 // max(y.size, 1))
+            step, squares = max(1, 4_000_000 // max(len(y), 1)), (y * y).sum(1)
             for at in range(0, len(x), step):
                 part, own = x[at : at + step], a._key.to_numpy()[at : at + step]
-                d = ((part[:, None] - y[None]) ** 2).sum(-1)
-                d[own[:, None] == ids[None]] = np.inf
-                best = np.argsort(d, axis=1, kind="stable")[:, :k].ravel()
-                i = np.repeat(np.arange(len(part)), min(k, len(y)))
-                out.append(pd.DataFrame({"_label": a._label.iloc[0], "_key": own[i], "_d": d[i, best], "_near": ids[best], "_y": list(y[best])}))
+                size = (part * part).sum(1)[:, None]
+                rough = size + squares[None] - 2 * (part @ y.T)
+                rough[own[:, None] == ids[None]] = np.inf
+                # The k nearest are among those that rounding may place before the k-th; exact distances decide, then the smaller key.
+                last = np.partition(rough, k - 1, 1)[:, k - 1 : k] if len(y) > k else np.full((len(part), 1), np.inf)
+                last = np.where(np.isfinite(last), last + 1e-9 * (size + squares[np.isfinite(squares)].max(initial=0.0)), np.inf)
+                i, j = np.nonzero(rough <= last)
+                i, j = i[(real := np.isfinite(rough[i, j]))], j[real]
+                d = np.concatenate([((part[i[c : c + 100_000]] - y[j[c : c + 100_000]]) ** 2).sum(-1) for c in range(0, max(len(i), 1), 100_000)])
+                order = np.lexsort((j, d, i))
+                i, j, d = i[order], j[order], d[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j, d = i[keep], j[keep], d[keep]
+                out.append(pd.DataFrame({"_label": a._label.iloc[0], "_key": own[i], "_d": d, "_near": ids[j], "_y": list(y[j])}))
         return pd.concat(out)[lambda f: np.isfinite(f._d)] if out else pd.DataFrame(columns=["_label", "_key", "_d", "_near", "_y"])
 
     pairs = asks.unionByName(data).groupBy("_label", "_p", "_q").applyInPandas(near, f"_label {types[label]}, _key {types[key]}, _d double, _near {types[key]}, _y array<double>")
     best = pairs.groupBy("_label", "_key").agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "_near", "_y"))), 1, k).alias("_best"))
-    # Places in the order of a hash: within a bucket of it, after the rows of the buckets before (1,024 a class at most).
-    rows = rows.withColumn("_h", F.pmod(F.xxhash64("_key", F.lit(seed + 1)), F.lit(1024)))
-    before = rows.groupBy("_label", "_h").agg(F.count("*").alias("_m")).withColumn("_before", F.sum("_m").over(Window.partitionBy("_label").orderBy("_h")) - F.col("_m")).drop("_m")
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_label", "_h").orderBy("_key")) - 1
-    placed = rows.join(before, ["_label", "_h"]).withColumn("_copies", F.floor(F.col("_need") / F.col("_n")) + (place < F.col("_need") % F.col("_n")).cast("long"))
-    new = placed.where("_copies > 0").join(best, ["_label", "_key"]).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    new = placed.join(best, ["_label", "_key"]).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
     random = lambda s: F.pmod(F.xxhash64("_key", "_i", F.lit(seed), F.lit(s)), F.lit(1 << 40)) / float(1 << 40)
     new = new.withColumn("_y", F.element_at("_best", (F.floor(random(1) * F.size("_best")) + 1).cast("int"))["_y"]).withColumn("_t", random(2))
     values = {c: (F.col("_x")[j] + F.col("_t") * (F.col("_y")[j] - F.col("_x")[j])).cast(types[c]) for j, c in enumerate(features)}
