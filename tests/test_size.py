@@ -38,3 +38,12 @@ def test_slopes_sort_no_pairs(spark, name):
     df = registry.QUERIES[name](spark, SF)
     df.collect()
     assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_setbacks_are_worked_on_by_all_tasks(spark):
+    """The adaptive planner would put all buildings' parts, few bytes and much work, in one task."""
+    df = registry.QUERIES["elevation_setback"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert any("hashpartitioning(id" in line and f", {tasks}), REPARTITION_BY_NUM" in line for line in plan.splitlines())

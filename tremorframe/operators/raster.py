@@ -382,10 +382,13 @@ def setback_elevation(buildings: DataFrame, parts: DataFrame, min_setback_height
                 value = max(value, factor * part_setback(footprint, shapes, k, across, min_setback_height, min_symmetry_distance, symmetry_factor))
         return pa.table({"id": table["id"][:1], "elevation_setback": pa.array([value], pa.float64())})
 
+    # Dealt by number: the rows are few bytes and much work, and the adaptive planner would put them all in one task.
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # A building's parts are as many as its roof has.
-    of = parts.groupBy("id").agg(F.collect_list(F.struct("height", "geometry")).alias("parts"))
+    of = parts.repartition(tasks, "id").groupBy("id").agg(F.collect_list(F.struct("height", "geometry")).alias("parts"))
     known = buildings.where("geometry is not null and building_height is not null and ground_altitude is not null")
-    found = known.select("id", "geometry", "building_height", "ground_altitude").join(of, "id").groupBy("id").applyInArrow(worst, f"id {kind}, elevation_setback double")
+    met = known.select("id", "geometry", "building_height", "ground_altitude").join(of.hint("merge"), "id")
+    found = met.groupBy("id").applyInArrow(worst, f"id {kind}, elevation_setback double")
     rest = known.select("id").join(found, "id", "left").select("id", F.coalesce("elevation_setback", F.lit(0.0)).alias("elevation_setback"))
     return buildings.select("id").join(rest, "id", "left")
 
